@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tianguis.functions import money
 from tianguis.functions.text import text_key
+from tianguis.plans import skew
+from tianguis.plans.admission import AFTER, BEFORE, GRANTED, admit
 
 TOLERANCE = "0.01"  # fixed value: slack when a paid sum is compared with an order total
 
@@ -59,3 +63,92 @@ def statement_lines(ordenes: DataFrame, pagos: DataFrame) -> DataFrame:
     return pagos.join(known, "id_orden", "left_semi").select(
         "id_orden", "transaccion_id", "metodo_pago", money.as_double("monto").alias("monto"), "estado", "fecha_pago"
     )
+
+
+# Texts of refusals.
+ORDER_UNKNOWN = "Orden no encontrada"
+ORDER_PAID = "La orden ya está totalmente pagada"
+TOO_MUCH = "El monto excede el saldo pendiente"
+BAD_AMOUNT = "Monto no válido"
+
+
+def payment_application(
+    ordenes: DataFrame,
+    pagos: DataFrame,
+    order: Sequence[str] = ("fecha_pago", "transaccion_id"),
+    replay: bool = True,
+    closure: DataFrame | None = None,
+    limits: skew.Limits = skew.DEFAULT,
+) -> DataFrame:
+    """Payments in order against their orders: refused once the order is paid or when they exceed the rest.
+
+    One cent above the total is tolerated. ``replay`` starts every order as unpaid; without it an order that
+    is already ``pagada`` refuses. ``closure`` (id_orden, cierre_ok) tells orders whose closing failed: they
+    stay open although fully paid.
+    """
+    opening = money.cents("total") + 1
+    if not replay:
+        opening = F.when(F.col("estado") == "pagada", F.lit(0).cast("bigint")).otherwise(opening)
+    capacity = ordenes.select(F.col("id").alias("id_orden"), opening.alias("capacidad"), money.cents("total").alias("_total"))
+    if closure is None:
+        capacity = capacity.withColumn("holgura", F.lit(1))
+    else:
+        ok = closure.select("id_orden", F.col("cierre_ok").cast("int").alias("holgura"))
+        capacity = capacity.join(ok, "id_orden", "left").withColumn("holgura", F.coalesce("holgura", F.lit(1)))
+    asked = pagos.withColumn("_x", money.cents("monto"))
+    judged = admit(
+        asked, capacity.select("id_orden", "capacidad", "holgura"), "id_orden", order, "_x", limits=limits
+    )
+    totals = capacity.select("id_orden", "_total", "holgura", "capacidad")
+    rows = judged.join(totals, "id_orden", "left")
+    exact = (F.col("_total") > 0) & (F.col("holgura") == 1)
+    why = (
+        F.when(F.col(GRANTED), F.lit(None).cast("string"))
+        .when(F.col("_total").isNull(), ORDER_UNKNOWN)
+        .when((exact & (F.col(BEFORE) == 1)) | (F.col("capacidad") < F.col("_total")), ORDER_PAID)
+        .when(F.col("_x").isNull() | (F.col("_x") <= 0), BAD_AMOUNT)
+        .otherwise(TOO_MUCH)
+    )
+    paid = F.col("_total") + 1 - F.col(AFTER)
+    closed = (exact & (F.col(AFTER) == 1)) | (F.col("capacidad") < F.col("_total"))
+    return rows.select(
+        "id_orden", "transaccion_id", *[c for c in order if c != "transaccion_id"],
+        money.as_double("monto").alias("monto"),
+        F.col(GRANTED).alias("aceptado"),
+        why.alias("motivo"),
+        money.from_cents(paid).alias("total_pagado_acumulado"),
+        money.from_cents(F.greatest(F.col("_total") - paid, F.lit(0).cast("bigint"))).alias("saldo_restante"),
+        F.when(F.col("_total").isNull(), F.lit(None).cast("string")).when(closed, "pagada").otherwise("pendiente").alias("estado_orden"),
+    )
+
+
+def closing_events(ordenes: DataFrame, applied: DataFrame, order: Sequence[str] = ("fecha_pago", "transaccion_id")) -> DataFrame:
+    """The credit use each closing payment asks for: the whole total in one instalment."""
+    closings = applied.filter(F.col("aceptado") & (F.col("estado_orden") == "pagada")).select("id_orden", *order)
+    return closings.join(ordenes.select(F.col("id").alias("id_orden"), "id_comprador", "total"), "id_orden").select(
+        F.col("id_comprador").alias("usuario_id"), F.lit("usar").alias("tipo"), F.col("total").alias("monto"),
+        F.lit(1).alias("cuotas"), F.col("id_orden").alias("cuota_id"), *order,
+    )
+
+
+def order_closure(ordenes: DataFrame, applied: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """State of every order after its payments; one whose closing failed stays pendiente though fully paid."""
+    per_order = applied.filter("aceptado").groupBy(F.col("id_orden").alias("id")).agg(
+        F.count("*").alias("pagos_aceptados"), F.sum(F.col("monto").cast("decimal(12,2)")).alias("pagado")
+    )
+    rows = ordenes.select("id", "total").join(per_order, "id", "left")
+    got = F.coalesce("pagado", F.lit(0).cast("decimal(12,2)"))
+    full = (F.col("pagos_aceptados") > 0) & (F.abs(got - F.col("total")) < F.lit(TOLERANCE).cast("decimal(12,2)"))
+    if closure is None:
+        ok = F.lit(True)
+    else:
+        rows = rows.join(closure.select(F.col("id_orden").alias("id"), "cierre_ok"), "id", "left")
+        ok = F.coalesce("cierre_ok", F.lit(True))
+    full = F.coalesce(full, F.lit(False))
+    return rows.select(
+        F.col("id").alias("id_orden"),
+        F.coalesce("pagos_aceptados", F.lit(0).cast("bigint")).alias("pagos_aceptados"),
+        got.cast("double").alias("total_pagado"),
+        full.alias("pagada_completa"),
+        F.when(full & ok, "pagada").otherwise("pendiente").alias("estado"),
+    )

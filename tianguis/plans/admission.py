@@ -34,26 +34,28 @@ def admit(
     """Every request with ``concedido``, ``antes`` and ``despues`` (what was left before and after it).
 
     ``capacity`` holds (key, ``capacidad``) as BIGINT; a key without a row there is refused with NULLs.
-    Requests of 0 or less are refused. ``order`` must be total inside a key. With ``slack`` > 0 the
-    capacity includes that much tolerance, and a key whose remainder becomes exactly ``slack`` by a
-    granted request is closed: nothing is granted afterwards (slack is 0 or 1).
+    Requests of 0 or less are refused. ``order`` must be total inside a key. With ``slack`` 1 the capacity
+    includes one unit of tolerance, and a key whose remainder becomes exactly 1 by a granted request is
+    closed: nothing is granted afterwards. A column ``holgura`` of ``capacity`` sets the slack per key.
     """
     if slack not in (0, 1):
         raise ValueError("slack is counted in the smallest unit and is 0 or 1")
+    if "holgura" not in capacity.columns:
+        capacity = capacity.withColumn("holgura", F.lit(slack))
     hot = skew.find_hot(requests, [key], limits)
     if hot is None:
-        return _fold_small(requests, capacity, key, order, amount, slack)
+        return _fold_small(requests, capacity, key, order, amount)
     cold_rows, hot_rows = skew.split_hot(requests, [key], hot, limits)
-    small = _fold_small(cold_rows, capacity, key, order, amount, slack)
-    large = _fold_phases(hot_rows, capacity, key, order, amount, slack, hot, limits)
+    small = _fold_small(cold_rows, capacity, key, order, amount)
+    large = _fold_phases(hot_rows, capacity, key, order, amount, hot, limits)
     return small.unionByName(large)
 
 
-def _close(after: Column, slack: int) -> Column:
-    return F.when(after == slack, F.lit(0).cast("bigint")).otherwise(after) if slack else after
+def _close(after: Column) -> Column:
+    return F.when((F.col("holgura") == 1) & (after == 1), F.lit(0).cast("bigint")).otherwise(after)
 
 
-def _fold_small(requests, capacity, key, order, amount, slack) -> DataFrame:
+def _fold_small(requests, capacity, key, order, amount) -> DataFrame:
     columns = requests.columns
     row = F.struct(F.struct(*order).alias("_o"), F.struct(*columns).alias("_r"))
     grouped = requests.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
@@ -61,7 +63,7 @@ def _fold_small(requests, capacity, key, order, amount, slack) -> DataFrame:
     def step(acc: Column, e: Column) -> Column:
         x = e["_r"][amount].cast("bigint")
         fits = (x > 0) & (x <= acc["s"])
-        left = F.when(fits, _close(acc["s"] - x, slack)).otherwise(acc["s"])
+        left = F.when(fits, _close(acc["s"] - x)).otherwise(acc["s"])
         # What the caller sees still contains the slack of a closed key.
         seen = F.when(fits, acc["s"] - x).otherwise(acc["v"])
         out = F.struct(F.coalesce(fits, F.lit(False)).alias(GRANTED), acc["v"].alias(BEFORE), seen.alias(AFTER))
@@ -96,7 +98,7 @@ def _small(x: Column, s: Column, low: Column) -> Column:
     return F.when((x > 0) & (x < low) & (s > 0), x).otherwise(F.lit(0).cast("bigint"))
 
 
-def _fold_phases(requests, capacity, key, order, amount, slack, hot, limits) -> DataFrame:
+def _fold_phases(requests, capacity, key, order, amount, hot, limits) -> DataFrame:
     columns = requests.columns
     x = F.greatest(F.coalesce(F.col(amount).cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
     tagged = requests.withColumn("_x", x).withColumn("_o", F.struct(*order))
@@ -105,7 +107,7 @@ def _fold_phases(requests, capacity, key, order, amount, slack, hot, limits) ->
     # One row per hot key and phase: what guards (s), what is shown (v), and the request that ends it.
     opening = hot.table.join(capacity, key, "left")
     state = durable(
-        opening.select(key, F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), F.lit(None).cast(
+        opening.select(key, "holgura", F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), F.lit(None).cast(
             chunks.schema["_o"].dataType).alias("since"))
     )
     phases: list[DataFrame] = []
@@ -116,7 +118,7 @@ def _fold_phases(requests, capacity, key, order, amount, slack, hot, limits) ->
         left = F.col("stop.left")
         state = durable(
             done.filter(F.col("stop").isNotNull()).select(
-                key, _close(left, slack).alias("s"), left.alias("v"), F.col("stop._o").alias("since")
+                key, "holgura", _close(left).alias("s"), left.alias("v"), F.col("stop._o").alias("since")
             )
         )
     return _settle(chunks, reduce(DataFrame.unionByName, phases), key, columns, hot, limits)
