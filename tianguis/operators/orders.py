@@ -74,9 +74,8 @@ def intake_lines(intake: DataFrame, items: DataFrame, productos: DataFrame) -> D
     """The lines of accepted orders at catalog prices."""
     accepted = intake.filter("aceptada").select("id_orden")
     prices = productos.select(F.col("id").alias("id_producto"), F.col("precio").alias("precio_unitario"))
-    return items.join(accepted, "id_orden", "left_semi").join(prices, "id_producto").select(
-        "id_orden", "id_producto", "cantidad", "precio_unitario"
-    )
+    wanted = items.select("id_orden", "id_producto", "cantidad").join(accepted, "id_orden", "left_semi")
+    return wanted.join(prices, "id_producto").select("id_orden", "id_producto", "cantidad", "precio_unitario")
 
 
 def intake_credit_events(intake: DataFrame, order: Sequence[str] = ("id_orden",), instalments: str | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def summary_payments(pagos: DataFrame) -> DataFrame:
 def beside(*one_row: DataFrame) -> DataFrame:
     """One-row frames with distinct columns side by side, without a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
 def summary(usuarios: DataFrame, productos: DataFrame, ordenes: DataFrame, pagos: DataFrame) -> DataFrame:

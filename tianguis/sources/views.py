@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tianguis.functions.money import cents, d2
+from tianguis.functions.money import cents, d2, div, div_half_up
 
 SELLER_ID_BASE = 1_000_000_000
 ADMIN_ID_BASE = 2_000_000_000
@@ -116,10 +116,14 @@ class MarketViews:
             _by_balance(balance, "suspendido", "inactivo", "activo").alias("estado"),
         )
 
-    def cuotas(self) -> DataFrame:
+    def cuotas(self, priorities: tuple[str, ...] = ()) -> DataFrame:
+        """Instalment plans, one per order; of some priorities only where they are given."""
+        orders = self.raw("orders")
+        if priorities:
+            orders = orders.filter(F.col("o_orderpriority").isin(*priorities))
         key = F.col("o_orderkey")
         totals = F.when(key % 3 == 0, 1).when(key % 3 == 1, 3).otherwise(6)
-        plan = self.raw("orders").select(
+        plan = orders.select(
             key.alias("id"),
             F.col("o_custkey").alias("usuario_id"),
             key.alias("compra_id"),
@@ -128,6 +132,8 @@ class MarketViews:
             (key % (totals + 1)).cast("int").alias("cuotas_pagadas"),
             F.col("o_orderdate").alias("fecha_compra"),
         )
+        each = div_half_up(cents("monto_total"), F.col("cuotas_totales").cast("bigint"))
+        plan = plan.withColumn("monto_por_cuota", (each.cast("decimal(20,0)") / 100).cast("decimal(12,2)"))
         done = F.col("cuotas_pagadas") >= F.col("cuotas_totales")
         return plan.withColumn("estado", F.when(done, "pagada").otherwise("pendiente"))
 
@@ -143,3 +149,97 @@ class MarketViews:
             d2("value").alias("monto"),
             F.col("ts").alias("fecha"),
         )
+
+    # Logs for the table jobs, derived from whole tables.
+
+    def eventos_credito(self) -> DataFrame:
+        """Events of the credit ledger, in order (fecha, clase, ref).
+
+        An order is a purchase (a tenth of its total in 1, 3 or 6 instalments), or, by its priority, a limit
+        change or a settlement; an order line pays an instalment of its order's plan.
+        """
+        tenth = (div(cents("total"), F.lit(10).cast("bigint")).cast("decimal(20,0)") / 100).cast("decimal(12,2)")
+        kind = _mapped("o_orderpriority", {"4-NOT SPECIFIED": "ajustar", "5-LOW": "liquidar"})
+        orders = self.raw("orders").select(
+            F.col("o_custkey").alias("usuario_id"),
+            F.coalesce(kind, F.lit("usar")).alias("tipo"),
+            d2("o_totalprice").alias("total"),
+            F.col("o_orderkey").alias("clave"),
+            F.col("o_orderdate").alias("fecha"),
+        )
+        parts = F.when(F.col("clave") % 3 == 0, 1).when(F.col("clave") % 3 == 1, 3).otherwise(6)
+        own = orders.select(
+            "usuario_id", "tipo",
+            F.when(F.col("tipo") == "usar", tenth).when(F.col("tipo") == "ajustar", F.col("total")).alias("monto"),
+            F.when(F.col("tipo") == "usar", parts).alias("cuotas"),
+            F.when(F.col("tipo") == "usar", F.col("clave")).alias("cuota_id"),
+            "fecha", F.lit(0).alias("clase"), F.col("clave").cast("string").alias("ref"),
+        )
+        buyers = orders.select(F.col("clave").alias("id_orden"), "usuario_id")
+        paid = self.pagos().join(buyers, "id_orden").select(
+            "usuario_id", F.lit("pagar_cuota").alias("tipo"), F.lit(None).cast("decimal(12,2)").alias("monto"),
+            F.lit(None).cast("int").alias("cuotas"), F.col("id_orden").alias("cuota_id"),
+            F.col("fecha_pago").alias("fecha"), F.lit(1).alias("clase"), F.col("transaccion_id").alias("ref"),
+        )
+        return own.unionByName(paid)
+
+    def cuotas_de_apertura(self) -> DataFrame:
+        """Plans that exist before the ledger starts: those of the orders that are no purchase in it."""
+        return self.cuotas(("4-NOT SPECIFIED", "5-LOW"))
+
+    def cambios_producto(self) -> DataFrame:
+        """Product changes by line flag in order (momento, n1, n2, n3, precio); every supplier publishes a product."""
+        lines = self.raw("lineitem").select(
+            F.col("l_partkey").alias("id_producto"),
+            _mapped("l_returnflag", {"A": "editar", "N": "aprobar", "R": "desactivar"}).alias("tipo"),
+            (F.col("l_suppkey") % 25 + 1).cast("int").alias("id_vendedor"),
+            F.lit("vendedor").alias("rol"),
+            F.concat(F.lit("Producto "), F.col("l_partkey").cast("string"), F.lit(" v"), F.col("l_linenumber").cast("string")).alias("nombre"),
+            F.col("l_linestatus").alias("descripcion"),
+            d2("l_extendedprice").alias("precio"),
+            F.col("l_quantity").cast("int").alias("cantidad"),
+            F.col("l_shipdate").alias("momento"),
+            F.col("l_orderkey").alias("n1"), F.col("l_linenumber").cast("bigint").alias("n2"), F.col("l_suppkey").alias("n3"),
+        )
+        key = F.col("s_suppkey")
+        new = self.raw("supplier").select(
+            (key + SELLER_ID_BASE).alias("id_producto"), F.lit("publicar").alias("tipo"),
+            (key % 25 + 1).cast("int").alias("id_vendedor"),
+            F.when(F.col("s_acctbal") < 0, "comprador").otherwise("vendedor").alias("rol"),
+            F.col("s_name").alias("nombre"), F.lit("nuevo").alias("descripcion"),
+            d2(F.abs("s_acctbal")).alias("precio"), F.lit(1).alias("cantidad"),
+            F.lit("1990-01-01 00:00:00").cast("timestamp_ntz").alias("momento"),
+            key.alias("n1"), F.lit(0).cast("bigint").alias("n2"), F.lit(0).cast("bigint").alias("n3"),
+        )
+        return lines.unionByName(new)
+
+    def solicitudes_registro(self) -> DataFrame:
+        """Every event asks to register its user, in order (momento, n)."""
+        return self.raw("events").select(
+            F.concat(F.lit("Usuario "), F.col("user_id").cast("string")).alias("nombre"),
+            F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+            _mapped("event_type", {"view": "vendedor", "purchase": "comprador"}).alias("rol"),
+            F.col("ts").alias("momento"), F.col("event_id").alias("n"),
+        )
+
+    def emails_tomados(self) -> DataFrame:
+        """Users whose email is taken before the requests come."""
+        return self.raw("supplier").select(
+            F.concat(F.lit("user"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email")
+        )
+
+    def cambios_usuario(self) -> DataFrame:
+        """State changes by event type and deletions by large errors, in order (momento, n)."""
+        drop = (F.col("event_type") == "error") & (F.col("value") >= 200)
+        states = {"view": "activo", "click": "pendiente", "signup": "rechazado", "purchase": "suspendido", "error": "activo"}
+        return self.raw("events").select(
+            F.col("user_id").alias("usuario_id"),
+            F.when(drop, "eliminar").otherwise("estado").alias("tipo"),
+            F.when(~drop, _mapped("event_type", states)).alias("estado"),
+            F.col("ts").alias("momento"), F.col("event_id").alias("n"),
+        )
+
+    def cambios_orden(self) -> DataFrame:
+        """Order states by line flag in order (fecha_pago, transaccion_id); a returned line asks for an unknown state."""
+        states = {"tarjeta": "pagada", "transferencia": "cancelada", "efectivo": "devuelta"}
+        return self.pagos().select("id_orden", _mapped("metodo_pago", states).alias("estado"), "fecha_pago", "transaccion_id")
