@@ -509,6 +509,15 @@ def all_oracles() -> dict[str, str]:
                                  "r_credito", "ordenes", "inventario"),
         "report_combined": _with(
             """SELECT 'spark+realtime' AS fuente, CAST(rank - 1 AS INT) AS posicion, id, nombre, unidades_vendidas AS unidades, ingresos FROM mejores""", "mejores"),
+        "stream_movements": _with(
+            """SELECT date_trunc('hour', fecha) AS desde, tipo, count(*) AS cantidad, CAST(sum(monto) AS DOUBLE) AS monto_total
+               FROM movimientos GROUP BY 1, 2""", "movimientos"),
+        "stream_sales": _with("SELECT * FROM ventas_mes", "ventas_mes"),
+        "stream_unique_payments": """SELECT DISTINCT l_orderkey AS id_orden, l_linenumber AS linea, l_orderkey || '-' || l_linenumber AS transaccion_id
+               FROM lineitem""",
+        "stream_payments": _with(
+            """SELECT id_orden, transaccion_id, aceptado, acc / 100.0 AS total_pagado_acumulado,
+               CASE WHEN cerrada THEN 'pagada' ELSE 'pendiente' END AS estado_orden FROM aplicados WHERE i > 0""", "aplicados"),
         "report_live_months": _with(
             "SELECT 'realtime' AS fuente, mes, num_ordenes AS ordenes, ingresos FROM ventas_mes", "ventas_mes"),
     }

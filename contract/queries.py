@@ -16,6 +16,7 @@ from tianguis.operators import (
 from tianguis.plans import report
 from tianguis.session import durable, shared_path
 from tianguis.sources.views import MarketViews
+from tianguis.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -485,5 +486,44 @@ def report_live_months(v):
     return both.select("fuente", F.explode("realtime.ventas_por_mes").alias("m")).select("fuente", "m.*")
 
 
+# Streams: every job reads the whole table as a stream of files and stops when it has seen all of it.
+
+
+def _streams(v: MarketViews) -> jobs.StreamViews:
+    session = jobs.stream_session(v.spark, v.spark.sparkContext.defaultParallelism)
+    return jobs.StreamViews(session, v.sf_dir)
+
+
+@query
+def stream_movements(v):
+    done = jobs.run_update(jobs.movement_windows(_streams(v).movimientos()), shared_path(v.spark, "movements"))
+    return jobs.latest(v.spark, done, ["desde", "tipo"])
+
+
+@query
+def stream_sales(v):
+    done = jobs.run_update(jobs.sales_months(_streams(v).ordenes()), shared_path(v.spark, "sales"))
+    return jobs.latest(v.spark, done, ["mes"])
+
+
+@query
+def stream_unique_payments(v):
+    """Payments keyed by (order, line number), which the lines repeat."""
+    key = F.concat_ws("-", F.col("id_orden").cast("string"), F.col("linea").cast("string"))
+    paid = _streams(v).raw("lineitem").select(
+        F.col("l_orderkey").alias("id_orden"), F.col("l_linenumber").alias("linea"), F.col("l_shipdate").alias("fecha_pago"),
+    ).withColumn("transaccion_id", key)
+    done = jobs.run_append(jobs.unique_payments(paid, delay="3650 days"), shared_path(v.spark, "unique"))
+    return v.spark.read.parquet(done.path).select("id_orden", "linea", "transaccion_id")
+
+
+@query
+def stream_payments(v):
+    streams = _streams(v)
+    static = MarketViews(streams.spark, v.sf_dir).ordenes()
+    done = jobs.run_append(jobs.payment_states(streams.pagos(), static), shared_path(v.spark, "payments"))
+    return v.spark.read.parquet(done.path)
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)

@@ -95,7 +95,9 @@ def payment_application(
     else:
         ok = closure.select("id_orden", F.col("cierre_ok").cast("int").alias("holgura"))
         capacity = capacity.join(ok, "id_orden", "left").withColumn("holgura", F.coalesce("holgura", F.lit(1)))
-    asked = pagos.withColumn("_x", money.cents("monto"))
+    asked = pagos.select("id_orden", "transaccion_id", *[c for c in order if c != "transaccion_id"], "monto").withColumn(
+        "_x", money.cents("monto")
+    )
     judged = admit(
         asked, capacity.select("id_orden", "capacidad", "holgura"), "id_orden", order, "_x", limits=limits
     )

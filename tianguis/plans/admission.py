@@ -57,31 +57,28 @@ def _close(after: Column) -> Column:
 
 def _fold_small(requests, capacity, key, order, amount) -> DataFrame:
     columns = requests.columns
-    row = F.struct(F.struct(*order).alias("_o"), F.struct(*columns).alias("_r"))
-    grouped = requests.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    # The order columns come first, so the array sorts by them.
+    row = F.struct(*order, *[c for c in columns if c not in order])
+    grouped = requests.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
 
     def step(acc: Column, e: Column) -> Column:
-        x = e["_r"][amount].cast("bigint")
-        fits = (x > 0) & (x <= acc["s"])
-        left = F.when(fits, _close(acc["s"] - x)).otherwise(acc["s"])
-        # What the caller sees still contains the slack of a closed key.
+        x = e[amount].cast("bigint")
+        fits = F.coalesce((x > 0) & (x <= acc["s"]), F.lit(False))
         seen = F.when(fits, acc["s"] - x).otherwise(acc["v"])
-        out = F.struct(F.coalesce(fits, F.lit(False)).alias(GRANTED), acc["v"].alias(BEFORE), seen.alias(AFTER))
+        out = F.struct(fits.alias(GRANTED), acc["v"].alias(BEFORE), seen.alias(AFTER))
+        # A closed key guards with 0 but still shows its slack.
+        left = F.when(fits, _close(acc["s"] - x)).otherwise(acc["s"])
         return F.struct(left.alias("s"), seen.alias("v"), F.concat(acc["out"], F.array(out)).alias("out"))
 
     start = F.struct(
         F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), F.expr(f"cast(array() as {_OUT})").alias("out")
     )
-    folded = grouped.join(capacity, key, "left").select(
-        F.explode(
-            F.zip_with(
-                "_rows",
-                F.aggregate("_rows", start, step, lambda acc: acc["out"]),
-                lambda e, o: F.struct(e["_r"].alias("r"), o.alias("o")),
-            )
-        ).alias("_x")
+    verdicts = F.aggregate("_rows", start, step, lambda acc: acc["out"])
+    return (
+        grouped.join(capacity, key, "left")
+        .select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), verdicts.alias("o"))).alias("_x"))
+        .select(*[F.col(f"_x.r.{c}").alias(c) for c in columns], "_x.o.*")
     )
-    return folded.select("_x.r.*", "_x.o.*")
 
 
 def _lowest(s: Column) -> Column:
@@ -154,7 +151,7 @@ def _phase_end(chunks: DataFrame, state: DataFrame, key: str, hot: skew.HotKeys,
 def _settle(chunks: DataFrame, phases: DataFrame, key: str, columns, hot: skew.HotKeys, limits: skew.Limits) -> DataFrame:
     """Decide every request in one pass: find its phase, then its place in the phase's prefix sum."""
     per_key = durable(
-        phases.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "s", "v", "stop"))).alias("_phases"))
+        phases.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "s", "v", "stop"))).alias("_phases"))
     )  # at most one entry per bit of the capacity
     rows = (
         chunks.join(_side(per_key, hot, limits), key)

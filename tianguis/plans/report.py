@@ -45,7 +45,7 @@ def _section(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """A small aggregate as one row with an ordered array; its size is that of a top list or a domain."""
     keys = [c.alias(f"_{i}") for i, c in enumerate(order)]
     row = F.struct(*[F.col(c) for c in df.columns])
-    return df.agg(F.array_sort(F.collect_list(F.struct(*keys, row.alias("r")))).alias("x")).select(
+    return df.agg(F.sort_array(F.collect_list(F.struct(*keys, row.alias("r")))).alias("x")).select(
         F.transform("x", lambda e: e["r"]).alias(name)
     )
 
