@@ -74,6 +74,7 @@ def credit_panel(usuarios: DataFrame, creditos: DataFrame) -> DataFrame:
     used = F.greatest(F.col("cupo_total") - F.col("cupo_disponible"), F.lit(0).cast("decimal(12,2)"))
     rows = (
         usuarios.filter(F.col("rol") == "comprador")
+        .select("id", "nombre", "email")
         .join(line, "id", "left")
         .withColumn("usado", used)
         .withColumn("_u", money.cents("usado"))
