@@ -453,36 +453,39 @@ def labels(v):
 # Report
 
 
-def _report(v: MarketViews) -> DataFrame:
-    return report.build(v.usuarios(), v.productos(), v.ordenes(), v.orden_detalles(), v.pagos(), v.creditos())
+def _bases(v: MarketViews) -> report.Bases:
+    return report.bases(v.usuarios(), v.productos(), v.ordenes(), v.pagos())
 
 
-def _stored_report(v: MarketViews) -> DataFrame:
+def _report(v: MarketViews, bases: report.Bases) -> DataFrame:
+    return report.build(bases, v.orden_detalles(), v.productos(), v.creditos())
+
+
+def _stored_report(v: MarketViews, bases: report.Bases) -> DataFrame:
     path = shared_path(v.spark, "report")
-    report.write(_report(v), path)
+    report.write(_report(v, bases), path)
     return report.read(v.spark, path)
 
 
 @query
-def report_nested(v): return _report(v)
+def report_nested(v): return _report(v, _bases(v))
 
 
 @query
-def report_sections(v): return report.flatten(_stored_report(v))
+def report_sections(v): return report.flatten(_stored_report(v, _bases(v)))
 
 
 @query
 def report_combined(v):
-    live = report.live(v.usuarios(), v.ordenes(), v.orden_detalles(), v.pagos())
-    both = report.combined(_stored_report(v), live)
+    bases = _bases(v)
+    both = report.combined(_stored_report(v, bases), report.live(bases, v.orden_detalles()))
     return both.select("fuente", F.posexplode("top_mostrado").alias("posicion", "p")).select("fuente", "posicion", "p.*")
 
 
 @query
 def report_live_months(v):
-    live = report.live(v.usuarios(), v.ordenes(), v.orden_detalles(), v.pagos())
     absent = report.read(v.spark, f"{v.sf_dir}/no-report")
-    both = report.combined(absent, live)
+    both = report.combined(absent, report.live(_bases(v), v.orden_detalles()))
     return both.select("fuente", F.explode("realtime.ventas_por_mes").alias("m")).select("fuente", "m.*")
 
 

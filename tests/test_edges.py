@@ -27,7 +27,8 @@ def test_everything_on_empty_tables(spark, none):
         credit.credit_panel(none["usuarios"], none["creditos"]), credit.movement_history(none["movimientos_credito"]),
     ):
         assert df.isEmpty()
-    row = report.build(*[none[n] for n in ("usuarios", "productos", "ordenes", "orden_detalles", "pagos", "creditos")]).first()
+    bases = report.bases(*[none[n] for n in ("usuarios", "productos", "ordenes", "pagos")])
+    row = report.build(bases, none["orden_detalles"], none["productos"], none["creditos"]).first()
     assert row.top_productos == [] and row.resumen.total_ordenes == 0 and row.credito.total_lineas == 0
 
 

@@ -85,8 +85,9 @@ def test_state_sums_equal_totals(t):
 
 
 def test_report_round_trip(spark, t, tmp_path):
-    built = report.build(t["usuarios"], t["productos"], t["ordenes"], t["orden_detalles"], t["pagos"], t["creditos"])
-    live = report.live(t["usuarios"], t["ordenes"], t["orden_detalles"], t["pagos"])
+    bases = report.bases(t["usuarios"], t["productos"], t["ordenes"], t["pagos"])
+    built = report.build(bases, t["orden_detalles"], t["productos"], t["creditos"])
+    live = report.live(bases, t["orden_detalles"])
     path = str(tmp_path / "report")
     assert report.read(spark, path).isEmpty()
     alone = report.combined(report.read(spark, path), live).first()

@@ -16,16 +16,15 @@ TOLERANCE = "0.01"  # fixed value: slack when a paid sum is compared with an ord
 
 def payment_methods(pagos: DataFrame, ci_ai: bool = False) -> DataFrame:
     """Uses and amount per method, most used first. ``ci_ai`` joins spellings that differ in case or accent."""
-    return (
-        pagos.groupBy(text_key(F.col("metodo_pago"), ci_ai).alias("clave"))
-        .agg(
-            F.min("metodo_pago").alias("metodo_pago"),
-            F.count("*").alias("usos"),
-            money.total(F.col("monto")).alias("monto_total"),
+    spelled = pagos.groupBy("metodo_pago").agg(F.count("*").alias("usos"), F.sum("monto").alias("monto"))
+    if ci_ai:
+        # Spellings are few by now; only they are compared by the collation.
+        spelled = spelled.groupBy(text_key(F.col("metodo_pago"), True).alias("clave")).agg(
+            F.min("metodo_pago").alias("metodo_pago"), F.sum("usos").alias("usos"), F.sum("monto").alias("monto")
         )
-        .select("metodo_pago", "usos", "monto_total")
-        .orderBy(F.desc("usos"), "metodo_pago")
-    )
+    return spelled.select(
+        "metodo_pago", "usos", F.coalesce("monto", F.lit(0)).cast("double").alias("monto_total")
+    ).orderBy(F.desc("usos"), "metodo_pago")
 
 
 def paid_per_order(ordenes: DataFrame, pagos: DataFrame) -> DataFrame:

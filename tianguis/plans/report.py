@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tianguis.operators import catalog, credit, payments, sales, summary, users
+from tianguis.functions import money
+from tianguis.operators import credit, sales, summary
+from tianguis.session import durable
 
 _I, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
 
@@ -54,22 +58,111 @@ def _object(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.struct("*").alias(name))
 
 
-def build(usuarios, productos, ordenes, detalles, pagos, creditos) -> DataFrame:
+@dataclass(frozen=True)
+class Bases:
+    """What one pass over each table leaves for all sections that need it."""
+
+    usuarios: DataFrame
+    productos: DataFrame
+    ordenes: DataFrame
+    pagos: DataFrame
+
+
+def bases(usuarios, productos, ordenes, pagos) -> Bases:
+    """Group every table once, by all keys its sections use, and keep the small results.
+
+    Without the cut each section would scan its table again, because Catalyst prunes and filters every
+    copy of the aggregate differently.
+    """
+    n = F.count("*").alias("n")
+    return Bases(
+        usuarios=durable(usuarios.groupBy("rol", "estado").agg(n)),
+        productos=durable(
+            productos.groupBy("id_vendedor").agg(
+                n,
+                F.count_if("activo").alias("activos"),
+                F.sum("precio").alias("precios"),
+                F.count("precio").alias("con_precio"),
+                F.sum(F.col("precio") * F.col("cantidad")).alias("valor"),
+            )
+        ),
+        ordenes=durable(
+            ordenes.groupBy("estado", sales.month("fecha").alias("mes")).agg(n, F.sum("total").alias("total"))
+        ),
+        pagos=durable(pagos.groupBy("metodo_pago").agg(n, F.sum("monto").alias("monto"))),
+    )
+
+
+def _sum(c: Column | str, when: Column | None = None) -> Column:
+    value = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0))
+
+
+def _mean(total: Column, count: Column) -> Column:
+    whole = (total * F.lit(100)).cast("decimal(30,0)")
+    return F.coalesce(money.from_cents(money.div_half_up(whole, count)), F.lit(0.0))
+
+
+def _summary(b: Bases) -> DataFrame:
+    rol, estado = F.col("rol"), F.col("estado")
+    return summary.beside(
+        b.usuarios.agg(
+            _sum("n").alias("total_usuarios"),
+            _sum("n", rol == "comprador").alias("compradores"),
+            _sum("n", rol == "vendedor").alias("vendedores"),
+            _sum("n", rol == "admin").alias("admins"),
+            _sum("n", estado == "activo").alias("usuarios_activos"),
+            _sum("n", estado == "pendiente").alias("usuarios_pendientes"),
+        ),
+        b.productos.agg(
+            _sum("n").alias("total_productos"),
+            _sum("activos").alias("productos_activos"),
+            _mean(F.sum("precios"), _sum("con_precio")).alias("precio_promedio"),
+        ),
+        b.ordenes.agg(
+            _sum("n").alias("total_ordenes"),
+            _sum("n", estado == "pagada").alias("ordenes_pagadas"),
+            _sum("n", estado == "pendiente").alias("ordenes_pendientes"),
+            _sum("total", estado == "pagada").cast("double").alias("ingresos_totales"),
+        ),
+        b.pagos.agg(_sum("n").alias("total_pagos"), _sum("monto").cast("double").alias("monto_total_pagado")),
+    )
+
+
+def _roles(b: Bases) -> DataFrame:
+    return b.usuarios.groupBy("rol").agg(F.sum("n").alias("cantidad"))
+
+
+def _states(b: Bases) -> DataFrame:
+    return b.ordenes.groupBy("estado").agg(F.sum("n").alias("cantidad"), _sum("total").cast("double").alias("monto"))
+
+
+def _methods(b: Bases, name: str) -> DataFrame:
+    return b.pagos.select(
+        F.col("metodo_pago").alias(name), F.col("n").alias("usos"), F.coalesce("monto", F.lit(0)).cast("double").alias("monto_total")
+    )
+
+
+def build(b: Bases, detalles: DataFrame, productos: DataFrame, creditos: DataFrame, k: int = 5) -> DataFrame:
     """One row with every section. Nothing is collected to the driver."""
-    top = sales.top_products(detalles, productos)
-    spark = usuarios.sparkSession
+    spark = detalles.sparkSession
+    paid = F.col("estado") == "pagada"
+    months = b.ordenes.filter(paid).select("mes", F.coalesce("total", F.lit(0)).cast("double").alias("ingresos"), F.col("n").alias("num_ordenes"))
+    sellers = b.productos.orderBy(F.desc("n"), "id_vendedor").limit(k).select(
+        F.col("id_vendedor").alias("vendedor_id"), F.col("n").alias("num_productos"),
+        _mean(F.col("precios"), F.col("con_precio")).alias("precio_promedio"),
+        F.coalesce("valor", F.lit(0)).cast("double").alias("valor_inventario"),
+    )
+    top = sales.top_products(detalles, productos, k).select("id", "nombre", "unidades_vendidas", "ingresos")
     parts = summary.beside(
-        _object(summary.summary(usuarios, productos, ordenes, pagos), "resumen"),
-        _section(top.select("id", "nombre", "unidades_vendidas", "ingresos"), "top_productos",
-                 -F.col("unidades_vendidas"), F.col("id")),
-        _section(sales.revenue_by_month(ordenes), "ingresos_por_mes", F.col("mes")),
-        _section(users.users_by_role(usuarios), "distribucion_roles", -F.col("cantidad"), F.col("rol")),
-        _section(payments.payment_methods(pagos).withColumnRenamed("metodo_pago", "metodo"), "metodos_pago",
-                 -F.col("usos"), F.col("metodo")),
+        _object(_summary(b), "resumen"),
+        _section(top, "top_productos", -F.col("unidades_vendidas"), F.col("id")),
+        _section(months, "ingresos_por_mes", F.col("mes")),
+        _section(_roles(b), "distribucion_roles", -F.col("cantidad"), F.col("rol")),
+        _section(_methods(b, "metodo"), "metodos_pago", -F.col("usos"), F.col("metodo")),
         _object(credit.credit_stats(creditos), "credito"),
-        _section(sales.orders_by_state(ordenes), "estados_ordenes", F.col("estado")),
-        _section(catalog.inventory_by_seller(productos), "inventario_por_vendedor",
-                 -F.col("num_productos"), F.col("vendedor_id")),
+        _section(_states(b).select("estado", "cantidad"), "estados_ordenes", F.col("estado")),
+        _section(sellers, "inventario_por_vendedor", -F.col("num_productos"), F.col("vendedor_id")),
     )
     stamped = parts.withColumn("generado_en", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     stamped = stamped.withColumn("spark_version", F.lit(spark.version))
@@ -91,17 +184,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("fuente", F.lit("spark"))
 
 
-def live(usuarios, ordenes, detalles, pagos) -> DataFrame:
+def live(b: Bases, detalles: DataFrame) -> DataFrame:
     """The live figures as one row with one struct ``realtime``."""
     top = sales.top_products_live(detalles, times_sold=False)
-    months = sales.sales_by_month(ordenes).withColumnRenamed("num_ordenes", "ordenes")
+    paid = F.col("estado") == "pagada"
+    months = b.ordenes.groupBy("mes").agg(F.sum("n").alias("ordenes"), _sum("total", paid).cast("double").alias("ingresos"))
     parts = summary.beside(
-        usuarios.agg(F.count("*").alias("total_usuarios")),
-        _section(users.users_by_role(usuarios), "usuarios_por_rol", F.col("rol")),
-        _section(sales.orders_by_state_amount(ordenes), "ordenes_por_estado", F.col("estado")),
+        b.usuarios.agg(_sum("n").alias("total_usuarios")),
+        _section(_roles(b), "usuarios_por_rol", F.col("rol")),
+        _section(_states(b), "ordenes_por_estado", F.col("estado")),
         _section(months, "ventas_por_mes", F.col("mes")),
         _section(top, "top_productos", -F.col("unidades"), F.col("id_producto")),
-        _section(payments.payment_methods(pagos), "metodos_pago", F.col("metodo_pago")),
+        _section(_methods(b, "metodo_pago"), "metodos_pago", F.col("metodo_pago")),
     )
     return _object(parts, "realtime")
 

@@ -10,6 +10,19 @@ SELLER_ID_BASE = 1_000_000_000
 ADMIN_ID_BASE = 2_000_000_000
 
 
+# Columns of the star schema, so that reading a table needs no schema job.
+STAR_SCHEMA = {
+    "region": "r_regionkey int, r_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _by_balance(balance: Column, negative: str, low: str, otherwise: str) -> Column:
     return F.when(balance < 0, negative).when(balance < 500, low).otherwise(otherwise)
 
@@ -30,7 +43,7 @@ class MarketViews:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self.spark.read.schema(STAR_SCHEMA[table]).parquet(f"{self.sf_dir}/{table}.parquet")
 
     def usuarios(self, con_fecha: bool = False) -> DataFrame:
         """Customers buy, suppliers sell, regions administer. The first order dates a buyer's registration."""
