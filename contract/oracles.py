@@ -338,7 +338,7 @@ def all_oracles() -> dict[str, str]:
                CAST(min(precio) AS DOUBLE) AS precio_minimo, CAST(max(precio) AS DOUBLE) AS precio_maximo,
                CAST(sum(precio * cantidad) AS DOUBLE) AS valor_total_inventario FROM productos WHERE activo""", "productos"),
         "price_histogram": _with(
-            """SELECT CAST(b.bin AS INT) AS bin, lo::DOUBLE / 100 + b.bin * (hi - lo)::DOUBLE / 1000 AS desde,
+            """SELECT CAST(b.bin AS INT) AS bin, lo::DOUBLE / 100 + b.bin * ((hi - lo)::DOUBLE / 1000) AS desde,
                count(c.i) AS cantidad FROM h, range(10) b(bin)
                LEFT JOIN (SELECT least((CAST(precio * 100 AS BIGINT) - lo) * 10 // (hi - lo), 9) AS i FROM productos, h) c ON c.i = b.bin
                GROUP BY b.bin, lo, hi""", "h"),

@@ -56,24 +56,21 @@ def price_histogram(productos: DataFrame, bins: int = 10) -> DataFrame:
     Bins are cut in whole cents. One single price widens the range by half a unit on both sides.
     """
     price = money.cents("precio")
-    span = productos.agg(F.min(price).alias("a"), F.max(price).alias("b")).select(
-        F.when(F.col("a") == F.col("b"), F.col("a") - 50).otherwise(F.col("a")).alias("a"),
-        F.when(F.col("a") == F.col("b"), F.col("b") + 50).otherwise(F.col("b")).alias("b"),
-    )
-    low, high = span.select("a").scalar(), span.select("b").scalar()
+    lowest, highest = F.min(price), F.max(price)
+    slack = F.when(lowest == highest, 50).otherwise(0)
+    span = productos.agg(F.struct((lowest - slack).alias("a"), (highest + slack).alias("b")).alias("_span")).scalar()
+    low, high = F.col("_span.a"), F.col("_span.b")
     counted = (
-        productos.select(
-            F.least(money.div((price - low) * bins, high - low), F.lit(bins - 1)).cast("int").alias("bin")
-        )
+        productos.select(price.alias("_price"), span.alias("_span"))
+        .select(F.least(money.div((F.col("_price") - low) * bins, high - low), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
-    frame = productos.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (low.cast("double") / 100 + F.col("id") * (high - low).cast("double") / (100 * bins)).alias("desde"),
-    )
+    width = (high - low).cast("double") / (100 * bins)
+    frame = productos.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("_span"))
     return (
         frame.filter(low.isNotNull())
+        .select("bin", (low.cast("double") / 100 + F.col("bin") * width).alias("desde"))
         .join(counted, "bin", "left")
         .select("bin", "desde", F.coalesce("n", F.lit(0).cast("bigint")).alias("cantidad"))
         .orderBy("bin")

@@ -97,11 +97,7 @@ def payment_application(
     asked = pagos.select("id_orden", "transaccion_id", *[c for c in order if c != "transaccion_id"], "monto").withColumn(
         "_x", money.cents("monto")
     )
-    judged = admit(
-        asked, capacity.select("id_orden", "capacidad", "holgura"), "id_orden", order, "_x", limits=limits
-    )
-    totals = capacity.select("id_orden", "_total", "holgura", "capacidad")
-    rows = judged.join(totals, "id_orden", "left")
+    rows = admit(asked, capacity, "id_orden", order, "_x", limits=limits, keep=("capacidad", "holgura", "_total"))
     exact = (F.col("_total") > 0) & (F.col("holgura") == 1)
     why = (
         F.when(F.col(GRANTED), F.lit(None).cast("string"))

@@ -30,9 +30,12 @@ def admit(
     amount: str,
     slack: int = 0,
     limits: skew.Limits = skew.DEFAULT,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Every request with ``concedido``, ``antes`` and ``despues`` (what was left before and after it).
 
+    ``keep`` names columns of ``capacity`` to put beside every request, which saves a join with it later.
+
     ``capacity`` holds (key, ``capacidad``) as BIGINT; a key without a row there is refused with NULLs.
     Requests of 0 or less are refused. ``order`` must be total inside a key. With ``slack`` 1 the capacity
     includes one unit of tolerance, and a key whose remainder becomes exactly 1 by a granted request is
@@ -44,10 +47,13 @@ def admit(
         capacity = capacity.withColumn("holgura", F.lit(slack))
     hot = skew.find_hot(requests, [key], limits)
     if hot is None:
-        return _fold_small(requests, capacity, key, order, amount)
+        return _fold_small(requests, capacity, key, order, amount, keep)
     cold_rows, hot_rows = skew.split_hot(requests, [key], hot, limits)
-    small = _fold_small(cold_rows, capacity, key, order, amount)
+    small = _fold_small(cold_rows, capacity, key, order, amount, keep)
     large = _fold_phases(hot_rows, capacity, key, order, amount, hot, limits)
+    if keep:
+        beside = hot.table.join(capacity.select(key, *keep), key)
+        large = large.join(_side(beside, hot, limits), key, "left")
     return small.unionByName(large)
 
 
@@ -55,7 +61,7 @@ def _close(after: Column) -> Column:
     return F.when((F.col("holgura") == 1) & (after == 1), F.lit(0).cast("bigint")).otherwise(after)
 
 
-def _fold_small(requests, capacity, key, order, amount) -> DataFrame:
+def _fold_small(requests, capacity, key, order, amount, keep) -> DataFrame:
     columns = requests.columns
     # The order columns come first, so the array sorts by them.
     row = F.struct(*order, *[c for c in columns if c not in order])
@@ -76,8 +82,8 @@ def _fold_small(requests, capacity, key, order, amount) -> DataFrame:
     verdicts = F.aggregate("_rows", start, step, lambda acc: acc["out"])
     return (
         grouped.join(capacity, key, "left")
-        .select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), verdicts.alias("o"))).alias("_x"))
-        .select(*[F.col(f"_x.r.{c}").alias(c) for c in columns], "_x.o.*")
+        .select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), verdicts.alias("o"))).alias("_x"), *keep)
+        .select(*[F.col(f"_x.r.{c}").alias(c) for c in columns], "_x.o.*", *keep)
     )
 
 

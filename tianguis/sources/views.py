@@ -27,12 +27,15 @@ def _by_balance(balance: Column, negative: str, low: str, otherwise: str) -> Col
     return F.when(balance < 0, negative).when(balance < 500, low).otherwise(otherwise)
 
 
-def _mapped(c: str, mapping: dict[str, str]) -> Column:
-    (first, value), *rest = mapping.items()
-    out = F.when(F.col(c) == first, value)
-    for key, text in rest:
+def _mapped(c: str, mapping: dict[str, str], complete: bool = False) -> Column:
+    """Value by key. In a ``complete`` mapping the last value needs no test, which lets an equality on the
+    result reach the scan as an equality on the source column."""
+    pairs = list(mapping.items())
+    tested = pairs[:-1] if complete else pairs
+    out = F.when(F.col(c) == tested[0][0], tested[0][1])
+    for key, text in tested[1:]:
         out = out.when(F.col(c) == key, text)
-    return out
+    return out.otherwise(pairs[-1][1]) if complete else out
 
 
 class MarketViews:
@@ -88,7 +91,7 @@ class MarketViews:
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("id_comprador"),
             d2("o_totalprice").alias("total"),
-            _mapped("o_orderstatus", {"F": "pagada", "O": "pendiente", "P": "cancelada"}).alias("estado"),
+            _mapped("o_orderstatus", {"F": "pagada", "O": "pendiente", "P": "cancelada"}, complete=True).alias("estado"),
             F.col("o_orderdate").alias("fecha"),
         )
 
@@ -111,7 +114,7 @@ class MarketViews:
         )
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("id_orden"),
-            _mapped("l_returnflag", {"A": "tarjeta", "N": "transferencia", "R": "efectivo"}).alias("metodo_pago"),
+            _mapped("l_returnflag", {"A": "tarjeta", "N": "transferencia", "R": "efectivo"}, complete=True).alias("metodo_pago"),
             d2("l_extendedprice").alias("monto"),
             F.concat(F.lit("TXN-"), F.upper(F.substring(F.sha2(key, 256), 1, 32))).alias("transaccion_id"),
             F.lit("exitoso").alias("estado"),
@@ -158,7 +161,7 @@ class MarketViews:
         return self.raw("events").select(
             F.col("event_id").alias("id"),
             F.col("user_id").alias("usuario_id"),
-            _mapped("event_type", kinds).alias("tipo"),
+            _mapped("event_type", kinds, complete=True).alias("tipo"),
             d2("value").alias("monto"),
             F.col("ts").alias("fecha"),
         )
@@ -204,7 +207,7 @@ class MarketViews:
         """Product changes by line flag in order (momento, n1, n2, n3, precio); every supplier publishes a product."""
         lines = self.raw("lineitem").select(
             F.col("l_partkey").alias("id_producto"),
-            _mapped("l_returnflag", {"A": "editar", "N": "aprobar", "R": "desactivar"}).alias("tipo"),
+            _mapped("l_returnflag", {"A": "editar", "N": "aprobar", "R": "desactivar"}, complete=True).alias("tipo"),
             (F.col("l_suppkey") % 25 + 1).cast("int").alias("id_vendedor"),
             F.lit("vendedor").alias("rol"),
             F.concat(F.lit("Producto "), F.col("l_partkey").cast("string"), F.lit(" v"), F.col("l_linenumber").cast("string")).alias("nombre"),
