@@ -3,6 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from tests import seed
+from tianguis.operators import sales
+from tianguis.sources import sinks
+from tianguis.sources.tables import read_table
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -51,8 +55,12 @@ def test_scans_read_only_what_is_used(spark):
     assert "TakeOrderedAndProject" in text
 
 
-def test_state_filter_reaches_the_scan(spark):
-    assert "EqualTo(o_orderstatus,F)" in plan(spark, "revenue_by_month")
+def test_state_filter_reaches_the_scan(spark, tmp_path):
+    """On the canonical tables, where the state is a stored column."""
+    sinks.export_table(seed.frames(spark)["ordenes"], str(tmp_path), "ordenes")
+    df = sales.revenue_by_month(read_table(spark, str(tmp_path), "ordenes"))
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "EqualTo(estado,pagada)" in text and "ReadSchema: struct<total:decimal(10,2),estado:string,fecha:timestamp>" in text
 
 
 def test_history_limits_before_the_shuffle(spark):
