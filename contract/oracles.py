@@ -275,6 +275,13 @@ _DAYS = "CAST(precio_unitario AS DOUBLE) AS precio_unitario"
 
 
 def all_oracles() -> dict[str, str]:
+    oracles = _oracles()
+    for name in ("orders_by_user", "stock_fold", "payment_application"):
+        oracles[f"{name}_hot_keys"] = oracles[name]
+    return oracles
+
+
+def _oracles() -> dict[str, str]:
     return {
         "summary_users": _with("SELECT * FROM r_usuarios", "r_usuarios"),
         "summary_products": _with("SELECT * FROM r_productos", "r_productos"),

@@ -13,7 +13,7 @@ from tianguis.functions.text import capital_first, money_text
 from tianguis.operators import (
     catalog, changes, credit, ledger, lookup, orders, payments, quality, sales, summary, users,
 )
-from tianguis.plans import report
+from tianguis.plans import report, skew
 from tianguis.session import durable, shared_path
 from tianguis.sources.views import MarketViews
 from tianguis.streaming import jobs
@@ -450,6 +450,26 @@ def labels(v):
     )
 
 
+# The same folds with limits so low that most keys are cut into chunks, over the whole tables.
+
+
+def _low(rows: int) -> skew.Limits:
+    return skew.Limits(hot_rows=rows, chunk_rows=1000 * rows)
+
+
+@query
+def orders_by_user_hot_keys(v): return orders.orders_by_user(v.ordenes(), _low(8))
+
+
+@query
+def stock_fold_hot_keys(v):
+    return _money_out(orders.stock_fold(v.orden_detalles(), _stocked(v), LINE_ORDER, _low(30)))
+
+
+@query
+def payment_application_hot_keys(v): return payments.payment_application(v.ordenes(), v.pagos(), limits=_low(6))
+
+
 # Report
 
 

@@ -108,10 +108,9 @@ def _fold_phases(requests, capacity, key, order, amount, hot, limits) -> DataFra
     chunks = skew.in_chunks(tagged, [key], [F.col(c) for c in order], hot.rows, limits)
 
     # One row per hot key and phase: what guards (s), what is shown (v), and the request that ends it.
-    opening = hot.table.join(capacity, key, "left")
-    state = durable(
-        opening.select(key, "holgura", F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), F.lit(None).cast(
-            chunks.schema["_o"].dataType).alias("since"))
+    nowhere = F.lit(None).cast(chunks.schema["_o"].dataType)
+    state = hot.table.join(capacity, key, "left").select(
+        key, "holgura", F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), nowhere.alias("since")
     )
     phases: list[DataFrame] = []
     while not state.isEmpty():
@@ -119,10 +118,8 @@ def _fold_phases(requests, capacity, key, order, amount, hot, limits) -> DataFra
         done = durable(state.join(stop, key, "left").withColumn("n", F.lit(len(phases))))
         phases.append(done)
         left = F.col("stop.left")
-        state = durable(
-            done.filter(F.col("stop").isNotNull()).select(
-                key, "holgura", _close(left).alias("s"), left.alias("v"), F.col("stop._o").alias("since")
-            )
+        state = done.filter(F.col("stop").isNotNull()).select(
+            key, "holgura", _close(left).alias("s"), left.alias("v"), F.col("stop._o").alias("since")
         )
     return _settle(chunks, reduce(DataFrame.unionByName, phases), key, columns, hot, limits)
 
