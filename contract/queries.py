@@ -544,8 +544,9 @@ def stream_unique_payments(v):
 def stream_payments(v):
     streams = _streams(v)
     static = MarketViews(streams.spark, v.sf_dir).ordenes()
-    done = jobs.run_append(jobs.payment_states(streams.pagos(), static), shared_path(v.spark, "payments"))
-    return v.spark.read.parquet(done.path)
+    done = jobs.run_payments(streams.pagos(), static, shared_path(v.spark, "payments"))
+    verdicts = v.spark.read.parquet(done.path)
+    return verdicts.select("id_orden", "transaccion_id", "aceptado", "total_pagado_acumulado", "estado_orden")
 
 
 def all_queries() -> dict[str, Query]:

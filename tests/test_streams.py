@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tianguis.operators import payments, sales
+from tianguis.plans import skew
 from tianguis.streaming import jobs
 
 
@@ -58,13 +59,14 @@ def test_repeated_payments_are_dropped(spark, session, tmp_path):
     assert got == sorted(f"T{i}" for i in range(12))
 
 
-def test_payment_state_equals_batch(spark, session, tmp_path):
+@pytest.mark.parametrize("limits", [skew.DEFAULT, skew.Limits(hot_rows=1, chunk_rows=2)], ids=["one array", "chunks"])
+def test_payment_state_equals_batch(spark, session, tmp_path, limits):
     orders = spark.createDataFrame([(i, Decimal("10.00"), "pendiente") for i in range(4)], "id long, total decimal(12,2), estado string")
     rows = [(n // 8, n % 4, f"T{n:02}", Decimal((n * 7) % 6 + 1), datetime(2026, 1, 1) + timedelta(minutes=n)) for n in range(24)]
     df = spark.createDataFrame(rows, "lote_prueba int, id_orden long, transaccion_id string, monto decimal(12,2), fecha_pago timestamp")
     feed(df, str(tmp_path / "in"), 3)
     static = session.createDataFrame([tuple(r) for r in orders.collect()], orders.schema)
-    done = jobs.run_append(jobs.payment_states(stream(session, str(tmp_path / "in"), df), static), str(tmp_path / "out"))
+    done = jobs.run_payments(stream(session, str(tmp_path / "in"), df), static, str(tmp_path / "out"), limits)
     got = {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in spark.read.parquet(done.path).collect()}
     batch = payments.payment_application(orders, df.drop("lote_prueba"))
     assert got == {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in batch.collect()}

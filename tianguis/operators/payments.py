@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tianguis.functions import money
 from tianguis.functions.text import text_key
@@ -77,45 +77,57 @@ def payment_application(
     order: Sequence[str] = ("fecha_pago", "transaccion_id"),
     replay: bool = True,
     closure: DataFrame | None = None,
+    previous: DataFrame | None = None,
     limits: skew.Limits = skew.DEFAULT,
 ) -> DataFrame:
     """Payments in order against their orders: refused once the order is paid or when they exceed the rest.
 
     One cent above the total is tolerated. ``replay`` starts every order as unpaid; without it an order that
-    is already ``pagada`` refuses. ``closure`` (id_orden, cierre_ok) tells orders whose closing failed: they
-    stay open although fully paid.
+    is already ``pagada`` refuses. ``previous`` (id_orden, pagado, cerrada) holds what earlier runs accepted.
+    ``closure`` (id_orden, cierre_ok) tells orders whose closing failed: they stay open although fully paid.
     """
-    opening = money.cents("total") + 1
+    capacity = ordenes.select(F.col("id").alias("id_orden"), "estado", money.cents("total").alias("_total"))
+    holds, paid, closed = F.lit(1), F.lit(0).cast("bigint"), F.lit(False)
+    if closure is not None:
+        capacity = capacity.join(closure.select("id_orden", "cierre_ok"), "id_orden", "left")
+        holds = F.coalesce(F.col("cierre_ok").cast("int"), F.lit(1))
+    if previous is not None:
+        earlier = previous.select("id_orden", money.cents("pagado").alias("_pagado"), F.col("cerrada").alias("_cerrada"))
+        capacity = capacity.join(earlier, "id_orden", "left")
+        paid, closed = F.coalesce("_pagado", paid), F.coalesce("_cerrada", closed)
     if not replay:
-        opening = F.when(F.col("estado") == "pagada", F.lit(0).cast("bigint")).otherwise(opening)
-    capacity = ordenes.select(F.col("id").alias("id_orden"), opening.alias("capacidad"), money.cents("total").alias("_total"))
-    if closure is None:
-        capacity = capacity.withColumn("holgura", F.lit(1))
-    else:
-        ok = closure.select("id_orden", F.col("cierre_ok").cast("int").alias("holgura"))
-        capacity = capacity.join(ok, "id_orden", "left").withColumn("holgura", F.coalesce("holgura", F.lit(1)))
+        settled = F.col("estado") == "pagada"
+        paid, closed = F.when(settled, F.col("_total")).otherwise(paid), settled | closed
+    capacity = capacity.select(
+        "id_orden", "_total", (F.col("_total") + 1 - paid).alias("capacidad"), holds.alias("holgura"), closed.alias("cerrada")
+    )
     asked = pagos.select("id_orden", "transaccion_id", *[c for c in order if c != "transaccion_id"], "monto").withColumn(
         "_x", money.cents("monto")
     )
-    rows = admit(asked, capacity, "id_orden", order, "_x", limits=limits, keep=("capacidad", "holgura", "_total"))
-    exact = (F.col("_total") > 0) & (F.col("holgura") == 1)
+    rows = admit(asked, capacity, "id_orden", order, "_x", limits=limits, keep=("_total", "holgura", "cerrada"))
+
+    def is_closed(left: str) -> Column:
+        return F.col("cerrada") | ((F.col("_total") > 0) & (F.col("holgura") == 1) & (F.col(left) == 1))
+
     why = (
         F.when(F.col(GRANTED), F.lit(None).cast("string"))
         .when(F.col("_total").isNull(), ORDER_UNKNOWN)
-        .when((exact & (F.col(BEFORE) == 1)) | (F.col("capacidad") < F.col("_total")), ORDER_PAID)
+        .when(is_closed(BEFORE), ORDER_PAID)
         .when(F.col("_x").isNull() | (F.col("_x") <= 0), BAD_AMOUNT)
         .otherwise(TOO_MUCH)
     )
-    paid = F.col("_total") + 1 - F.col(AFTER)
-    closed = (exact & (F.col(AFTER) == 1)) | (F.col("capacidad") < F.col("_total"))
+    total_paid = F.col("_total") + 1 - F.col(AFTER)
     return rows.select(
         "id_orden", "transaccion_id", *[c for c in order if c != "transaccion_id"],
         money.as_double("monto").alias("monto"),
         F.col(GRANTED).alias("aceptado"),
         why.alias("motivo"),
-        money.from_cents(paid).alias("total_pagado_acumulado"),
-        money.from_cents(F.greatest(F.col("_total") - paid, F.lit(0).cast("bigint"))).alias("saldo_restante"),
-        F.when(F.col("_total").isNull(), F.lit(None).cast("string")).when(closed, "pagada").otherwise("pendiente").alias("estado_orden"),
+        money.from_cents(total_paid).alias("total_pagado_acumulado"),
+        money.from_cents(F.greatest(F.col("_total") - total_paid, F.lit(0).cast("bigint"))).alias("saldo_restante"),
+        F.when(F.col("_total").isNull(), F.lit(None).cast("string"))
+        .when(is_closed(AFTER), "pagada")
+        .otherwise("pendiente")
+        .alias("estado_orden"),
     )
 
 

@@ -39,12 +39,15 @@ def admit(
     ``capacity`` holds (key, ``capacidad``) as BIGINT; a key without a row there is refused with NULLs.
     Requests of 0 or less are refused. ``order`` must be total inside a key. With ``slack`` 1 the capacity
     includes one unit of tolerance, and a key whose remainder becomes exactly 1 by a granted request is
-    closed: nothing is granted afterwards. A column ``holgura`` of ``capacity`` sets the slack per key.
+    closed: nothing is granted afterwards. Optional columns of ``capacity``: ``holgura``, the slack per key,
+    and ``cerrada``, whether the key is closed from the start.
     """
     if slack not in (0, 1):
         raise ValueError("slack is counted in the smallest unit and is 0 or 1")
     if "holgura" not in capacity.columns:
         capacity = capacity.withColumn("holgura", F.lit(slack))
+    if "cerrada" not in capacity.columns:
+        capacity = capacity.withColumn("cerrada", F.lit(False))
     hot = skew.find_hot(requests, [key], limits)
     if hot is None:
         return _fold_small(requests, capacity, key, order, amount, keep)
@@ -57,6 +60,10 @@ def admit(
     return small.unionByName(large)
 
 
+def _guard() -> Column:
+    return F.when(F.col("cerrada"), F.lit(0).cast("bigint")).otherwise(F.col("capacidad"))
+
+
 def _close(after: Column) -> Column:
     return F.when((F.col("holgura") == 1) & (after == 1), F.lit(0).cast("bigint")).otherwise(after)
 
@@ -77,7 +84,7 @@ def _fold_small(requests, capacity, key, order, amount, keep) -> DataFrame:
         return F.struct(left.alias("s"), seen.alias("v"), F.concat(acc["out"], F.array(out)).alias("out"))
 
     start = F.struct(
-        F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), F.expr(f"cast(array() as {_OUT})").alias("out")
+        _guard().alias("s"), F.col("capacidad").alias("v"), F.expr(f"cast(array() as {_OUT})").alias("out")
     )
     verdicts = F.aggregate("_rows", start, step, lambda acc: acc["out"])
     return (
@@ -110,7 +117,7 @@ def _fold_phases(requests, capacity, key, order, amount, hot, limits) -> DataFra
     # One row per hot key and phase: what guards (s), what is shown (v), and the request that ends it.
     nowhere = F.lit(None).cast(chunks.schema["_o"].dataType)
     state = hot.table.join(capacity, key, "left").select(
-        key, "holgura", F.col("capacidad").alias("s"), F.col("capacidad").alias("v"), nowhere.alias("since")
+        key, "holgura", _guard().alias("s"), F.col("capacidad").alias("v"), nowhere.alias("since")
     )
     phases: list[DataFrame] = []
     while not state.isEmpty():

@@ -17,7 +17,7 @@ from tianguis.session import durable
 
 HOT_ROWS = 1_000  # a key with more rows than this is cut into chunks
 CHUNK_ROWS = 2_000_000  # rows of hot keys aimed at per chunk; work on chunks spills, it is not held in memory
-BROADCAST_KEYS = 100_000  # a table of keys is broadcast only when it was counted to be smaller
+BROADCAST_KEYS = 10_000  # a table of keys is broadcast only when it was counted to be smaller
 CHUNK = "_chunk"
 
 
