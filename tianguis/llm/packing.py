@@ -25,8 +25,9 @@ from tianguis.llm.word_ids import word_ids
 #: Groups of equal cardinality of the large lengths, and the share of a sequence from which a length is large.
 GROUPS = 256
 LARGE = 1 / 8
-#: Pieces that are ranked in one group.
-RANKED_ROWS = 100_000
+#: Pieces of one length that are ranked in one group, and the most groups of a length.
+RANKED_ROWS = 2_000
+RANKED_GROUPS = 65_536
 
 
 @dataclass
@@ -203,7 +204,7 @@ def pieces(documents: DataFrame, tokenizer_file: str, capacity: int, separator:
             begin = size = 0
             for i, t in enumerate([*data, None]):
                 size += len(t or b"")
-                if size > 4_000_000 or i == len(data):
+                if size > 2_000_000 or i == len(data):
                     out: list[tuple] = []
                     cut(doc_ids[begin : i + 1], data[begin : i + 1], out)
                     begin, size = i + 1, 0
@@ -229,7 +230,7 @@ def pack(documents: DataFrame, tokenizer_file: str, capacity: int = 2048, separa
     table = saved(pieces(documents, tokenizer_file, capacity, separator, keep_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.sparkContext.broadcast(plan(histogram, capacity))
-    buckets = max(1, sum(histogram.values()) // RANKED_ROWS)
+    buckets = min(RANKED_GROUPS, max(1, sum(histogram.values()) // RANKED_ROWS))
     dealt = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

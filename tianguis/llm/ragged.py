@@ -66,3 +66,57 @@ def lookup(table: np.ndarray) -> np.ndarray:
 
 
 SPACES = lookup(np.array([9, 10, 11, 12, 13, 32]))
+
+
+class Words:
+    """Words of a batch of texts: places in ``buffer``, hash, and the text each belongs to (``ends_of``: words up to its end)."""
+
+    def __init__(self, texts: list[bytes], fold: np.ndarray, powers: Powers):
+        self.buffer = fold[np.frombuffer(b"\n".join(texts), dtype=np.uint8)] if texts else np.empty(0, dtype=np.uint8)
+        self.starts, self.ends = places(self.buffer, SPACES)
+        self.hash = hashes(self.buffer, self.starts, self.ends, powers)
+        self.ends_of = np.searchsorted(self.starts, np.cumsum([len(t) + 1 for t in texts]))
+        self.starts_of = np.concatenate([[0], self.ends_of[:-1]]).astype(np.int64)
+
+    def text(self, word: int, n: int = 1) -> bytes:
+        """``n`` words from ``word`` on, a space between them."""
+        return b" ".join(self.buffer[a:b].tobytes() for a, b in zip(self.starts[word : word + n], self.ends[word : word + n], strict=True))
+
+
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word shingles, and their number per text; a text of fewer words has one, of all of them."""
+    n = words.ends_of - words.starts_of
+    h = np.zeros(len(words.hash), dtype=np.uint64)
+    for i in range(k):
+        later = words.hash[i:]
+        h[: len(later)] = (h[: len(later)] + later) * _BASE
+        h ^= h >> np.uint64(31)
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    out = gather(h, words.starts_of, count)
+    first = np.cumsum(count) - count
+    for t in np.flatnonzero((n > 0) & (n < k)):
+        whole = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for x in words.hash[words.starts_of[t] : words.ends_of[t]]:
+                whole = (whole + x) * _BASE
+                whole ^= whole >> np.uint64(31)
+        out[first[t]] = whole ^ np.uint64(n[t])
+    return out, count
+
+
+def steps(sizes: list[int], most: int = 2_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, one text at least, so that what is derived from a batch stays small."""
+    out, begin, size = [], 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            out.append((begin, i))
+            begin, size = i, 0
+        size += n
+    return [*out, (begin, len(sizes))] if len(sizes) > begin else out
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Lower case, ASCII punctuation as spaces.
+PLAIN = LOWER.copy()
+PLAIN[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", dtype=np.uint8)] = 32

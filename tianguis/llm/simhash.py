@@ -62,6 +62,7 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
 
 def _bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of about equal width; each starts with a free bit and takes those most correlated with it."""
+    sample = sample if len(sample) else np.zeros(1, dtype=np.uint64)
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     centred = bits - bits.mean(axis=0)
     norm = np.sqrt((centred**2).sum(axis=0)) + 1e-9
@@ -126,7 +127,7 @@ def masks(allocated: list[tuple[list[int], int]]) -> list[int]:
 
 def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that connect all those within ``distance`` bits."""
-    rows = classes.count()
+    rows = max(2, classes.count())
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     chosen = masks(allocation(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), rows, distance))
     probes = F.posexplode(F.array(*[F.lit(m).cast("long") for m in chosen])).alias("_probe", "_mask")
