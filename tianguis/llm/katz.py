@@ -7,18 +7,19 @@ behind a rarer word the history is empty and the unigram is used at once. Every
 Denominators are one larger than the counts (c(u) + 1, N + 1): one event is always left for what was not seen, so the
 backoff weights, computed from exact sums, are positive and every distribution adds up to one.
 
-Tokens are dealt into buckets by word (frequent words by word and history), where counts of words and bigrams are
-complete. What a text's score needs from a bucket is linear in numbers of tokens per count, so one pass gathers it all:
-sums per text, counts of counts, sums per history, and the texts' unseen bigrams, which meet their backoff weights last.
+Texts are held as chunks: their distinct words, and one number per token. A chunk deals its distinct (word, history)
+pairs into buckets by word (frequent words by word and history), where the counts of the whole corpus meet; a bucket
+answers every chunk in the order it was asked, so texts are never sent along. With the discounts and the backoff weights
+of the histories, each chunk then looks up its tokens and adds them up per text.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +76,40 @@ def _batched(batch: pa.RecordBatch):
         yield data[a:b], batch.slice(a, b - a)
 
 
-def unigrams(documents: DataFrame) -> DataFrame:
-    """(word, n): training count of every word hash, and at a null word the number of all tokens."""
+_CHUNKS = "chunk long, word array<long>, times array<int>, token array<int>, n array<int>, doc_id array<long>, learn array<boolean>"
+
+
+def _one(values, kind) -> pa.ListArray:
+    return pa.array([values], pa.list_(kind))
+
+
+def chunked(documents: DataFrame) -> DataFrame:
+    """Chunks of texts: distinct word hashes with their training counts, the tokens as numbers of them, and the texts."""
 
     def run(batches):
         powers = Powers()
         for batch in batches:
             for data, rows in _batched(batch):
                 tokens, doc = _tokens(data, powers)
+                word, index = np.unique(tokens, return_inverse=True)
                 learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-                word, n = np.unique(tokens[learn[doc]], return_counts=True)
+                times = np.bincount(index, weights=learn[doc], minlength=len(word)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*word.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(tokens)], pa.int64())], names=["word", "n"]
-                )
+                    [
+                        pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), _one(word.view(np.int64), pa.int64()), _one(times, pa.int32()),
+                        _one(index.astype(np.int32), pa.int32()), _one(np.bincount(doc, minlength=len(data)).astype(np.int32), pa.int32()),
+                        pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), _one(learn, pa.bool_()),
+                    ],
+                    names=["chunk", "word", "times", "token", "n", "doc_id", "learn"],
+                )
+
+    return documents.mapInArrow(run, _CHUNKS)
 
-    return documents.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def unigrams(chunks: DataFrame) -> DataFrame:
+    """(word, n): training count of every word hash that occurs in training."""
+    each = chunks.select(F.explode(F.arrays_zip("word", "times")).alias("w")).where("w.times > 0")
+    return each.groupBy(F.col("w.word").alias("word")).agg(F.sum("w.times").alias("n"))
 
 
 class Histories:
@@ -109,155 +129,185 @@ class Histories:
         return np.where(self.words[at] == words, at, _NO_HISTORY)
 
 
-_DEALT = "bucket int, chunk long, word array<long>, run array<int>, history array<int>, doc array<int>, n array<int>, docs array<int>, doc_id array<long>, learn array<boolean>"
+class Pairs:
+    """The distinct (word, history) pairs of a chunk in the order of their buckets, and the pair of every token."""
+
+    def __init__(self, word: np.ndarray, token: np.ndarray, n: np.ndarray, h: Histories, buckets: int):
+        index = h.find(word)
+        history = np.empty(len(token), dtype=np.int64)
+        history[1:] = index[token[:-1]]
+        history[np.cumsum(n) - n] = len(h.words)
+        size = len(h.counts) + 1
+        key, of = np.unique(token.astype(np.int64) * size + history + 1, return_inverse=True)
+        w, u = key // size, key % size - 1
+        names = word[w]
+        mixed = np.where(index[w] >= 0, (names + (u + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), names)
+        bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.bucket, self.word, self.history, self.of = bucket[order], names[order], u[order], place[of]
+        self.new_bucket = np.append(True, self.bucket[1:] != self.bucket[:-1])
+        self.new_word = self.new_bucket | np.append(True, self.word[1:] != self.word[:-1])
+
+
+def _chunk_rows(batch: pa.RecordBatch):
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1)
+        word, token, n = (row.column(c).flatten().to_numpy() for c in ("word", "token", "n"))
+        yield row, word.view(np.uint64), token, n
+
+
+_DEALT = "bucket int, chunk long, word array<long>, run array<int>, history array<int>, n array<int>"
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
-def _dealt(documents: DataFrame, histories, buckets: int) -> DataFrame:
-    """Tokens of a chunk of texts by bucket: (word, history, text, times), equal words as runs."""
+def _dealt(chunks: DataFrame, histories, buckets: int) -> DataFrame:
+    """Pairs of every chunk by bucket, with their training counts in the chunk; equal words as runs."""
 
     def run(batches):
-        powers, h, number = Powers(), histories.value, 0
         for batch in batches:
-            for data, rows in _batched(batch):
-                chunk = (TaskContext.get().partitionId() << 32) | number
-                number += 1
-                tokens, doc = _tokens(data, powers)
-                index = h.find(tokens)
-                history = np.empty(len(tokens), dtype=np.int64)
-                history[1:] = index[:-1]
-                begins = np.append(True, doc[1:] != doc[:-1])
-                history[begins] = len(h.words)
-                mixed = np.where(index >= 0, (tokens + (history + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), tokens)
-                bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)).astype(np.int64) % buckets
-                pair = ((history + 1) << 32) | doc
-                order = np.lexsort((pair, tokens, bucket))
-                b, w, p = bucket[order], tokens[order], pair[order]
-                new_b = np.append(True, b[1:] != b[:-1])
-                new_w = new_b | np.append(True, w[1:] != w[:-1])
-                new_p = np.flatnonzero(new_w | np.append(True, p[1:] != p[:-1]))
-                n = np.diff(np.append(new_p, len(b)))
-                first_w = np.flatnonzero(new_w[new_p])
-                first_b = np.flatnonzero(new_b[new_p])
-                runs = np.diff(np.append(first_w, len(new_p)))
-                pair_cuts = np.append(first_b, len(new_p))
-                word_cuts = np.searchsorted(first_w, pair_cuts)
-                p = p[new_p]
-                docs = [np.unique(p[x:y] & 0xFFFFFFFF) for x, y in zip(pair_cuts, pair_cuts[1:])]
-                local = np.concatenate([np.searchsorted(d, p[x:y] & 0xFFFFFFFF) for d, x, y in zip(docs, pair_cuts, pair_cuts[1:])])
-                doc_cuts = np.cumsum([0, *map(len, docs)])
-                docs = np.concatenate(docs)
-                take = pa.array(docs)
-                learn = pa.array(~rows.column("held_out").to_numpy(zero_copy_only=False))
+            for row, word, token, n in _chunk_rows(batch):
+                p = Pairs(word, token, n, histories.value, buckets)
+                learn = np.repeat(row.column("learn").flatten().to_numpy(zero_copy_only=False), n)
+                times = np.bincount(p.of, weights=learn, minlength=len(p.word)).astype(np.int32)
+                first_b, first_w = np.flatnonzero(p.new_bucket), np.flatnonzero(p.new_word)
+                cuts = np.append(first_b, len(p.word))
+                word_cuts = np.searchsorted(first_w, cuts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(b[new_p][first_b].astype(np.int32)), pa.array(np.full(len(first_b), chunk)),
-                        _lists(w[new_p][first_w].view(np.int64), word_cuts, pa.int64()), _lists(runs.astype(np.int32), word_cuts, pa.int32()),
-                        _lists(((p >> 32) - 1).astype(np.int32), pair_cuts, pa.int32()), _lists(local.astype(np.int32), pair_cuts, pa.int32()),
-                        _lists(n.astype(np.int32), pair_cuts, pa.int32()), _lists(docs.astype(np.int32), doc_cuts, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(doc_cuts.astype(np.int32)), rows.column("doc_id").take(take)),
-                        pa.ListArray.from_arrays(pa.array(doc_cuts.astype(np.int32)), learn.take(take)),
+                        pa.array(p.bucket[first_b].astype(np.int32)), pa.array(np.full(len(first_b), row.column("chunk")[0].as_py())),
+                        _lists(p.word[first_w].view(np.int64), word_cuts, pa.int64()),
+                        _lists(np.diff(np.append(first_w, len(p.word))).astype(np.int32), word_cuts, pa.int32()),
+                        _lists(p.history.astype(np.int32), cuts, pa.int32()), _lists(times, cuts, pa.int32()),
                     ],
-                    names=["bucket", "chunk", "word", "run", "history", "doc", "n", "docs", "doc_id", "learn"],
+                    names=["bucket", "chunk", "word", "run", "history", "n"],
                 )
 
-    return documents.mapInArrow(run, _DEALT)
+    return chunks.mapInArrow(run, _DEALT)
 
 
 K = DISCOUNTED
-#: Numbers gathered per text: tokens, known ones, base sum, sum of seen bigrams, those of count 1 to K, sum of unigrams,
-#: their number, unknown words, unigrams of count 1 to K.
-_SUMS = 4 + K + 3 + K
-_FOUND = "kind string, a long, b long, c long, v array<double>"
+#: kind a: a chunk's answer (counts of its pairs and of its words in the bucket); u: sums of history a; c: counts of counts.
+_FOUND = "kind string, bucket int, a long, pairs array<int>, words array<int>, v array<double>"
 
 
-def _classes(count: np.ndarray, of: np.ndarray, weight: np.ndarray, size: int, upto: int) -> list[np.ndarray]:
-    """Weights per owner of what occurs 1, 2, ..., ``upto`` times."""
-    return [np.bincount(of[count == r], weights=weight[count == r], minlength=size) for r in range(1, upto + 1)]
+def _classes(count: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
+    """Per owner: types that occur 1, 2, ..., K times, and the sum of the counts above."""
+    above = count > K
+    few = [np.bincount(of[count == r], minlength=size).astype(float) for r in range(1, K + 1)]
+    return [*few, np.bincount(of[above], weights=count[above], minlength=size)]
 
 
-def _bucket(table: pa.Table, h: Histories) -> list[tuple]:
-    """What one bucket has to say: sums per text (d), per history (u), counts of counts (c) and unseen bigrams (x)."""
+def _bucket(table: pa.Table, h: Histories) -> pa.RecordBatch:
+    """The counts of one bucket: an answer to every chunk, sums per history, counts of counts."""
 
     def flat(name):
-        return table.column(name).combine_chunks().flatten()
-
-    n_docs = np.diff(table.column("docs").combine_chunks().offsets.to_numpy())
-    n_pairs = np.diff(table.column("n").combine_chunks().offsets.to_numpy())
-    chunk = np.repeat(table.column("chunk").to_numpy(), n_docs)
-    docs, doc_ids = flat("docs").to_numpy(), flat("doc_id").to_pylist()
-    learn = flat("learn").to_numpy(zero_copy_only=False)
-    word = np.repeat(flat("word").to_numpy().view(np.uint64), flat("run").to_numpy())
-    history, n = flat("history").to_numpy().astype(np.int64), flat("n").to_numpy().astype(np.int64)
-    doc = flat("doc").to_numpy() + np.repeat(np.cumsum(n_docs) - n_docs, n_pairs)
+        return table.column(name).combine_chunks().flatten().to_numpy()
+
+    def cuts(name):
+        return table.column(name).combine_chunks().offsets.to_numpy() - table.column(name).combine_chunks().offsets[0].as_py()
+
+    run = flat("run")
+    word = np.repeat(flat("word").view(np.uint64), run)
+    history = flat("history").astype(np.int64)
     order = np.lexsort((history, word))
-    word, history, n, doc = word[order], history[order], n[order], doc[order]
-    new_w = np.append(True, word[1:] != word[:-1])
-    new_p = new_w | np.append(True, history[1:] != history[:-1])
-    trained = n * learn[doc]
+    w, u, n = word[order], history[order], flat("n")[order]
+    new_w = np.append(True, w[1:] != w[:-1])
+    new_p = new_w | np.append(True, u[1:] != u[:-1])
     pair_of, word_of = np.cumsum(new_p) - 1, np.cumsum(new_w) - 1
-    c_pair = np.bincount(pair_of, weights=trained).astype(np.int64)
-    c_word = np.bincount(word_of, weights=trained).astype(np.int64)
-    frequent = h.find(word[new_w])
+    c_pair = np.bincount(pair_of, weights=n).astype(np.int64)
+    c_word = np.bincount(word_of, weights=n).astype(np.int64)
+    frequent = h.find(w[new_w])
     c_word = np.where(frequent >= 0, h.counts[np.maximum(frequent, 0)], c_word)
-    cw, cp = c_word[word_of], c_pair[pair_of]
-    size, has = len(docs), history >= 0
-    seen = has & (cp > 0)
-    back, known = ~seen, cw > 0
-    log_word, log_pair = np.log10(np.maximum(cw, 1)), np.log10(np.maximum(cp, 1))
-    log_history = np.log10(h.counts[np.maximum(history, 0)] + 1.0)
-
-    def per_doc(value, where=slice(None)):
-        return np.bincount(doc[where], weights=value[where], minlength=size)
-
-    bk = back & known
-    sums = np.stack([
-        per_doc(n), per_doc(n, known), per_doc(n * np.log10(cw + 0.1)), per_doc(n * (log_pair - log_history), seen),
-        *_classes(cp[seen], doc[seen], n[seen], size, K), per_doc(n * log_word, bk), per_doc(n, bk), per_doc(n, back & ~known),
-        *_classes(cw[bk], doc[bk], n[bk], size, K),
-    ], axis=1)
-    out = [("d", int(a), int(b), c, v) for a, b, c, v in zip(chunk, docs, doc_ids, sums.tolist(), strict=True)]
-    types = np.flatnonzero(new_p)[(history[new_p] >= 0) & (c_pair > 0)]
-    u, r, w = history[types], cp[types], cw[types]
-    out.append(("c", 0, 0, None, [float((r == k).sum()) for k in range(1, K + 2)]))
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    pairs = c_pair[pair_of][back]
+    words = c_word[word_of][back][np.cumsum(run) - run]
+    answers = table.num_rows
+    kinds, names = ["a"] * answers + ["c"], table.column("chunk").to_pylist() + [0]
+    types = (u[new_p] >= 0) & (c_pair > 0)
+    u, r, below = u[new_p][types], c_pair[types], c_word[word_of[new_p]][types]
+    values = [None] * answers + [[float((r == k).sum()) for k in range(1, K + 2)]]
     if len(u):
-        names, of = np.unique(u, return_inverse=True)
-        one = np.ones(len(u))
-        per = [*_classes(r, of, one, len(names), K), np.bincount(of[r > K], weights=r[r > K], minlength=len(names))]
-        per += [*_classes(w, of, one, len(names), K), np.bincount(of[w > K], weights=w[w > K], minlength=len(names))]
-        out += [("u", int(a), 0, None, v) for a, v in zip(names, np.stack(per, axis=1).tolist(), strict=True)]
-    unseen = has & ~seen
-    if unseen.any():
-        key, of = np.unique(doc[unseen].astype(np.int64) * (len(h.counts) + 1) + history[unseen], return_inverse=True)
-        times = np.bincount(of, weights=n[unseen])
-        d, u = key // (len(h.counts) + 1), key % (len(h.counts) + 1)
-        out += [("x", int(chunk[i]), int(docs[i]), int(j), [t]) for i, j, t in zip(d, u, times.tolist(), strict=True)]
-    return out
+        owner, of = np.unique(u, return_inverse=True)
+        sums = np.stack([*_classes(r, of, len(owner)), *_classes(below, of, len(owner))], axis=1)
+        kinds, names, values = kinds + ["u"] * len(owner), names + owner.tolist(), values + sums.tolist()
+    rest = len(kinds) - answers
+
+    def padded(numbers, offsets):
+        return _lists(numbers.astype(np.int32), np.append(offsets, np.full(rest, offsets[-1])), pa.int32())
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(kinds), pa.array(np.full(len(kinds), table.column("bucket")[0].as_py(), dtype=np.int32)), pa.array(names, pa.int64()),
+            padded(pairs, cuts("history")), padded(words, cuts("run")), pa.array(values, pa.list_(pa.float64())),
+        ],
+        names=["kind", "bucket", "a", "pairs", "words", "v"],
+    )
 
 
-def _gathered(dealt: DataFrame, histories) -> DataFrame:
+def _counted(dealt: DataFrame, histories) -> DataFrame:
     def run(batches):
-        h = histories.value
         for table, starts in complete_runs(batches, ["bucket"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                rows = _bucket(table.slice(a, b - a).combine_chunks(), h)
-                columns = list(zip(*rows, strict=True))
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "a", "b", "c", "v"])
+                yield _bucket(table.slice(a, b - a).combine_chunks(), histories.value)
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
-def _added(df: DataFrame, keys: list[str], size: int, *more) -> DataFrame:
-    sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size)]
-    return df.groupBy(*keys).agg(*sums, *more)
+class Model:
+    """Everything a chunk needs beside its counts."""
+
+    def __init__(self, d1: list[float], d2: list[float], total: int, types: int, unknown: float, weights: np.ndarray):
+        self.d1, self.d2 = (np.log10(np.array([1.0, *d, 1.0])) for d in (d1, d2))
+        self.total, self.types, self.unknown, self.weights = total, types, unknown, weights
+
+    def scores(self, history, c_pair, c_word, h: Histories) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each pair, and its part of the base score."""
+        known = c_word > 0
+        low = np.where(known, np.log10(np.maximum(c_word, 1)) + self.d1[np.minimum(c_word, K + 1)] - np.log10(self.total + 1), np.log10(self.unknown))
+        u = np.maximum(history, 0)
+        seen = np.log10(np.maximum(c_pair, 1)) + self.d2[np.minimum(c_pair, K + 1)] - np.log10(h.counts[u] + 1.0)
+        katz = np.where(history < 0, low, np.where(c_pair > 0, seen, self.weights[u] + low))
+        return katz, np.log10(c_word + 0.1) - np.log10(self.total + 0.1 * (self.types + 1))
+
+
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
 
+def _scored(chunks: DataFrame, counted: DataFrame, histories, model, buckets: int) -> DataFrame:
+    """Scores of the texts of every chunk, whose answers come to it in the order of the buckets."""
+    asked = chunks.select(F.lit(-1).alias("bucket"), "chunk", "word", "token", "n", "doc_id", *[F.lit(None).cast("array<int>").alias(c) for c in ("pairs", "words")])
+    empty = {"word": "array<long>", "token": "array<int>", "n": "array<int>", "doc_id": "array<long>"}
+    told = counted.where("kind = 'a'").select("bucket", F.col("a").alias("chunk"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "pairs", "words")
 
-def _dot(first: int, factors: list[float]):
-    return sum((F.col(f"s{first + i}") * F.lit(float(x)) for i, x in enumerate(factors)), F.lit(0.0))
+    def run(batches):
+        h, m = histories.value, model.value
+        for table, starts in complete_runs(batches, ["chunk"]):
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                (row, word, token, n), = _chunk_rows(table.slice(a, 1).combine_chunks().to_batches()[0])
+                p = Pairs(word, token, n, h, buckets)
+                answers = table.slice(a + 1, b - a - 1)
+                c_pair = answers.column("pairs").combine_chunks().flatten().to_numpy().astype(np.int64)
+                words = answers.column("words").combine_chunks().flatten().to_numpy().astype(np.int64)
+                c_word = words[np.cumsum(p.new_word) - 1]
+                katz, base = m.scores(p.history, c_pair, c_word, h)
+                at = np.cumsum(n) - n
+                sums = [np.add.reduceat(x[p.of], at) for x in ((c_word > 0).astype(np.int64), base, katz)]
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("doc_id").flatten(), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
+                )
+
+    return asked.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
+
+
+def _added(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size)]
+    return df.groupBy(*keys).agg(*sums)
 
 
 def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFrame:
@@ -267,39 +317,33 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     is the unigram sum with 0.1 added to each count; score the log10 probability of the text under the Katz model. Null and
     empty texts are an end alone. Without any training row all scores are those of the unknown word, 0. Repeated rows stay
     repeated rows (and count as often); a null doc_id is learnt from; other columns play no part; an empty table gives no
-    rows. A pair of frequent words is counted in one bucket, as one row per text that holds it.
+    rows. A pair of words costs one entry per chunk in its bucket, however often it occurs.
     """
     spark = documents.sparkSession
     docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
-    words = saved(unigrams(docs), "unigrams")
-    known = F.col("word").isNotNull()
-    classes = [F.count(F.when(known & (F.col("n") == r), 1)) for r in range(1, K + 2)]
-    total, types, texts, tokens, *c1 = words.agg(
-        F.sum(F.when(known, F.col("n"))), F.count(F.when(known, 1)), F.sum(F.when(F.col("word") == int(_END), F.col("n"))), F.sum(F.when(~known, F.col("n"))), *classes
-    ).first()
-    total, texts, tokens = total or 0, texts or 0, tokens or 0
-    found = words.where(known & (F.col("n") >= math.ceil(max(1, total * history_share)))).where(F.col("word") != int(_END)).collect()
-    histories = spark.sparkContext.broadcast(Histories([(r["word"], r["n"]) for r in found], texts))
-    buckets = max(8, tokens // BUCKET_TOKENS)
-    gathered = saved(_gathered(_dealt(docs, histories, buckets), histories), "gathered")
-    c2 = _added(gathered.where("kind = 'c'"), ["kind"], K + 1).first()
+    chunks = saved(chunked(docs), "chunks")
+    words = saved(unigrams(chunks), "unigrams")
+    classes = [F.count(F.when(F.col("n") == r, 1)) for r in range(1, K + 2)]
+    total, types, texts, *c1 = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == int(_END), F.col("n"))), *classes).first()
+    total, texts = total or 0, texts or 0
+    tokens = chunks.agg(F.sum(F.size("token"))).first()[0] or 0
+    found = words.where(F.col("n") >= math.ceil(max(1, total * history_share))).where(F.col("word") != int(_END)).collect()
+    held = Histories([(r["word"], r["n"]) for r in found], texts)
+    histories, buckets = spark.sparkContext.broadcast(held), max(8, tokens // BUCKET_TOKENS)
+    counted = saved(_counted(_dealt(chunks, histories, buckets), histories), "counts")
+    c2 = _added(counted.where("kind = 'c'"), ["kind"], K + 1).first()
     d1 = discounts([float(x) for x in c1])
     d2 = discounts([float(c2[f"s{i}"]) for i in range(K + 1)]) if c2 else [1.0] * K
-    known_mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
+    mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
     # backoff weight of each history, of which there are few: what its seen words leave, over what they leave as unigrams
-    counts = spark.createDataFrame([(i, float(n)) for i, n in enumerate(histories.value.counts.tolist())], "c long, n double")
-    per = _added(gathered.where("kind = 'u'").withColumnRenamed("a", "history"), ["history"], 2 * (K + 1))
-    per = counts.join(per, counts["c"] == per["history"], "left").na.fill(0.0)
-    left = 1 - (_dot(0, [r * d for r, d in enumerate(d2, start=1)]) + F.col(f"s{K}")) / (F.col("n") + 1)
-    left_below = 1 - (_dot(K + 1, [r * d for r, d in enumerate(d1, start=1)]) + F.col(f"s{2 * K + 1}")) / F.lit(float(total + 1))
-    weights = per.select("c", F.log10(left / left_below).alias("weight"))
-    unseen = gathered.where("kind = 'x'").select("a", "b", "c", F.col("v")[0].alias("times")).join(F.broadcast(weights), "c")
-    unseen = unseen.groupBy("a", "b").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
-    per_text = _added(gathered.where("kind = 'd'"), ["a", "b"], _SUMS, F.max("c").alias("doc_id")).join(unseen, ["a", "b"], "left")
-    seen = F.col("s3") + _dot(4, [math.log10(d) for d in d2])
-    below = F.col(f"s{4 + K}") - F.col(f"s{5 + K}") * math.log10(total + 1) + F.col(f"s{6 + K}") * math.log10(1 - known_mass) + _dot(7 + K, [math.log10(d) for d in d1])
-    return per_text.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("s0").cast("long").alias("n_tokens"), F.col("s1").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("s2") - F.col("s0") * math.log10(total + 0.1 * (types + 1))).alias("base_score"),
-        (seen + below + F.coalesce("backed", F.lit(0.0))).alias("score"),
-    )
+    kept, kept_below, times = np.zeros(len(held.counts)), np.zeros(len(held.counts)), np.arange(1, K + 1)
+    for r in _added(counted.where("kind = 'u'"), ["a"], 2 * (K + 1)).collect():
+        sums = np.array(r[1:])
+        kept[r["a"]] = (sums[:K] * times * d2).sum() + sums[K]
+        kept_below[r["a"]] = (sums[K + 1 : 2 * K + 1] * times * d1).sum() + sums[-1]
+    weights = np.log10((1 - kept / (held.counts + 1)) / (1 - kept_below / (total + 1)))
+    model = spark.sparkContext.broadcast(Model(d1, d2, total, types, 1 - mass, weights))
+    scored = _scored(chunks, counted, histories, model, buckets)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
