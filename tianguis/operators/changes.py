@@ -16,6 +16,10 @@ NOT_FOUND = "No encontrado"
 EMAIL_TAKEN = "El email ya está registrado"
 BAD_STATE = "Estado no válido"
 USER_UNKNOWN = "Usuario no encontrado"
+# Texts of our own, for entries that would otherwise vanish.
+NO_EMAIL = "Email requerido"
+BAD_KIND = "Tipo de cambio no válido"
+ALREADY_PUBLISHED = "El producto ya existe"
 
 PUBLISH, EDIT, DEACTIVATE, APPROVE = "publicar", "editar", "desactivar", "aprobar"
 
@@ -42,7 +46,7 @@ def apply_product_changes(productos: DataFrame, changes: DataFrame, order: Seque
     base = productos.select("id", F.col("id_vendedor").alias("dueno"), F.lit(None).cast(log.schema["o"].dataType).alias("desde"))
 
     published = (
-        log.filter(F.col("tipo") == PUBLISH)
+        log.filter((F.col("tipo") == PUBLISH) & F.col("id_producto").isNotNull())
         .groupBy(F.col("id_producto").alias("id"))
         .agg(F.min(F.struct("o", "id_vendedor", "rol", "nombre", "descripcion", "precio", "cantidad")).alias("p"))
         .join(productos.select("id"), "id", "left_anti")
@@ -92,13 +96,23 @@ def apply_product_changes(productos: DataFrame, changes: DataFrame, order: Seque
             (F.col("aprobado") | F.coalesce("yes", F.lit(False))).alias("aprobado"),
         )
     )
-    judged = log.filter(F.col("tipo") != PUBLISH).join(known, F.col("id_producto") == F.col("id"), "left")
+    judged = log.filter(~F.col("tipo").eqNullSafe(PUBLISH)).join(known, F.col("id_producto") == F.col("id"), "left")
     missing = F.col("id").isNull() | (F.col("desde").isNotNull() & (F.col("o") <= F.col("desde")))
     why = (
         F.when(F.col("tipo").isin(EDIT, DEACTIVATE) & (missing | ~owner), NOT_OWNER).when(missing, NOT_FOUND)
     )
+    kinds = F.coalesce(F.col("tipo").isin(PUBLISH, EDIT, DEACTIVATE, APPROVE), F.lit(False))
+    why = F.when(~kinds, BAD_KIND).otherwise(why)
     rejects = judged.withColumn("motivo", why).filter(F.col("motivo").isNotNull())
-    return Applied(table, rejects.select(*changes.columns, "motivo"))
+    # Of several publications of a product the first counts, and none if the catalog has it.
+    again = (
+        log.filter(F.col("tipo") == PUBLISH)
+        .join(published.select(F.col("id").alias("id_producto"), F.col("p.o").alias("primera")), "id_producto", "left")
+        .filter(F.col("primera").isNull() | (F.col("o") != F.col("primera")))
+        .withColumn("motivo", F.lit(ALREADY_PUBLISHED))
+    )
+    columns = [*changes.columns, "motivo"]
+    return Applied(table, rejects.select(*columns).unionByName(again.select(*columns)))
 
 
 def register_users(usuarios: DataFrame, requests: DataFrame, order: Sequence[str], ci_ai: bool = False) -> Applied:
@@ -109,7 +123,7 @@ def register_users(usuarios: DataFrame, requests: DataFrame, order: Sequence[str
     """
     asked = requests.withColumn("clave", text_key(F.col("email"), ci_ai))
     taken = usuarios.select(text_key(F.col("email"), ci_ai).alias("clave")).distinct()
-    first = asked.groupBy("clave").agg(F.min(F.struct(F.struct(*order).alias("o"), "nombre", "email", "rol")).alias("r"))
+    first = asked.filter(F.col("clave").isNotNull()).groupBy("clave").agg(F.min(F.struct(F.struct(*order).alias("o"), "nombre", "email", "rol")).alias("r"))
     winners = first.join(taken, "clave", "left_anti")
     table = winners.select(
         "r.nombre", "r.email",
@@ -121,7 +135,7 @@ def register_users(usuarios: DataFrame, requests: DataFrame, order: Sequence[str
     rejects = (
         asked.join(winners.select("clave", F.col("r.o").alias("ganador")), "clave", "left")
         .filter(F.col("ganador").isNull() | (F.struct(*order) != F.col("ganador")))
-        .select(*requests.columns, F.lit(EMAIL_TAKEN).alias("motivo"))
+        .select(*requests.columns, F.when(F.col("clave").isNull(), NO_EMAIL).otherwise(EMAIL_TAKEN).alias("motivo"))
     )
     return Applied(table, rejects)
 
@@ -136,7 +150,9 @@ def apply_user_changes(usuarios: DataFrame, changes: DataFrame, order: Sequence[
     for every later entry.
     """
     log = changes.withColumn("o", F.struct(*order))
-    valid = (F.col("tipo") == DELETE) | in_domain(F.col("estado"), "usuarios", "estado")
+    state = F.coalesce(in_domain(F.col("estado"), "usuarios", "estado"), F.lit(False))
+    kind = F.coalesce(F.col("tipo").isin(SET_STATE, DELETE), F.lit(False))
+    valid = kind & ((F.col("tipo") == DELETE) | state)
     effects = (
         log.filter(valid)
         .groupBy(F.col("usuario_id").alias("id"))
@@ -152,7 +168,7 @@ def apply_user_changes(usuarios: DataFrame, changes: DataFrame, order: Sequence[
         .select(*usuarios.columns)
     )
     users = usuarios.select("id").join(effects.select("id", "baja"), "id", "left")
-    why = F.when(~valid, BAD_STATE).when(
+    why = F.when(~kind, BAD_KIND).when(~valid, BAD_STATE).when(
         F.col("id").isNull() | (F.col("baja").isNotNull() & (F.col("o") > F.col("baja"))), USER_UNKNOWN
     )
     rejects = log.join(users, F.col("usuario_id") == F.col("id"), "left").withColumn("motivo", why)

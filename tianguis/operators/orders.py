@@ -16,6 +16,7 @@ EMPTY_ORDER = "La orden debe tener productos"
 NO_PRODUCT_ID = "ID de producto requerido"
 NOT_FOUND = ("Producto ", " no encontrado")
 NOT_ENOUGH = "Stock insuficiente para: "
+BAD_QUANTITY = "Cantidad inválida"
 NO_STOCK = "Sin stock para: "
 
 
@@ -33,6 +34,7 @@ def _judged(items: DataFrame, productos: DataFrame, stock_text: str) -> DataFram
     why = (
         F.when(F.col("id_producto").isNull(), NO_PRODUCT_ID)
         .when(F.col("hay").isNull(), F.concat(F.lit(NOT_FOUND[0]), F.col("id_producto").cast("string"), F.lit(NOT_FOUND[1])))
+        .when(~F.coalesce(F.col("cantidad") > 0, F.lit(False)), F.lit(BAD_QUANTITY))
         .when(F.col("stock") < F.col("cantidad"), F.concat(F.lit(stock_text), F.col("nombre")))
     )
     return items.join(catalog, "id_producto", "left").withColumn("motivo", why)
@@ -121,16 +123,18 @@ def stock_after(productos: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def order_state_updates(ordenes: DataFrame, changes: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(orders with the last valid state of the log, refused changes).
+    """(orders with the last valid state of the log, refused changes: bad states and unknown orders).
 
     ``changes``: id_orden, estado and the ``order`` columns. The last change per order is found by a
     combinable maximum, so an order with any number of changes needs no window.
     """
-    ok = in_domain(F.col("estado"), "ordenes", "estado")
+    ok = F.coalesce(in_domain(F.col("estado"), "ordenes", "estado"), F.lit(False))
+    there = ordenes.select(F.col("id").alias("id_orden"))
     last = (
         changes.filter(ok)
         .groupBy(F.col("id_orden").alias("id"))
         .agg(F.max_by("estado", F.struct(*order)).alias("_nuevo"))
     )
     updated = ordenes.join(last, "id", "left").withColumn("estado", F.coalesce("_nuevo", "estado")).drop("_nuevo")
-    return updated, changes.filter(~ok)
+    unknown = changes.filter(ok).join(there, "id_orden", "left_anti").select(*changes.columns)
+    return updated, changes.filter(~ok).unionByName(unknown)

@@ -37,7 +37,8 @@ def admit(
     ``keep`` names columns of ``capacity`` to put beside every request, which saves a join with it later.
 
     ``capacity`` holds (key, ``capacidad``) as BIGINT; a key without a row there is refused with NULLs.
-    Requests of 0 or less are refused. ``order`` must be total inside a key. With ``slack`` 1 the capacity
+    Requests of 0 or less are refused, as are those without a key. Requests of equal ``order`` come in the order of their
+    other columns, whatever the size of the key. With ``slack`` 1 the capacity
     includes one unit of tolerance, and a key whose remainder becomes exactly 1 by a granted request is
     closed: nothing is granted afterwards. Optional columns of ``capacity``: ``holgura``, the slack per key,
     and ``cerrada``, whether the key is closed from the start.
@@ -48,16 +49,23 @@ def admit(
         capacity = capacity.withColumn("holgura", F.lit(slack))
     if "cerrada" not in capacity.columns:
         capacity = capacity.withColumn("cerrada", F.lit(False))
+    # Without a key there is nothing to take from: refused at once, however many such requests there are.
+    nothing = F.lit(None).cast("bigint")
+    keyless = requests.filter(F.col(key).isNull()).select(
+        *requests.columns, F.lit(False).alias(GRANTED), nothing.alias(BEFORE), nothing.alias(AFTER),
+        *[F.lit(None).cast(capacity.schema[c].dataType).alias(c) for c in keep],
+    )
+    requests = requests.filter(F.col(key).isNotNull())
     hot = skew.find_hot(requests, [key], limits)
     if hot is None:
-        return _fold_small(requests, capacity, key, order, amount, keep)
+        return keyless.unionByName(_fold_small(requests, capacity, key, order, amount, keep))
     cold_rows, hot_rows = skew.split_hot(requests, [key], hot, limits)
     small = _fold_small(cold_rows, capacity, key, order, amount, keep)
     large = _fold_phases(hot_rows, capacity, key, order, amount, hot, limits)
     if keep:
         beside = hot.table.join(capacity.select(key, *keep), key)
         large = large.join(_side(beside, hot, limits), key, "left")
-    return small.unionByName(large)
+    return keyless.unionByName(small).unionByName(large)
 
 
 def _guard() -> Column:
@@ -111,8 +119,10 @@ def _small(x: Column, s: Column, low: Column) -> Column:
 def _fold_phases(requests, capacity, key, order, amount, hot, limits) -> DataFrame:
     columns = requests.columns
     x = F.greatest(F.coalesce(F.col(amount).cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
-    tagged = requests.withColumn("_x", x).withColumn("_o", F.struct(*order))
-    chunks = skew.in_chunks(tagged, [key], [F.col(c) for c in order], hot.rows, limits)
+    chunks = skew.in_chunks(requests.withColumn("_x", x), [key], [F.col(c) for c in order], hot.rows, limits)
+    # Equal order keys share a chunk, so the place in the chunk makes the order total.
+    place = Window.partitionBy(key, skew.CHUNK).orderBy(*order, *[c for c in columns if c not in order])
+    chunks = durable(chunks.withColumn("_place", F.row_number().over(place)).withColumn("_o", F.struct(skew.CHUNK, "_place")).drop("_place"))
 
     # One row per hot key and phase: what guards (s), what is shown (v), and the request that ends it.
     nowhere = F.lit(None).cast(chunks.schema["_o"].dataType)

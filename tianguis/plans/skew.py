@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -54,8 +55,20 @@ def find_hot(df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT) -> Ho
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys, limits: Limits = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(rows of cold keys, rows of hot keys)."""
-    side = hot.side(limits)
-    return df.join(side, list(keys), "left_anti"), df.join(side, list(keys), "left_semi")
+    side = hot.side(limits).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = _same(df, side, keys, "_hot_")
+    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
+
+
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Equal keys, NULL among them: a NULL key may be as hot as any other."""
+    return reduce(Column.__and__, (df[k].eqNullSafe(other[f"{prefix}{k}"]) for k in keys))
+
+
+def beside(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` joined with ``other`` on ``keys``, NULL matching NULL; the keys are those of ``df``."""
+    renamed = other.select(*[F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in other.columns])
+    return df.join(renamed, _same(df, renamed, keys, "_of_")).drop(*[f"_of_{k}" for k in keys])
 
 
 def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int, limits: Limits = DEFAULT) -> DataFrame:
@@ -87,8 +100,7 @@ def row_numbers(
     offsets = carried(chunks, keys, _before=F.count("*"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     numbered = (
-        chunks.withColumn(name, F.row_number().over(inside))
-        .join(offsets, [*keys, CHUNK])
+        beside(chunks.withColumn(name, F.row_number().over(inside)), offsets, [*keys, CHUNK])
         .withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
         .select(*df.columns, name)
     )
@@ -108,10 +120,9 @@ def previous_values(
     last = chunks.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     entering = last.select(*keys, CHUNK, F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_in"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    inner = chunks.withColumn("_rn", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
     lagged = (
-        chunks.withColumn("_rn", F.row_number().over(inside))
-        .withColumn(name, F.lag(value).over(inside))
-        .join(entering, [*keys, CHUNK])
+        beside(inner, entering, [*keys, CHUNK])
         .withColumn(name, F.when(F.col("_rn") == 1, F.col("_in")[value]).otherwise(F.col(name)))
         .select(*df.columns, name)
     )

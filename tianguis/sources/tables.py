@@ -40,7 +40,7 @@ def read_table(
     path = f"{root.rstrip('/')}/{file or name + '.' + fmt}"
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("nullValue", "NULL").option("escape", '"').option("multiLine", False)
+        reader = reader.option("header", True).option("nullValue", "NULL").option("escape", '"').option("multiLine", True)
     try:
         raw = reader.format(fmt).load(path)
     except AnalysisException as err:
