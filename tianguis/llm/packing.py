@@ -204,7 +204,7 @@ def pieces(documents: DataFrame, tokenizer_file: str, capacity: int, separator:
             begin = size = 0
             for i, t in enumerate([*data, None]):
                 size += len(t or b"")
-                if size > 2_000_000 or i == len(data):
+                if size > 1_000_000 or i == len(data):
                     out: list[tuple] = []
                     cut(doc_ids[begin : i + 1], data[begin : i + 1], out)
                     begin, size = i + 1, 0

@@ -104,7 +104,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
-def steps(sizes: list[int], most: int = 2_000_000) -> list[tuple[int, int]]:
+def steps(sizes: list[int], most: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, one text at least, so that what is derived from a batch stays small."""
     out, begin, size = [], 0, 0
     for i, n in enumerate(sizes):

@@ -11,7 +11,7 @@ from tianguis.llm.bpe import PairTable, merge_all
 from tianguis.llm.ragged import SPACES, Powers, gather, hashes, lookup, places
 
 #: Distinct words kept between batches; beyond it the table starts anew, which changes no id.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 _PUNCTUATION = lookup(np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", dtype=np.uint8))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
