@@ -12,9 +12,11 @@ VIEWS = {
             UNION ALL SELECT 2000000000 + r_regionkey, r_name, 'admin', 1e9 FROM region) u
       LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS fecha_registro FROM orders GROUP BY 1) f ON f.o_custkey = u.id""",
     "productos": """
-      SELECT p_partkey AS id, CAST(substr(p_brand, 7) AS INT) AS id_vendedor, p_name AS nombre, p_type AS descripcion,
+      SELECT p_partkey AS id, id_vendedor, p_name AS nombre, p_type AS descripcion,
              CAST(p_retailprice AS DECIMAL(12,2)) AS precio, p_size AS cantidad, p_type <> 'PROMO' AS activo,
-             p_size % 10 <> 0 AS aprobado FROM part""",
+             p_size % 10 <> 0 AS aprobado FROM part
+      LEFT JOIN (SELECT l_partkey, 1000000000 + arg_min(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS id_vendedor FROM lineitem GROUP BY 1)
+      ON l_partkey = p_partkey""",
     "ordenes": """
       SELECT o_orderkey AS id, o_custkey AS id_comprador, CAST(o_totalprice AS DECIMAL(12,2)) AS total,
              CASE o_orderstatus WHEN 'F' THEN 'pagada' WHEN 'O' THEN 'pendiente' WHEN 'P' THEN 'cancelada' END AS estado,
@@ -33,7 +35,7 @@ VIEWS = {
       SELECT c_custkey AS id, c_custkey AS usuario_id, CAST(10000 AS DECIMAL(12,2)) AS cupo_total,
              CAST(greatest(c_acctbal, 0) AS DECIMAL(12,2)) AS cupo_disponible, CAST(c_custkey % 7 AS INT) AS compras_completadas,
              CASE WHEN c_acctbal < 0 THEN 'suspendido' WHEN c_acctbal < 500 THEN 'inactivo' ELSE 'activo' END AS estado
-      FROM customer""",
+      FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
     "cuotas": """
       SELECT id, usuario_id, id AS compra_id, monto_total,
              (2 * CAST(monto_total * 100 AS BIGINT) + n) // (2 * n) AS cada, n AS cuotas_totales,
@@ -58,7 +60,6 @@ VIEWS = {
              CASE WHEN coalesce(p.pagado, 0) >= o.total - 0.01 THEN 'liquidada' ELSE 'pendiente' END AS estado_pago,
              coalesce(p.n, 0) AS num_pagos
       FROM ordenes o LEFT JOIN pagado p ON p.id_orden = o.id""",
-    "abiertas": "SELECT * FROM creditos WHERE estado = 'activo'",
     "pedidas": "SELECT DISTINCT id_orden FROM pagos WHERE metodo_pago = 'efectivo'",
     "r_usuarios": """
       SELECT count(*) AS total_usuarios, count(*) FILTER (rol = 'comprador') AS compradores,
@@ -190,7 +191,7 @@ VIEWS = {
     "ultimo_libro": "SELECT * FROM libro QUALIFY row_number() OVER (PARTITION BY usuario_id ORDER BY i DESC) = 1",
     "cambios_producto": """
       SELECT l_partkey AS id_producto, CASE l_returnflag WHEN 'A' THEN 'editar' WHEN 'N' THEN 'aprobar' WHEN 'R' THEN 'desactivar' END AS tipo,
-             CAST(l_suppkey % 25 + 1 AS INT) AS id_vendedor, 'Producto ' || l_partkey || ' v' || l_linenumber AS nombre,
+             1000000000 + l_suppkey AS id_vendedor, 'Producto ' || l_partkey || ' v' || l_linenumber AS nombre,
              l_linestatus AS descripcion, CAST(l_extendedprice AS DECIMAL(12,2)) AS precio, CAST(l_quantity AS INT) AS cantidad,
              l_shipdate AS momento, l_orderkey AS n1, CAST(l_linenumber AS BIGINT) AS n2, l_suppkey AS n3 FROM lineitem""",
     "ediciones": """
@@ -228,13 +229,34 @@ VIEWS = {
              CASE WHEN q.lineas IS NOT NULL AND q.motivo IS NULL THEN 'pendiente' END AS estado,
              CASE WHEN q.lineas IS NULL THEN 'La orden debe tener productos' ELSE q.motivo END AS motivo
       FROM ordenes o LEFT JOIN pedidos q ON q.id_orden = o.id""",
+    "pasos_aceptados": """
+      SELECT d.*, row_number() OVER (PARTITION BY d.id_producto ORDER BY d.id_orden, linea, id_proveedor, precio_unitario) AS i
+      FROM detalles d JOIN intake n ON n.id_orden = d.id_orden WHERE n.aceptada""",
+    "stock_aceptado": """
+      SELECT id AS id_producto, 0::BIGINT AS i, NULL::BIGINT AS id_orden, NULL::INT AS linea, NULL::BIGINT AS id_proveedor,
+             NULL::INT AS cantidad, NULL::DECIMAL(12,2) AS precio_unitario, false AS aceptado,
+             cantidad::BIGINT AS stock_antes, cantidad::BIGINT AS stock_despues FROM productos
+      UNION ALL
+      SELECT s.id_producto, p.i, p.id_orden, p.linea, p.id_proveedor, p.cantidad, p.precio_unitario, p.cantidad <= s.stock_despues,
+             s.stock_despues, CASE WHEN p.cantidad <= s.stock_despues THEN s.stock_despues - p.cantidad ELSE s.stock_despues END
+      FROM stock_aceptado s JOIN pasos_aceptados p ON p.id_producto = s.id_producto AND p.i = s.i + 1""",
+    "cierres": """
+      SELECT o.id AS id_orden, o.estado <> 'cancelada' AS cierra, CAST(sum(p.monto) * 100 AS BIGINT) AS t
+      FROM ordenes o JOIN pagos p ON p.id_orden = o.id GROUP BY 1, 2""",
+    "cobrados": """
+      SELECT id_orden, 0::BIGINT AS i, t, 0::BIGINT AS acc, false AS cerrada, cierra, 0::BIGINT AS aceptados FROM cierres
+      UNION ALL
+      SELECT c.id_orden, p.i, c.t, CASE WHEN NOT c.cerrada AND p.x > 0 AND c.acc + p.x <= c.t + 1 THEN c.acc + p.x ELSE c.acc END,
+             c.cerrada OR (c.cierra AND p.x > 0 AND c.acc + p.x = c.t), c.cierra,
+             c.aceptados + CASE WHEN NOT c.cerrada AND p.x > 0 AND c.acc + p.x <= c.t + 1 THEN 1 ELSE 0 END
+      FROM cobrados c JOIN pasos_pago p ON p.id_orden = c.id_orden AND p.i = c.i + 1""",
     "h": """
       SELECT CASE WHEN min(c) = max(c) THEN min(c) - 50 ELSE min(c) END AS lo, CASE WHEN min(c) = max(c) THEN max(c) + 50 ELSE max(c) END AS hi
       FROM (SELECT CAST(precio * 100 AS BIGINT) AS c FROM productos)""",
 }
 
 NEEDS = {
-    "vendidos": ["detalles"], "pagado": ["pagos"], "estado_cuenta": ["ordenes", "pagado"], "abiertas": ["creditos"],
+    "vendidos": ["detalles"], "pagado": ["pagos"], "estado_cuenta": ["ordenes", "pagado"], 
     "pedidas": ["pagos"], "r_usuarios": ["usuarios"], "r_productos": ["productos"], "r_ordenes": ["ordenes"], "r_pagos": ["pagos"],
     "mejores": ["vendidos", "productos"], "por_mes": ["ordenes"], "ventas_mes": ["ordenes"], "metodos": ["pagos"],
     "r_credito": ["creditos"], "inventario": ["productos"], "pasos_stock": ["detalles"], "stock": ["pasos_stock", "productos"],
@@ -242,7 +264,8 @@ NEEDS = {
     "planes_apertura": ["cuotas"], "libro": ["pasos_credito", "creditos", "planes_apertura"], "movimientos_libro": ["libro"],
     "ultimo_libro": ["libro"], "ediciones": ["cambios_producto", "productos"], "bajas": ["cambios_usuario"],
     "ultimos": ["cambios_usuario"], "revisados": ["detalles", "productos"], "pedidos": ["revisados"], "intake": ["ordenes", "pedidos"],
-    "h": ["productos"],
+    "h": ["productos"], "pasos_aceptados": ["detalles", "intake"], "stock_aceptado": ["pasos_aceptados", "productos"],
+    "cierres": ["ordenes", "pagos"], "cobrados": ["cierres", "pasos_pago"],
 }
 
 
@@ -307,6 +330,8 @@ def _oracles() -> dict[str, str]:
         "top_products_live": _with(
             """SELECT id_producto, veces AS veces_vendido, unidades, ingresos FROM vendidos ORDER BY unidades DESC, id_producto LIMIT 5""",
             "vendidos"),
+        "top_products_live_untimed": _with(
+            "SELECT id_producto, unidades, ingresos FROM vendidos ORDER BY unidades DESC, id_producto LIMIT 5", "vendidos"),
         "revenue_by_month": _with("SELECT * FROM por_mes", "por_mes"),
         "sales_by_month": _with("SELECT * FROM ventas_mes", "ventas_mes"),
         "orders_by_state": _with("SELECT estado, count(*) AS cantidad FROM ordenes GROUP BY 1", "ordenes"),
@@ -366,6 +391,10 @@ def _oracles() -> dict[str, str]:
             """SELECT id_orden, count(*) FILTER (aceptado) AS pagos_aceptados, max(acc) / 100.0 AS total_pagado,
                bool_or(cerrada) AS pagada_completa, CASE WHEN bool_or(cerrada) THEN 'pagada' ELSE 'pendiente' END AS estado
                FROM aplicados GROUP BY 1""", "aplicados"),
+        "order_closure_failed": _with(
+            """SELECT id_orden, max(aceptados) AS pagos_aceptados, max(acc) / 100.0 AS total_pagado, max(acc) = max(t) AND max(aceptados) > 0 AS pagada_completa,
+               CASE WHEN max(acc) = max(t) AND max(aceptados) > 0 AND bool_and(cierra) THEN 'pagada' ELSE 'pendiente' END AS estado
+               FROM cobrados GROUP BY 1""", "cobrados"),
         "credit_stats": _with("SELECT * FROM r_credito", "r_credito"),
         "credit_stats_by_state": _with(
             """SELECT estado, count(*) AS total_lineas,
@@ -386,7 +415,7 @@ def _oracles() -> dict[str, str]:
                compras_completadas, 3 - compras_completadas % 3 AS compras_para_aumento
                FROM (SELECT b.id, b.nombre, b.email, c.cupo_total, c.cupo_disponible, c.compras_completadas, CAST(c.cupo_total * 100 AS BIGINT) AS t,
                      greatest(CAST((c.cupo_total - c.cupo_disponible) * 100 AS BIGINT), CASE WHEN c.id IS NOT NULL THEN 0 END) AS u
-                     FROM usuarios b LEFT JOIN abiertas c ON c.usuario_id = b.id WHERE b.rol = 'comprador')""", "usuarios", "abiertas"),
+                     FROM usuarios b LEFT JOIN creditos c ON c.usuario_id = b.id WHERE b.rol = 'comprador')""", "usuarios", "creditos"),
         "pending_instalments": _with(
             f"""SELECT usuario_id, id, compra_id, {_OUT_OF}, cuotas_totales, cuotas_pagadas,
                cuotas_totales - cuotas_pagadas AS cuotas_restantes, fecha_compra,
@@ -400,11 +429,11 @@ def _oracles() -> dict[str, str]:
             """SELECT usuario_id, compra_id, CAST(unnest(range(1, cuotas_totales + 1)) AS INT) AS numero, cada / 100.0 AS monto FROM cuotas""", "cuotas"),
         "open_credit_lines": _with(
             """SELECT id AS usuario_id, 100000.0::DOUBLE AS cupo_total, 100000.0::DOUBLE AS cupo_disponible, 0 AS compras_completadas, 'activo' AS estado
-               FROM usuarios WHERE rol = 'comprador' AND id NOT IN (SELECT usuario_id FROM abiertas)""", "usuarios", "abiertas"),
+               FROM usuarios WHERE rol = 'comprador' AND id NOT IN (SELECT usuario_id FROM creditos)""", "usuarios", "creditos"),
         "open_credit_movements": _with(
             """SELECT id AS usuario_id, 'aumento_cupo' AS tipo, 100000.0::DOUBLE AS monto, 0.0::DOUBLE AS cupo_antes, 100000.0::DOUBLE AS cupo_despues,
                'Apertura de línea de crédito inicial' AS descripcion
-               FROM usuarios WHERE rol = 'comprador' AND id NOT IN (SELECT usuario_id FROM abiertas)""", "usuarios", "abiertas"),
+               FROM usuarios WHERE rol = 'comprador' AND id NOT IN (SELECT usuario_id FROM creditos)""", "usuarios", "creditos"),
         "credit_ledger": _with(
             """SELECT usuario_id, fecha, clase, ref, tipo, cuota_id, motivo IS NULL AS aceptado, motivo, numero, antes / 100.0 AS antes,
                despues / 100.0 AS despues, CASE WHEN existe THEN t END / 100.0 AS cupo_total, CASE WHEN existe THEN d END / 100.0 AS disponible,
@@ -423,6 +452,11 @@ def _oracles() -> dict[str, str]:
                CASE WHEN q.lineas IS NOT NULL AND q.motivo_uno IS NULL THEN 'pendiente' END AS estado,
                CASE WHEN q.lineas IS NULL THEN 'ID de producto requerido' ELSE q.motivo_uno END AS motivo
                FROM ordenes o LEFT JOIN pedidos q ON q.id_orden = o.id""", "ordenes", "pedidos"),
+        "order_intake_credit": _intake_credit("importe", "motivo", "La orden debe tener productos"),
+        "order_intake_credit_single": _intake_credit("importe_uno", "motivo_uno", "ID de producto requerido"),
+        "stock_fold_accepted": _with(
+            f"""SELECT id_orden, linea, id_producto, id_proveedor, cantidad, {_DAYS}, aceptado, stock_antes, stock_despues FROM stock_aceptado WHERE i > 0""",
+            "stock_aceptado"),
         "order_intake_lines": _with(
             """SELECT r.id_orden, r.id_producto, r.cantidad, CAST(r.precio AS DOUBLE) AS precio_unitario FROM revisados r
                JOIN intake i ON i.id_orden = r.id_orden WHERE i.aceptada""", "revisados", "intake"),
@@ -444,12 +478,12 @@ def _oracles() -> dict[str, str]:
                p.activo AND NOT EXISTS (SELECT 1 FROM cambios_producto c WHERE c.tipo = 'desactivar' AND c.id_producto = p.id AND c.id_vendedor = p.id_vendedor) AS activo,
                p.aprobado OR EXISTS (SELECT 1 FROM cambios_producto c WHERE c.tipo = 'aprobar' AND c.id_producto = p.id) AS aprobado
                FROM productos p LEFT JOIN ediciones e ON e.id_producto = p.id
-               UNION ALL SELECT 1000000000 + s_suppkey, CAST(s_suppkey % 25 + 1 AS INT), s_name, 'nuevo', CAST(CAST(abs(s_acctbal) AS DECIMAL(12,2)) AS DOUBLE), 1,
+               UNION ALL SELECT 1000000000 + s_suppkey, 1000000000 + s_suppkey, s_name, 'nuevo', CAST(CAST(abs(s_acctbal) AS DECIMAL(12,2)) AS DOUBLE), 1,
                true, NOT s_acctbal < 0 FROM supplier""", "productos", "ediciones"),
         "product_change_rejects": _with(
             """SELECT c.id_producto, c.tipo, c.id_vendedor, c.momento, c.n1, c.n2, c.n3, CAST(c.precio AS DOUBLE) AS precio, 'No autorizado' AS motivo
                FROM cambios_producto c JOIN productos p ON p.id = c.id_producto
-               WHERE c.tipo IN ('editar', 'desactivar') AND c.id_vendedor <> p.id_vendedor""", "cambios_producto", "productos"),
+               WHERE c.tipo IN ('editar', 'desactivar') AND c.id_vendedor IS DISTINCT FROM p.id_vendedor""", "cambios_producto", "productos"),
         "register_users": _with(
             """SELECT nombre, email, coalesce(rol, 'comprador') AS rol, CASE WHEN rol = 'vendedor' THEN 'pendiente' ELSE 'activo' END AS estado, momento, n
                FROM solicitudes WHERE i = 1 AND NOT tomado""", "solicitudes"),
@@ -466,6 +500,17 @@ def _oracles() -> dict[str, str]:
         "user_cascade": _with(
             """SELECT id, usuario_id, CAST(cupo_total AS DOUBLE) AS cupo_total, CAST(cupo_disponible AS DOUBLE) AS cupo_disponible, compras_completadas, estado
                FROM creditos WHERE usuario_id NOT IN (SELECT usuario_id FROM bajas)""", "creditos", "bajas"),
+        "user_cascade_instalments": _with(
+            f"""SELECT id, usuario_id, compra_id, {_OUT_OF}, cuotas_totales, cuotas_pagadas, fecha_compra, cada / 100.0 AS monto_por_cuota, estado FROM cuotas c
+               WHERE usuario_id IN (SELECT id FROM usuarios) AND usuario_id NOT IN (SELECT usuario_id FROM bajas)""", "cuotas", "usuarios", "bajas"),
+        "user_cascade_lines": _with(
+            f"""SELECT id_orden, linea, id_producto, id_proveedor, cantidad, {_DAYS} FROM detalles WHERE id_orden IN (SELECT id FROM ordenes
+               WHERE id_comprador IN (SELECT id FROM usuarios) AND id_comprador NOT IN (SELECT usuario_id FROM bajas))""",
+            "detalles", "ordenes", "usuarios", "bajas"),
+        "log_balance": _balance(),
+        "csv_round_trip": _with(
+            "SELECT id, id_comprador, CAST(total AS DOUBLE) AS total, estado, fecha FROM ordenes", "ordenes"),
+        "csv_refused": "SELECT event_id AS id, 'sin monto' AS monto, 'monto' AS columnas FROM events WHERE event_type = 'error'",
         "validate_enum": """SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'compra' ELSE event_type END AS tipo,
                event_type = 'purchase' AS valido FROM events""",
         "reconcile_orders": _with(
@@ -481,17 +526,20 @@ def _oracles() -> dict[str, str]:
                lag(cupo_despues) OVER (PARTITION BY usuario_id ORDER BY fecha, clase, ref) AS cupo_anterior FROM movimientos_libro)
                WHERE cupo_anterior <> cupo_antes""", "movimientos_libro"),
         "orphans": _with(
-            """SELECT 'linea sin orden vigente' AS relacion, id_orden AS clave, count(*) AS filas FROM detalles
-                 WHERE id_orden NOT IN (SELECT id FROM ordenes WHERE estado <> 'cancelada') GROUP BY 2
-               UNION ALL SELECT 'pago sin orden vigente', id_orden, count(*) FROM pagos
-                 WHERE id_orden NOT IN (SELECT id FROM ordenes WHERE estado <> 'cancelada') GROUP BY 2
-               UNION ALL SELECT 'linea sin producto activo', id_producto, count(*) FROM detalles
-                 WHERE id_producto NOT IN (SELECT id FROM productos WHERE activo) GROUP BY 2
-               UNION ALL SELECT 'movimiento sin linea de credito', usuario_id, count(*) FROM movimientos
-                 WHERE usuario_id NOT IN (SELECT usuario_id FROM abiertas) GROUP BY 2
-               UNION ALL SELECT 'producto sin vendedor', id_vendedor, count(*) FROM productos
-                 WHERE id_vendedor NOT IN (SELECT id FROM usuarios WHERE rol = 'vendedor') GROUP BY 2""",
-            "detalles", "pagos", "ordenes", "productos", "movimientos", "abiertas", "usuarios"),
+            " UNION ALL ".join(
+                f"SELECT '{text}' AS relacion, {key} AS clave, count(*) AS filas FROM {child} c "
+                f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{key}) GROUP BY 2"
+                for text, child, key, parent, pk in (
+                    ("linea sin orden", "detalles", "id_orden", "ordenes", "id"),
+                    ("pago sin orden", "pagos", "id_orden", "ordenes", "id"),
+                    ("linea sin producto", "detalles", "id_producto", "productos", "id"),
+                    ("orden sin comprador", "ordenes", "id_comprador", "usuarios", "id"),
+                    ("movimiento sin linea de credito", "movimientos", "usuario_id", "creditos", "usuario_id"),
+                    ("cuota sin linea de credito", "cuotas", "usuario_id", "creditos", "usuario_id"),
+                    ("producto sin vendedor", "productos", "id_vendedor", "usuarios", "id"),
+                )
+            ),
+            "detalles", "pagos", "ordenes", "productos", "movimientos", "creditos", "cuotas", "usuarios"),
         "lookup_by_keys": _with(
             """SELECT id, id_comprador, CAST(total AS DOUBLE) AS total, estado, fecha FROM ordenes WHERE id IN (SELECT id_orden FROM pedidas)""",
             "ordenes", "pedidas"),
@@ -508,7 +556,7 @@ def _oracles() -> dict[str, str]:
             f"""SELECT id, usuario_id, compra_id, {_OUT_OF}, cuotas_totales, cuotas_pagadas, fecha_compra, cada / 100.0 AS monto_por_cuota, estado FROM cuotas
                WHERE id IN (SELECT id_orden FROM pedidas)""", "cuotas", "pedidas"),
         "missing_keys": _with(
-            "SELECT id_orden FROM pedidas WHERE id_orden NOT IN (SELECT id FROM ordenes WHERE estado = 'pagada')", "pedidas", "ordenes"),
+            "SELECT DISTINCT usuario_id FROM movimientos WHERE usuario_id NOT IN (SELECT usuario_id FROM creditos)", "movimientos", "creditos"),
         "labels": _with(
             """SELECT id, upper(estado[1]) || estado[2:] AS estado_texto,
                '$' || replace(format('{:,}', (2 * CAST(total * 100 AS BIGINT) + 100) // 200), ',', '.') AS total_texto FROM ordenes""", "ordenes"),
@@ -516,6 +564,18 @@ def _oracles() -> dict[str, str]:
                                  "r_credito", "ordenes", "inventario"),
         "report_combined": _with(
             """SELECT 'spark+realtime' AS fuente, CAST(rank - 1 AS INT) AS posicion, id, nombre, unidades_vendidas AS unidades, ingresos FROM mejores""", "mejores"),
+        "report_nested_order": _with(
+            """SELECT 'top_productos' AS seccion, CAST(rank - 1 AS INT) AS posicion, CAST(id AS VARCHAR) AS clave FROM mejores
+               UNION ALL SELECT 'ingresos_por_mes', CAST(row_number() OVER (ORDER BY mes) - 1 AS INT), mes FROM por_mes
+               UNION ALL SELECT 'distribucion_roles', CAST(row_number() OVER (ORDER BY n DESC, rol) - 1 AS INT), rol
+                 FROM (SELECT rol, count(*) AS n FROM usuarios GROUP BY 1)
+               UNION ALL SELECT 'metodos_pago', CAST(row_number() OVER (ORDER BY usos DESC, metodo_pago) - 1 AS INT), metodo_pago FROM metodos
+               UNION ALL SELECT 'estados_ordenes', CAST(row_number() OVER (ORDER BY estado) - 1 AS INT), estado FROM (SELECT DISTINCT estado FROM ordenes)
+               UNION ALL SELECT 'inventario_por_vendedor', CAST(row_number() OVER (ORDER BY num_productos DESC, vendedor_id) - 1 AS INT),
+                 CAST(vendedor_id AS VARCHAR) FROM inventario""", "mejores", "por_mes", "usuarios", "metodos", "ordenes", "inventario"),
+        "report_live_top": _with(
+            """SELECT 'realtime' AS fuente, CAST(row_number() OVER (ORDER BY unidades DESC, id_producto) - 1 AS INT) AS posicion, id_producto AS id,
+               'Producto #' || id_producto AS nombre, unidades, ingresos FROM (SELECT * FROM vendidos ORDER BY unidades DESC, id_producto LIMIT 5)""", "vendidos"),
         "stream_movements": _with(
             """SELECT date_trunc('hour', fecha) AS desde, tipo, count(*) AS cantidad, CAST(sum(monto) AS DOUBLE) AS monto_total
                FROM movimientos GROUP BY 1, 2""", "movimientos"),
@@ -530,6 +590,46 @@ def _oracles() -> dict[str, str]:
     }
 
 
+def _intake_credit(amount: str, why: str, empty: str) -> str:
+    """Orders in order of their keys against the buyer's line, one step per round; what the line refuses is refused."""
+    return _with(f"""
+      , pedidos_credito AS (SELECT o.id AS id_orden, o.id_comprador, coalesce(q.lineas, 0) AS lineas,
+          CASE WHEN q.lineas IS NULL THEN '{empty}' ELSE q.{why} END AS motivo, CAST(q.{amount} * 100 AS BIGINT) AS x
+          FROM ordenes o LEFT JOIN pedidos q ON q.id_orden = o.id),
+      turnos AS (SELECT *, row_number() OVER (PARTITION BY id_comprador ORDER BY id_orden) AS i FROM pedidos_credito WHERE motivo IS NULL),
+      cargos AS (
+        SELECT t.id_comprador, 0::BIGINT AS i, CAST(max(c.cupo_disponible) * 100 AS BIGINT) AS d, coalesce(max(c.estado) = 'activo', false) AS activo,
+               NULL::BIGINT AS id_orden, NULL::VARCHAR AS nego
+        FROM turnos t LEFT JOIN creditos c ON c.usuario_id = t.id_comprador GROUP BY 1
+        UNION ALL
+        SELECT id_comprador, i, CASE WHEN no IS NULL THEN d - x ELSE d END, activo, id_orden, no FROM (
+          SELECT t.*, g.d, g.activo, CASE WHEN t.x <= 0 THEN 'Faltan datos requeridos' WHEN NOT g.activo THEN 'Cuenta de crédito no activa'
+                 WHEN t.x > g.d THEN 'Cupo insuficiente' END AS no
+          FROM cargos g JOIN turnos t ON t.id_comprador = g.id_comprador AND t.i = g.i + 1))
+      SELECT p.id_orden, p.id_comprador, CASE WHEN coalesce(p.motivo, k.nego) IS NULL THEN p.x / 100.0 END AS total, p.lineas,
+             coalesce(p.motivo, k.nego) IS NULL AS aceptada, CASE WHEN coalesce(p.motivo, k.nego) IS NULL THEN 'pendiente' END AS estado,
+             coalesce(p.motivo, k.nego) AS motivo
+      FROM pedidos_credito p LEFT JOIN cargos k ON k.id_orden = p.id_orden""", "ordenes", "pedidos", "creditos")
+
+
+def _balance() -> str:
+    """Accepted entries are counted by the rule that accepts them, not as the rest."""
+    yes = {
+        "productos": """c.tipo = 'aprobar' OR c.id_vendedor = p.id_vendedor FROM cambios_producto c LEFT JOIN productos p ON p.id = c.id_producto
+                        UNION ALL SELECT true FROM supplier""",
+        "registro": "i = 1 AND NOT tomado FROM solicitudes",
+        "usuarios": """u.id IS NOT NULL AND (b.baja IS NULL OR (c.momento, c.n) <= b.baja) AND (c.tipo = 'eliminar' OR c.estado <> 'suspendido')
+                       FROM cambios_usuario c LEFT JOIN usuarios u ON u.id = c.usuario_id LEFT JOIN bajas b ON b.usuario_id = c.usuario_id""",
+        "ordenes": "metodo_pago <> 'efectivo' AND id_orden IN (SELECT id FROM ordenes) FROM pagos",
+    }
+    parts = [
+        f"""SELECT '{name}' AS registro, count(*) AS entradas, count(*) FILTER (NOT coalesce(si, false)) AS rechazadas,
+            count(*) FILTER (si) AS aceptadas FROM (SELECT {rule}) t(si)""" for name, rule in yes.items()
+    ]
+    parts.append("SELECT 'registro (altas)', count(*), 0, count(*) FROM solicitudes WHERE i = 1 AND NOT tomado")
+    return _with(" UNION ALL ".join(parts), "cambios_producto", "productos", "solicitudes", "cambios_usuario", "usuarios", "bajas", "pagos", "ordenes")
+
+
 def _report_sql() -> str:
     def rows(section: str, source: str, key: str, *measures: str) -> list[str]:
         return [f"SELECT '{section}' AS seccion, {key} AS clave, '{m}' AS medida, CAST({m} AS DOUBLE) AS valor FROM {source}" for m in measures]

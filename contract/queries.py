@@ -15,6 +15,7 @@ from tianguis.operators import (
 )
 from tianguis.plans import report, skew
 from tianguis.session import durable, shared_path
+from tianguis.sources import sinks, tables
 from tianguis.sources.views import MarketViews
 from tianguis.streaming import jobs
 
@@ -79,6 +80,10 @@ def top_products_inner(v): return sales.top_products_inner(v.orden_detalles(), v
 def top_products_live(v): return sales.top_products_live(v.orden_detalles())
 
 
+@query
+def top_products_live_untimed(v): return sales.top_products_live(v.orden_detalles(), times_sold=False)
+
+
 @query
 def revenue_by_month(v): return sales.revenue_by_month(v.ordenes())
 
@@ -184,6 +189,20 @@ def payment_application(v): return _applied(v)
 def order_closure(v): return payments.order_closure(v.ordenes(), _applied(v))
 
 
+def _billed(v: MarketViews) -> DataFrame:
+    """Orders that bill what their payments add up to, so that their last payment closes them."""
+    paid = v.pagos().groupBy(F.col("id_orden").alias("id")).agg(F.sum("monto").cast("decimal(12,2)").alias("total"))
+    return v.ordenes().drop("total").join(paid, "id")
+
+
+@query
+def order_closure_failed(v):
+    """Closures of which those of the orders marked as cancelled fail."""
+    billed = _billed(v)
+    closure = billed.select(F.col("id").alias("id_orden"), (F.col("estado") != "cancelada").alias("cierre_ok"))
+    return payments.order_closure(billed, payments.payment_application(billed, v.pagos(), closure=closure), closure)
+
+
 # Credit
 
 
@@ -203,13 +222,8 @@ def movements_by_type(v): return credit.movements_by_type(v.movimientos())
 def movement_history(v): return credit.movement_history(v.movimientos())
 
 
-def _open_lines(v: MarketViews) -> DataFrame:
-    """Lines that were opened: those of active buyers."""
-    return v.creditos().filter(F.col("estado") == "activo")
-
-
 @query
-def credit_panel(v): return credit.credit_panel(v.usuarios(), _open_lines(v))
+def credit_panel(v): return credit.credit_panel(v.usuarios(), v.creditos())
 
 
 @query
@@ -229,11 +243,11 @@ def instalment_schedule(v): return credit.instalment_schedule(v.cuotas())
 
 
 @query
-def open_credit_lines(v): return _money_out(credit.open_credit_lines(v.usuarios(), _open_lines(v))[0])
+def open_credit_lines(v): return _money_out(credit.open_credit_lines(v.usuarios(), v.creditos())[0])
 
 
 @query
-def open_credit_movements(v): return _money_out(credit.open_credit_lines(v.usuarios(), _open_lines(v))[1])
+def open_credit_movements(v): return _money_out(credit.open_credit_lines(v.usuarios(), v.creditos())[1])
 
 
 def _money_out(df: DataFrame) -> DataFrame:
@@ -296,6 +310,30 @@ def order_intake_lines(v):
     return _money_out(orders.intake_lines(accepted, _items(v), v.productos()))
 
 
+def _with_credit(v: MarketViews, single: bool) -> DataFrame:
+    """Intake, then every accepted order asks its buyer's line for the whole amount, in order of the orders."""
+    taken = durable(orders.order_intake(_requests(v), _items(v), v.productos(), ITEM_ORDER, single=single))
+    events = orders.intake_credit_events(taken).withColumn("orden", F.col("cuota_id"))
+    no_plans = v.cuotas_de_apertura().filter(F.lit(False))
+    return orders.with_credit(taken, ledger.credit_ledger(events, v.creditos(), no_plans, ("orden",)))
+
+
+@query
+def order_intake_credit(v): return _with_credit(v, False)
+
+
+@query
+def order_intake_credit_single(v): return _with_credit(v, True)
+
+
+@query
+def stock_fold_accepted(v):
+    """The catalog's own stock, taken by the lines of accepted orders only."""
+    taken = orders.order_intake(_requests(v), _items(v), v.productos(), ITEM_ORDER).filter("aceptada")
+    lines = v.orden_detalles().join(taken.select("id_orden"), "id_orden", "left_semi")
+    return _money_out(orders.stock_fold(lines, v.productos(), LINE_ORDER))
+
+
 def _stocked(v: MarketViews) -> DataFrame:
     return v.productos().withColumn("cantidad", F.col("cantidad") * STOCK_FACTOR)
 
@@ -367,6 +405,59 @@ def user_change_rejects(v): return _changed_users(v).rejects
 def user_cascade(v): return _money_out(changes.cascade(v.creditos(), "usuario_id", _changed_users(v).table))
 
 
+@query
+def user_cascade_instalments(v): return _money_out(changes.cascade(v.cuotas(), "usuario_id", _changed_users(v).table))
+
+
+@query
+def user_cascade_lines(v):
+    """Lines of the orders that are left once the deleted users' orders are gone."""
+    left = changes.cascade(v.ordenes(), "id_comprador", _changed_users(v).table)
+    return _money_out(changes.cascade(v.orden_detalles(), "id_orden", left))
+
+
+@query
+def log_balance(v):
+    """Per log: entries, refused ones and the rest, beside SQL that counts the accepted ones by the rule that accepts them."""
+    def counted(name: str, log: DataFrame, rejects: DataFrame) -> DataFrame:
+        both = log.select(F.lit(1).alias("n"), F.lit(0).alias("r")).unionAll(rejects.select(F.lit(0), F.lit(1)))
+        return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entradas"), F.coalesce(F.sum("r"), F.lit(0)).alias("rechazadas")).select(
+            F.lit(name).alias("registro"), "entradas", "rechazadas", (F.col("entradas") - F.col("rechazadas")).alias("aceptadas")
+        )
+
+    registered = _registered(v)
+    parts = (
+        counted("productos", v.cambios_producto(), _products(v).rejects),
+        counted("registro", v.solicitudes_registro(), registered.rejects),
+        counted("registro (altas)", registered.table, registered.table.limit(0)),
+        counted("usuarios", v.cambios_usuario(), _changed_users(v).rejects),
+        counted("ordenes", v.cambios_orden(), orders.order_state_updates(v.ordenes(), v.cambios_orden(), ("fecha_pago", "transaccion_id"))[1]),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def csv_round_trip(v):
+    """Orders written as CSV and read back: the rows that type whole."""
+    root = shared_path(v.spark, "csv")
+    sinks.export_table(v.ordenes(), root, "ordenes", "csv")
+    good, _ = tables.read_checked(v.spark, root, "ordenes")
+    return _money_out(good.withColumn("fecha", F.col("fecha").cast("timestamp_ntz")))
+
+
+@query
+def csv_refused(v):
+    """Events written as CSV and read as movements: types of event are no text to refuse, texts in the amount are."""
+    root = shared_path(v.spark, "csv")
+    log = v.raw("events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("usuario_id"), F.col("event_type").alias("tipo"),
+        F.when(F.col("event_type") == "error", F.lit("sin monto")).otherwise(F.round("value", 2).cast("string")).alias("monto"),
+    )
+    sinks.export_table(log, root, "movimientos_credito", "csv")
+    _, refused = tables.read_checked(v.spark, root, "movimientos_credito")
+    return refused.select(F.col("id").cast("bigint").alias("id"), "monto", F.array_join("columnas", ",").alias("columnas"))
+
+
 @query
 def q_validate_enum(v):
     """Event types read as movement types: only mapped names belong to the domain."""
@@ -397,14 +488,15 @@ def ledger_breaks(v):
 @query
 def orphans(v):
     lines, paid, products, people = v.orden_detalles(), v.pagos(), v.productos(), v.usuarios()
-    done = v.ordenes().filter(F.col("estado") != "cancelada")
-    sellers = people.filter(F.col("rol") == "vendedor")
+    asked = v.ordenes()
     parts = (
-        quality.orphans(lines, "id_orden", done, "linea sin orden vigente"),
-        quality.orphans(paid, "id_orden", done, "pago sin orden vigente"),
-        quality.orphans(lines, "id_producto", products.filter("activo"), "linea sin producto activo"),
-        quality.orphans(v.movimientos(), "usuario_id", _open_lines(v), "movimiento sin linea de credito", "usuario_id"),
-        quality.orphans(products.withColumn("id_vendedor", F.col("id_vendedor").cast("bigint")), "id_vendedor", sellers, "producto sin vendedor"),
+        quality.orphans(lines, "id_orden", asked, "linea sin orden"),
+        quality.orphans(paid, "id_orden", asked, "pago sin orden"),
+        quality.orphans(lines, "id_producto", products, "linea sin producto"),
+        quality.orphans(asked, "id_comprador", people, "orden sin comprador"),
+        quality.orphans(v.movimientos(), "usuario_id", v.creditos(), "movimiento sin linea de credito", "usuario_id"),
+        quality.orphans(v.cuotas(), "usuario_id", v.creditos(), "cuota sin linea de credito", "usuario_id"),
+        quality.orphans(products, "id_vendedor", people, "producto sin vendedor"),
     )
     return reduce(DataFrame.unionByName, parts)
 
@@ -440,7 +532,9 @@ def lookup_instalments(v): return _money_out(lookup.lookup_by_keys(v.cuotas(), _
 
 
 @query
-def missing_keys(v): return lookup.missing_keys(v.ordenes().filter(F.col("estado") == "pagada").select(F.col("id").alias("id_orden")), _asked(v), "id_orden")
+def missing_keys(v):
+    """Users that move credit without having a line."""
+    return lookup.missing_keys(v.creditos(), v.movimientos(), "usuario_id")
 
 
 @query
@@ -502,6 +596,30 @@ def report_combined(v):
     return both.select("fuente", F.posexplode("top_mostrado").alias("posicion", "p")).select("fuente", "posicion", "p.*")
 
 
+@query
+def report_nested_order(v):
+    """Where every entry of the nested report's lists stands."""
+    def places(name: str, key: str) -> DataFrame:
+        return nested.select(F.posexplode(name).alias("posicion", "e")).select(
+            F.lit(name).alias("seccion"), "posicion", F.col(f"e.{key}").cast("string").alias("clave")
+        )
+
+    nested = durable(_report(v, _bases(v)))
+    lists = {
+        "top_productos": "id", "ingresos_por_mes": "mes", "distribucion_roles": "rol", "metodos_pago": "metodo",
+        "estados_ordenes": "estado", "inventario_por_vendedor": "vendedor_id",
+    }
+    return reduce(DataFrame.unionByName, [places(n, k) for n, k in lists.items()])
+
+
+@query
+def report_live_top(v):
+    """The top list that is shown while there is no stored report."""
+    absent = report.read(v.spark, f"{v.sf_dir}/no-report")
+    both = report.combined(absent, report.live(_bases(v), v.orden_detalles()))
+    return both.select("fuente", F.posexplode("top_mostrado").alias("posicion", "p")).select("fuente", "posicion", "p.*")
+
+
 @query
 def report_live_months(v):
     absent = report.read(v.spark, f"{v.sf_dir}/no-report")
@@ -519,7 +637,7 @@ def _streams(v: MarketViews) -> jobs.StreamViews:
 
 @query
 def stream_movements(v):
-    done = jobs.run_update(jobs.movement_windows(_streams(v).movimientos()), shared_path(v.spark, "movements"))
+    done = jobs.run_update(jobs.movement_windows(_streams(v).movimientos(), delay=None), shared_path(v.spark, "movements"))
     return jobs.latest(v.spark, done, ["desde", "tipo"])
 
 

@@ -22,7 +22,8 @@ def con():
 @pytest.mark.parametrize("name", list(all_queries()))
 def test_query_equals_sql(spark, con, name):
     state, _, _, _, note = compare(spark, con, name, SF)
-    assert state in ("ok", "rows"), note
+    # The whole nested row carries a time stamp: its sections, and the order in its lists, have SQL of their own.
+    assert state == ("rows" if name == "report_nested" else "ok"), note
 
 
 def test_every_sql_belongs_to_a_query():

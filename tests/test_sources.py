@@ -57,3 +57,22 @@ def test_jdbc_options():
     assert (ranged["partitionColumn"], ranged["lowerBound"], ranged["upperBound"], ranged["numPartitions"]) == ("id", "1", "1000", "8")
     with pytest.raises(ValueError):
         tables.jdbc_options("jdbc:x", "productos", {}, "id")
+
+
+def test_csv_keeps_texts_and_large_keys(spark, tmp_path):
+    """Newlines, quotes, commas, a text that reads NULL, and keys beyond 2^31 come back as they went."""
+    texts = ["two\nlines", 'a "quoted" word', "one, two", "NULL", "\\N?", None, "plain"]
+    rows = [(3_000_000_000 + i, None, f"p{i}", t, None, 1, True, True, None) for i, t in enumerate(texts)]
+    sinks.export_table(spark.createDataFrame(rows, TABLES["productos"]), str(tmp_path), "productos", "csv", null="\\N")
+    good, refused = tables.read_checked(spark, str(tmp_path), "productos", null="\\N")
+    assert sorted((r.id, r.descripcion) for r in good.collect()) == [(3_000_000_000 + i, t) for i, t in enumerate(texts)]
+    assert refused.count() == 0
+
+
+def test_rows_that_do_not_type_are_set_aside(spark, tmp_path):
+    (tmp_path / "ordenes.csv").write_text(
+        "id,id_comprador,total,estado,fecha\n1,7,10.50,pagada,2024-01-01\nx,7,1.00,pagada,2024-01-01\n3,7,123456789.50,pagada,soon\n4,NULL,NULL,pagada,NULL\n"
+    )
+    good, refused = tables.read_checked(spark, str(tmp_path), "ordenes")
+    assert sorted(r.id for r in good.collect()) == [1, 4]
+    assert sorted((r.id, tuple(r.columnas)) for r in refused.collect()) == [("3", ("total", "fecha")), ("x", ("id",))]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Keys are 64-bit: order lines outgrow 2^31.
+_KEY = T.LongType()
 _INT, _STR, _BOOL, _TS = T.IntegerType(), T.StringType(), T.BooleanType(), T.TimestampType()
 _M10, _M12 = T.DecimalType(10, 2), T.DecimalType(12, 2)
 
@@ -14,32 +16,32 @@ def _table(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 # One StructType serves the three user shapes: a column a source lacks is read as NULL.
 USUARIOS = _table(
-    ("id", _INT), ("nombre", _STR), ("email", _STR), ("usuario", _STR), ("rol", _STR), ("estado", _STR),
+    ("id", _KEY), ("nombre", _STR), ("email", _STR), ("usuario", _STR), ("rol", _STR), ("estado", _STR),
     ("fecha_registro", _TS), ("cupo_total", _M10), ("cupo_disponible", _M10), ("cupo_usado", _M10),
     ("veces_cupo_completo", _INT), ("compras_completadas", _INT),
 )
 PRODUCTOS = _table(
-    ("id", _INT), ("id_vendedor", _INT), ("nombre", _STR), ("descripcion", _STR), ("precio", _M10),
+    ("id", _KEY), ("id_vendedor", _KEY), ("nombre", _STR), ("descripcion", _STR), ("precio", _M10),
     ("cantidad", _INT), ("activo", _BOOL), ("aprobado", _BOOL), ("fecha_creacion", _TS),
 )
-ORDENES = _table(("id", _INT), ("id_comprador", _INT), ("total", _M10), ("estado", _STR), ("fecha", _TS))
+ORDENES = _table(("id", _KEY), ("id_comprador", _KEY), ("total", _M10), ("estado", _STR), ("fecha", _TS))
 ORDEN_DETALLES = _table(
-    ("id", _INT), ("id_orden", _INT), ("id_producto", _INT), ("cantidad", _INT), ("precio_unitario", _M10)
+    ("id", _KEY), ("id_orden", _KEY), ("id_producto", _KEY), ("cantidad", _INT), ("precio_unitario", _M10)
 )
 PAGOS = _table(
-    ("id", _INT), ("id_orden", _INT), ("metodo_pago", _STR), ("monto", _M10), ("transaccion_id", _STR),
+    ("id", _KEY), ("id_orden", _KEY), ("metodo_pago", _STR), ("monto", _M10), ("transaccion_id", _STR),
     ("estado", _STR), ("fecha_pago", _TS),
 )
 CREDITOS = _table(
-    ("id", _INT), ("usuario_id", _INT), ("cupo_total", _M12), ("cupo_disponible", _M12),
+    ("id", _KEY), ("usuario_id", _KEY), ("cupo_total", _M12), ("cupo_disponible", _M12),
     ("compras_completadas", _INT), ("estado", _STR), ("fecha_creacion", _TS),
 )
 CUOTAS = _table(
-    ("id", _INT), ("usuario_id", _INT), ("compra_id", _INT), ("monto_total", _M12), ("monto_por_cuota", _M12),
+    ("id", _KEY), ("usuario_id", _KEY), ("compra_id", _KEY), ("monto_total", _M12), ("monto_por_cuota", _M12),
     ("cuotas_totales", _INT), ("cuotas_pagadas", _INT), ("estado", _STR), ("fecha_compra", _TS),
 )
 MOVIMIENTOS = _table(
-    ("id", _INT), ("usuario_id", _INT), ("tipo", _STR), ("monto", _M12), ("cuotas", _INT), ("cupo_antes", _M12),
+    ("id", _KEY), ("usuario_id", _KEY), ("tipo", _STR), ("monto", _M12), ("cuotas", _INT), ("cupo_antes", _M12),
     ("cupo_despues", _M12), ("descripcion", _STR), ("fecha", _TS),
 )
 

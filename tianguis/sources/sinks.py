@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tianguis.schema import MONTH_COLUMN
+from tianguis.sources.tables import NULL_TEXT
 
 
-def export_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", by_month: bool = False) -> str:
+def export_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", by_month: bool = False, null: str = NULL_TEXT) -> str:
     """Write one table whole. ``by_month`` lays a fact table out by month for partition pruning."""
     path = f"{root.rstrip('/')}/{name}.{fmt}"
     writer_input = df
@@ -21,7 +22,7 @@ def export_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", by_m
     if partition:
         writer = writer.partitionBy(*partition)
     if fmt == "csv":
-        writer = writer.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "NULL")
+        writer = writer.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", null)
     writer.format(fmt).save(path)
     return path
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tianguis.schema import TABLES
 
+#: What stands for NULL in a CSV file unless told otherwise; a text that reads so needs another mark.
+NULL_TEXT = "NULL"
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The canonical columns of ``df``: extra ones (passwords too) are dropped, absent ones are NULL.
@@ -29,20 +32,45 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[typed(f) for f in schema.fields])
 
 
+def _untyped(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
+    """Per text column of ``df``: whether it holds a value that :func:`conform` cannot type."""
+    have = {name.lower(): name for name in df.columns}
+    texts = [f for f in schema.fields if f.name.lower() in have and isinstance(df.schema[have[f.name.lower()]].dataType, T.StringType)]
+    return {
+        f.name: F.col(have[f.name.lower()]).isNotNull() & F.col(have[f.name.lower()]).try_cast(f.dataType).isNull()
+        for f in texts
+    }
+
+
+def read_checked(
+    spark: SparkSession, root: str, name: str, fmt: str = "csv", file: str | None = None, null: str = NULL_TEXT
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that type whole, refused rows as read with ``columnas`` at fault): together every row of the file."""
+    raw = _load(spark, root, name, fmt, file, null)
+    faults = [F.when(bad, F.lit(column)) for column, bad in _untyped(raw, TABLES[name]).items()]
+    marked = raw.withColumn("columnas", F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>"))
+    return conform(marked.filter(F.size("columnas") == 0), TABLES[name]), marked.filter(F.size("columnas") > 0)
+
+
+def _load(spark: SparkSession, root: str, name: str, fmt: str, file: str | None, null: str) -> DataFrame:
+    reader = spark.read
+    if fmt == "csv":
+        reader = reader.option("header", True).option("nullValue", null).option("escape", '"').option("multiLine", True)
+    return reader.format(fmt).load(f"{root.rstrip('/')}/{file or name + '.' + fmt}")
+
+
 def read_table(
-    spark: SparkSession, root: str, name: str, fmt: str = "parquet", optional: bool = True, file: str | None = None
+    spark: SparkSession, root: str, name: str, fmt: str = "parquet", optional: bool = True, file: str | None = None,
+    null: str = NULL_TEXT,
 ) -> DataFrame:
     """One canonical table under ``root``; a missing one is an empty table unless ``optional`` is off.
 
-    CSV columns are matched by header name and cast, so any column order and any user shape reads.
+    CSV columns are matched by header name and cast, so any column order and any user shape reads; ``null`` is the text
+    that stands for NULL there. Values that do not type become NULL: :func:`read_checked` sets their rows aside.
     """
     schema = TABLES[name]
-    path = f"{root.rstrip('/')}/{file or name + '.' + fmt}"
-    reader = spark.read
-    if fmt == "csv":
-        reader = reader.option("header", True).option("nullValue", "NULL").option("escape", '"').option("multiLine", True)
     try:
-        raw = reader.format(fmt).load(path)
+        raw = _load(spark, root, name, fmt, file, null)
     except AnalysisException as err:
         if optional and "PATH_NOT_FOUND" in (err.getCondition() or str(err)):
             return spark.createDataFrame([], schema)

@@ -72,9 +72,17 @@ class MarketViews:
         return users.join(first_order, "id", "left")
 
     def productos(self) -> DataFrame:
-        return self.raw("part").select(
+        """Parts; the supplier of a part's first order line sells it (NULL where it was never ordered).
+
+        Sellers are reduced to one row per part before the join, which Catalyst drops where nobody asks for them.
+        """
+        first = F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))["l_suppkey"]
+        sellers = self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+            (first + SELLER_ID_BASE).alias("id_vendedor")
+        )
+        return self.raw("part").join(sellers, "p_partkey", "left").select(
             F.col("p_partkey").alias("id"),
-            F.substring("p_brand", 7, 10).cast("int").alias("id_vendedor"),
+            F.col("id_vendedor"),
             F.col("p_name").alias("nombre"),
             F.col("p_type").alias("descripcion"),
             d2("p_retailprice").alias("precio"),
@@ -119,8 +127,9 @@ class MarketViews:
         )
 
     def creditos(self) -> DataFrame:
+        """Credit lines in every state; customers of the machinery segment buy in cash and have none."""
         balance = F.col("c_acctbal")
-        return self.raw("customer").select(
+        return self.raw("customer").filter(F.col("c_mktsegment") != "MACHINERY").select(
             F.col("c_custkey").alias("id"),
             F.col("c_custkey").alias("usuario_id"),
             F.lit(10000).cast("decimal(12,2)").alias("cupo_total"),
@@ -205,7 +214,7 @@ class MarketViews:
         lines = self.raw("lineitem").select(
             F.col("l_partkey").alias("id_producto"),
             _mapped("l_returnflag", {"A": "editar", "N": "aprobar", "R": "desactivar"}).alias("tipo"),
-            (F.col("l_suppkey") % 25 + 1).cast("int").alias("id_vendedor"),
+            (F.col("l_suppkey") + SELLER_ID_BASE).alias("id_vendedor"),
             F.lit("vendedor").alias("rol"),
             F.concat(F.lit("Producto "), F.col("l_partkey").cast("string"), F.lit(" v"), F.col("l_linenumber").cast("string")).alias("nombre"),
             F.col("l_linestatus").alias("descripcion"),
@@ -217,7 +226,7 @@ class MarketViews:
         key = F.col("s_suppkey")
         new = self.raw("supplier").select(
             (key + SELLER_ID_BASE).alias("id_producto"), F.lit("publicar").alias("tipo"),
-            (key % 25 + 1).cast("int").alias("id_vendedor"),
+            (key + SELLER_ID_BASE).alias("id_vendedor"),
             F.when(F.col("s_acctbal") < 0, "comprador").otherwise("vendedor").alias("rol"),
             F.col("s_name").alias("nombre"), F.lit("nuevo").alias("descripcion"),
             d2(F.abs("s_acctbal")).alias("precio"), F.lit(1).alias("cantidad"),
