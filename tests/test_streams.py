@@ -71,3 +71,19 @@ def test_payment_state_equals_batch(spark, session, tmp_path, limits):
     batch = payments.payment_application(orders, df.drop("lote_prueba"))
     assert got == {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in batch.collect()}
     assert done.batches == 3
+
+
+def test_payments_out_of_order_are_refused_with_a_reason(spark, session, tmp_path):
+    """The later payment is judged first; the earlier one of the same order, in the next file, is refused, not judged anew."""
+    t0 = datetime(2026, 1, 1)
+    rows = [(0, 1, "B", Decimal("6.00"), t0 + timedelta(hours=1)), (1, 1, "A", Decimal("6.00"), t0),
+            (1, 2, "C", Decimal("10.00"), t0), (1, 1, "D", Decimal("4.00"), t0 + timedelta(hours=2))]
+    df = spark.createDataFrame(rows, "lote_prueba int, id_orden long, transaccion_id string, monto decimal(12,2), fecha_pago timestamp")
+    feed(df, str(tmp_path / "in"), 2)
+    static = session.createDataFrame([(i, Decimal("10.00"), "pendiente") for i in (1, 2)], "id long, total decimal(12,2), estado string")
+    done = jobs.run_payments(stream(session, str(tmp_path / "in"), df), static, str(tmp_path / "out"))
+    got = {r.transaccion_id: (r.aceptado, r.motivo, r.total_pagado_acumulado, r.estado_orden) for r in spark.read.parquet(done.path).collect()}
+    assert got == {
+        "B": (True, None, 6.0, "pendiente"), "A": (False, jobs.OUT_OF_ORDER, 6.0, "pendiente"),
+        "C": (True, None, 10.0, "pagada"), "D": (True, None, 10.0, "pagada"),
+    }
