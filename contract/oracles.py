@@ -299,8 +299,11 @@ _DAYS = "CAST(precio_unitario AS DOUBLE) AS precio_unitario"
 
 def all_oracles() -> dict[str, str]:
     oracles = _oracles()
-    for name in ("orders_by_user", "stock_fold", "payment_application"):
+    for name in ("orders_by_user", "stock_fold", "payment_application", "credit_ledger", "ledger_breaks"):
         oracles[f"{name}_hot_keys"] = oracles[name]
+    for name in ("stream_movements", "stream_sales"):
+        oracles[f"{name}_files"] = oracles[name]
+    oracles["stream_payments_yearly"] = oracles["stream_payments"]
     return oracles
 
 

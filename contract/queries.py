@@ -256,18 +256,21 @@ def _money_out(df: DataFrame) -> DataFrame:
     ])
 
 
-def _ledger(v: MarketViews) -> DataFrame:
-    return ledger.credit_ledger(v.eventos_credito(), v.creditos(), v.cuotas_de_apertura(), LEDGER_ORDER)
+def _ledger(v: MarketViews, limits: skew.Limits = ledger.LEDGER_LIMITS) -> DataFrame:
+    return ledger.credit_ledger(v.eventos_credito(), v.creditos(), v.cuotas_de_apertura(), LEDGER_ORDER, limits=limits)
 
 
-@query
-def credit_ledger(v):
-    return _ledger(v).select(
+def _ledger_rows(v: MarketViews, limits: skew.Limits = ledger.LEDGER_LIMITS) -> DataFrame:
+    return _ledger(v, limits).select(
         "usuario_id", *LEDGER_ORDER, "tipo", "cuota_id", "aceptado", "motivo", "numero",
         *[money.from_cents(c).alias(c) for c in ("antes", "despues", "cupo_total", "disponible")], "completadas",
     )
 
 
+@query
+def credit_ledger(v): return _ledger_rows(v)
+
+
 @query
 def credit_ledger_movements(v): return ledger.ledger_movements(_ledger(v), LEDGER_ORDER)
 
@@ -564,6 +567,16 @@ def stock_fold_hot_keys(v):
 def payment_application_hot_keys(v): return payments.payment_application(v.ordenes(), v.pagos(), limits=_low(6))
 
 
+@query
+def credit_ledger_hot_keys(v): return _ledger_rows(v, _low(60))
+
+
+@query
+def ledger_breaks_hot_keys(v):
+    movements = durable(ledger.ledger_movements(_ledger(v), LEDGER_ORDER))
+    return quality.ledger_breaks(movements, LEDGER_ORDER, _low(8))
+
+
 # Report
 
 
@@ -667,5 +680,46 @@ def stream_payments(v):
     return verdicts.select("id_orden", "transaccion_id", "aceptado", "total_pagado_acumulado", "estado_orden")
 
 
+# The same jobs over tables cut into files: dealt by key, so in no order of time, or appended year by year.
+
+
+FILES = 12
+
+
+def _in_files(v: MarketViews, table: str, key: str) -> jobs.SplitStreamViews:
+    root = shared_path(v.spark, "files")
+    v.raw(table).repartition(FILES, key).write.parquet(f"{root}/{table}.parquet")
+    return jobs.SplitStreamViews(_streams(v).spark, root)
+
+
+@query
+def stream_movements_files(v):
+    streams = _in_files(v, "events", "event_id")
+    done = jobs.run_update(jobs.movement_windows(streams.movimientos(), delay=None), shared_path(v.spark, "movements"))
+    return jobs.latest(v.spark, done, ["desde", "tipo"])
+
+
+@query
+def stream_sales_files(v):
+    done = jobs.run_update(jobs.sales_months(_in_files(v, "orders", "o_orderkey").ordenes()), shared_path(v.spark, "sales"))
+    return jobs.latest(v.spark, done, ["mes"])
+
+
+@query
+def stream_payments_yearly(v):
+    """Every year's payments are appended and the job runs again from where it stopped; undated ones come first."""
+    root, path = shared_path(v.spark, "files"), shared_path(v.spark, "payments")
+    session = _streams(v).spark
+    static, lines, shipped = MarketViews(session, v.sf_dir).ordenes(), v.raw("lineitem"), F.col("l_shipdate")
+    first, last = lines.agg(F.min(F.year(shipped)), F.max(F.year(shipped))).first()
+    years = [] if first is None else range(first, last + 1)
+    begin = {y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (*years, (last or 0) + 1)}
+    for new in (shipped.isNull(), *((shipped >= begin[y]) & (shipped < begin[y + 1]) for y in years)):
+        lines.filter(new).write.mode("append").parquet(f"{root}/lineitem.parquet")
+        done = jobs.run_payments(jobs.SplitStreamViews(session, root, per_trigger=1000).pagos(), static, path)
+    verdicts = v.spark.read.parquet(done.path)
+    return verdicts.select("id_orden", "transaccion_id", "aceptado", "total_pagado_acumulado", "estado_orden")
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)

@@ -87,3 +87,31 @@ def test_payments_out_of_order_are_refused_with_a_reason(spark, session, tmp_pat
         "B": (True, None, 6.0, "pendiente"), "A": (False, jobs.OUT_OF_ORDER, 6.0, "pendiente"),
         "C": (True, None, 10.0, "pagada"), "D": (True, None, 10.0, "pagada"),
     }
+
+
+def test_counts_cover_more_micro_batches_than_a_query_remembers(spark, session, tmp_path):
+    """Every file but the first comes too late; the query itself remembers its newest two micro-batches."""
+    t0 = datetime(2026, 1, 1)
+    rows = [(n, "pago", Decimal(1), t0 - timedelta(days=30 * (n > 0))) for n in range(6)]
+    df = spark.createDataFrame(rows, "lote_prueba int, tipo string, monto decimal(12,2), fecha timestamp")
+    feed(df, str(tmp_path / "in"), 6)
+    session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        done = jobs.run_update(jobs.movement_windows(stream(session, str(tmp_path / "in"), df), delay="2 days"), str(tmp_path / "out"))
+    finally:
+        session.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert done.batches == 6 and done.late_rows == 5
+
+
+def test_merged_states_give_the_same_verdicts(spark, session, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGE_EVERY", 2)
+    orders = spark.createDataFrame([(i, Decimal("20.00"), "pendiente") for i in range(3)], "id long, total decimal(12,2), estado string")
+    rows = [(n // 5, n % 3, f"T{n:02}", Decimal((n * 7) % 6 + 1), datetime(2026, 1, 1) + timedelta(minutes=n)) for n in range(30)]
+    df = spark.createDataFrame(rows, "lote_prueba int, id_orden long, transaccion_id string, monto decimal(12,2), fecha_pago timestamp")
+    feed(df, str(tmp_path / "in"), 6)
+    static = session.createDataFrame([tuple(r) for r in orders.collect()], orders.schema)
+    done = jobs.run_payments(stream(session, str(tmp_path / "in"), df), static, str(tmp_path / "out"))
+    got = {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in spark.read.parquet(done.path).collect()}
+    batch = payments.payment_application(orders, df.drop("lote_prueba"))
+    assert got == {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in batch.collect()}
+    assert done.batches == 6 and {p.name for p in (tmp_path / "out" / "state").iterdir()} >= {"hasta=2", "hasta=4"}
