@@ -100,7 +100,8 @@ def test_counts_cover_more_micro_batches_than_a_query_remembers(spark, session,
         done = jobs.run_update(jobs.movement_windows(stream(session, str(tmp_path / "in"), df), delay="2 days"), str(tmp_path / "out"))
     finally:
         session.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
-    assert done.batches == 6 and done.late_rows == 5
+    # late rows are judged by the watermark before the newest, so those of the second file are still taken
+    assert (done.batches, done.late_rows) == (6, 4)
 
 
 def test_merged_states_give_the_same_verdicts(spark, session, tmp_path, monkeypatch):
