@@ -97,3 +97,10 @@ def test_odd_and_no_documents(spark):
     (row,) = katz.scores(documents(spark, ["a b"], [held])).collect()
     assert tuple(row) == (held, True, 3, 0, 0, 0.0, 0.0)
     compare(documents(spark, ["a a a a", "a a a a", ""], [1, 2, 3]), [(1, "a a a a"), (2, "a a a a"), (3, "")])
+
+
+def test_rare_words_are_histories_however_large_the_corpus(spark):
+    """Behind a word of three in more than 262,144 tokens the bigram counts: adding other text does not take it away."""
+    rows = [(1, "rare follower"), (2, "rare follower"), (3, "follower rare")] + [(10 + i, "a b c d e f g h " * 2_500) for i in range(20)]
+    model = compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert model.total > 4 * 65536 and model.p("rare", "follower") > 10 * model.p1("follower")

@@ -1,16 +1,15 @@
 """Katz backoff scores of whole texts, learnt from the corpus itself.
 
-Bigram counts with Good-Turing discounts back off to discounted unigrams, and those to one unknown word. A word is a
-history of its own if it makes up at least 1/65,536 of the training tokens, so there are at most that many histories;
-behind a rarer word the history is empty and the unigram is used at once. Every count covers the whole corpus.
+Bigram counts with Good-Turing discounts back off to discounted unigrams, and those to one unknown word. Every word of the
+training texts is a history. Every count covers the whole corpus.
 
 Denominators are one larger than the counts (c(u) + 1, N + 1): one event is always left for what was not seen, so the
 backoff weights, computed from exact sums, are positive and every distribution adds up to one.
 
 Texts are held as chunks: their distinct words, and one number per token. A chunk deals its distinct (word, history)
 pairs into buckets by word (frequent words by word and history), where the counts of the whole corpus meet; a bucket
-answers every chunk in the order it was asked, so texts are never sent along. With the discounts and the backoff weights
-of the histories, each chunk then looks up its tokens and adds them up per text.
+answers every chunk in the order it was asked, so texts are never sent along. The backoff weights are a table by history,
+which is joined with the words of each chunk. With both, a chunk looks up its tokens and adds them up per text.
 """
 
 from __future__ import annotations
@@ -26,15 +25,18 @@ from pyspark.sql import functions as F
 from tianguis.llm.common import complete_runs, saved, text_only
 from tianguis.llm.ragged import LOWER, Powers, Words, steps
 
-#: A history has at least this share of the training tokens.
-HISTORY_SHARE = 1 / 65536
+#: A history has at least this share of the training tokens; 0: every word is one.
+HISTORY_SHARE = 0.0
+#: Words of at least this share are dealt out by word and history; the answer is the same for any share.
+FREQUENT_SHARE = 1 / 65536
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: Tokens of a bucket, and bytes of text whose tokens are counted together before they are dealt out.
 BUCKET_TOKENS = 500_000
 CHUNK_BYTES = 4_000_000
 _END = np.uint64(0xE0D)
-_NO_HISTORY = -1
+#: History of the first token of a text.
+_BEGIN = np.uint64(0xBE61)
 
 
 def discounts(counts: list[float]) -> list[float]:
@@ -112,36 +114,34 @@ def unigrams(chunks: DataFrame) -> DataFrame:
     return each.groupBy(F.col("w.word").alias("word")).agg(F.sum("w.times").alias("n"))
 
 
-class Histories:
-    """Words that are histories, with their counts; the begin of a text is the last of them."""
+class Frequent:
+    """Frequent words with their counts, at most 1 / FREQUENT_SHARE of them."""
 
-    def __init__(self, rows: list[tuple[int, int]], texts: int):
+    def __init__(self, rows: list[tuple[int, int]]):
         words = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
         order = np.argsort(words)
-        self.words = words[order]
-        self.counts = np.array([*(np.array([r[1] for r in rows], dtype=np.int64)[order] if rows else []), texts], dtype=np.int64)
+        self.words, self.counts = words[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """Index of each word hash, or _NO_HISTORY."""
+        """Index of each word hash, or -1."""
         if not len(self.words):
-            return np.full(len(words), _NO_HISTORY)
+            return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, _NO_HISTORY)
+        return np.where(self.words[at] == words, at, -1)
 
 
 class Pairs:
     """The distinct (word, history) pairs of a chunk in the order of their buckets, and the pair of every token."""
 
-    def __init__(self, word: np.ndarray, token: np.ndarray, n: np.ndarray, h: Histories, buckets: int):
-        index = h.find(word)
+    def __init__(self, word: np.ndarray, token: np.ndarray, n: np.ndarray, f: Frequent, buckets: int):
         history = np.empty(len(token), dtype=np.int64)
-        history[1:] = index[token[:-1]]
-        history[np.cumsum(n) - n] = len(h.words)
-        size = len(h.counts) + 1
-        key, of = np.unique(token.astype(np.int64) * size + history + 1, return_inverse=True)
-        w, u = key // size, key % size - 1
+        history[1:] = token[:-1]
+        history[np.cumsum(n) - n] = len(word)
+        size = len(word) + 1
+        key, of = np.unique(token.astype(np.int64) * size + history, return_inverse=True)
+        w, u = key // size, np.append(word, _BEGIN)[key % size]
         names = word[w]
-        mixed = np.where(index[w] >= 0, (names + (u + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), names)
+        mixed = np.where(f.find(word)[w] >= 0, (names + (u ^ (u >> np.uint64(29)))) * np.uint64(0x9E3779B97F4A7C15), names)
         bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
@@ -158,20 +158,20 @@ def _chunk_rows(batch: pa.RecordBatch):
         yield row, word.view(np.uint64), token, n
 
 
-_DEALT = "bucket int, chunk long, word array<long>, run array<int>, history array<int>, n array<int>"
+_DEALT = "bucket int, chunk long, word array<long>, run array<int>, history array<long>, n array<int>"
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
-def _dealt(chunks: DataFrame, histories, buckets: int) -> DataFrame:
+def _dealt(chunks: DataFrame, frequent, buckets: int) -> DataFrame:
     """Pairs of every chunk by bucket, with their training counts in the chunk; equal words as runs."""
 
     def run(batches):
         for batch in batches:
             for row, word, token, n in _chunk_rows(batch):
-                p = Pairs(word, token, n, histories.value, buckets)
+                p = Pairs(word, token, n, frequent.value, buckets)
                 learn = np.repeat(row.column("learn").flatten().to_numpy(zero_copy_only=False), n)
                 times = np.bincount(p.of, weights=learn, minlength=len(p.word)).astype(np.int32)
                 first_b, first_w = np.flatnonzero(p.new_bucket), np.flatnonzero(p.new_word)
@@ -182,7 +182,7 @@ def _dealt(chunks: DataFrame, histories, buckets: int) -> DataFrame:
                         pa.array(p.bucket[first_b].astype(np.int32)), pa.array(np.full(len(first_b), row.column("chunk")[0].as_py())),
                         _lists(p.word[first_w].view(np.int64), word_cuts, pa.int64()),
                         _lists(np.diff(np.append(first_w, len(p.word))).astype(np.int32), word_cuts, pa.int32()),
-                        _lists(p.history.astype(np.int32), cuts, pa.int32()), _lists(times, cuts, pa.int32()),
+                        _lists(p.history.view(np.int64), cuts, pa.int64()), _lists(times, cuts, pa.int32()),
                     ],
                     names=["bucket", "chunk", "word", "run", "history", "n"],
                 )
@@ -191,19 +191,21 @@ def _dealt(chunks: DataFrame, histories, buckets: int) -> DataFrame:
 
 
 K = DISCOUNTED
-#: kind a: a chunk's answer (counts of its pairs and of its words in the bucket); u: sums of history a; c: counts of counts.
+#: kind a: a chunk's answer (counts of its pairs and of its words in the bucket); u: sums of history a.
 _FOUND = "kind string, bucket int, a long, pairs array<int>, words array<int>, v array<double>"
 
 
-def _classes(count: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
-    """Per owner: types that occur 1, 2, ..., K times, and the sum of the counts above."""
-    above = count > K
-    few = [np.bincount(of[count == r], minlength=size).astype(float) for r in range(1, K + 1)]
-    return [*few, np.bincount(of[above], weights=count[above], minlength=size)]
+def _sums(count: np.ndarray, below: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """Per history: types that occur 1, 2, ..., K + 1 times, the sum of the counts above K, and the same K and sum of the words below."""
+    out = [np.bincount(of[count == r], minlength=size) for r in range(1, K + 2)]
+    out.append(np.bincount(of[count > K], weights=count[count > K], minlength=size))
+    out += [np.bincount(of[below == r], minlength=size) for r in range(1, K + 1)]
+    out.append(np.bincount(of[below > K], weights=below[below > K], minlength=size))
+    return np.stack(out, axis=1).astype(np.float64)
 
 
-def _bucket(table: pa.Table, h: Histories) -> pa.RecordBatch:
-    """The counts of one bucket: an answer to every chunk, sums per history, counts of counts."""
+def _bucket(table: pa.Table, f: Frequent) -> pa.RecordBatch:
+    """The counts of one bucket: an answer to every chunk, and sums per history."""
 
     def flat(name):
         return table.column(name).combine_chunks().flatten().to_numpy()
@@ -213,7 +215,7 @@ def _bucket(table: pa.Table, h: Histories) -> pa.RecordBatch:
 
     run = flat("run")
     word = np.repeat(flat("word").view(np.uint64), run)
-    history = flat("history").astype(np.int64)
+    history = flat("history")
     order = np.lexsort((history, word))
     w, u, n = word[order], history[order], flat("n")[order]
     new_w = np.append(True, w[1:] != w[:-1])
@@ -221,22 +223,21 @@ def _bucket(table: pa.Table, h: Histories) -> pa.RecordBatch:
     pair_of, word_of = np.cumsum(new_p) - 1, np.cumsum(new_w) - 1
     c_pair = np.bincount(pair_of, weights=n).astype(np.int64)
     c_word = np.bincount(word_of, weights=n).astype(np.int64)
-    frequent = h.find(w[new_w])
-    c_word = np.where(frequent >= 0, h.counts[np.maximum(frequent, 0)], c_word)
+    frequent = f.find(w[new_w])
+    if len(f.words):
+        c_word = np.where(frequent >= 0, f.counts[np.maximum(frequent, 0)], c_word)
     back = np.empty(len(order), dtype=np.int64)
     back[order] = np.arange(len(order))
     pairs = c_pair[pair_of][back]
     words = c_word[word_of][back][np.cumsum(run) - run]
     answers = table.num_rows
-    kinds, names = ["a"] * answers + ["c"], table.column("chunk").to_pylist() + [0]
-    types = (u[new_p] >= 0) & (c_pair > 0)
-    u, r, below = u[new_p][types], c_pair[types], c_word[word_of[new_p]][types]
-    values = [None] * answers + [[float((r == k).sum()) for k in range(1, K + 2)]]
-    if len(u):
-        owner, of = np.unique(u, return_inverse=True)
-        sums = np.stack([*_classes(r, of, len(owner)), *_classes(below, of, len(owner))], axis=1)
-        kinds, names, values = kinds + ["u"] * len(owner), names + owner.tolist(), values + sums.tolist()
-    rest = len(kinds) - answers
+    types = c_pair > 0
+    owner, of = np.unique(u[new_p][types], return_inverse=True)
+    values = _sums(c_pair[types], c_word[word_of[new_p]][types], of, len(owner))
+    rest = len(owner)
+    width = values.shape[1]
+    offsets = np.append(np.zeros(answers, dtype=np.int64), np.arange(rest + 1) * width)
+    kinds, names = ["a"] * answers + ["u"] * rest, table.column("chunk").to_pylist() + owner.tolist()
 
     def padded(numbers, offsets):
         return _lists(numbers.astype(np.int32), np.append(offsets, np.full(rest, offsets[-1])), pa.int32())
@@ -244,17 +245,17 @@ def _bucket(table: pa.Table, h: Histories) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(kinds), pa.array(np.full(len(kinds), table.column("bucket")[0].as_py(), dtype=np.int32)), pa.array(names, pa.int64()),
-            padded(pairs, cuts("history")), padded(words, cuts("run")), pa.array(values, pa.list_(pa.float64())),
+            padded(pairs, cuts("history")), padded(words, cuts("run")), _lists(values.ravel(), offsets, pa.float64()),
         ],
         names=["kind", "bucket", "a", "pairs", "words", "v"],
     )
 
 
-def _counted(dealt: DataFrame, histories) -> DataFrame:
+def _counted(dealt: DataFrame, frequent) -> DataFrame:
     def run(batches):
         for table, starts in complete_runs(batches, ["bucket"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                yield _bucket(table.slice(a, b - a).combine_chunks(), histories.value)
+                yield _bucket(table.slice(a, b - a).combine_chunks(), frequent.value)
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
@@ -262,47 +263,66 @@ def _counted(dealt: DataFrame, histories) -> DataFrame:
 class Model:
     """Everything a chunk needs beside its counts."""
 
-    def __init__(self, d1: list[float], d2: list[float], total: int, types: int, unknown: float, weights: np.ndarray):
+    def __init__(self, d1: list[float], d2: list[float], total: int, types: int, unknown: float):
         self.d1, self.d2 = (np.log10(np.array([1.0, *d, 1.0])) for d in (d1, d2))
-        self.total, self.types, self.unknown, self.weights = total, types, unknown, weights
+        self.total, self.types, self.unknown = total, types, unknown
 
-    def scores(self, history, c_pair, c_word, h: Histories) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the probability of each pair, and its part of the base score."""
+    def scores(self, c_history, weight, c_pair, c_word) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each pair, and its part of the base score; the count of what is no history is 0."""
         known = c_word > 0
         low = np.where(known, np.log10(np.maximum(c_word, 1)) + self.d1[np.minimum(c_word, K + 1)] - np.log10(self.total + 1), np.log10(self.unknown))
-        u = np.maximum(history, 0)
-        seen = np.log10(np.maximum(c_pair, 1)) + self.d2[np.minimum(c_pair, K + 1)] - np.log10(h.counts[u] + 1.0)
-        katz = np.where(history < 0, low, np.where(c_pair > 0, seen, self.weights[u] + low))
+        seen = np.log10(np.maximum(c_pair, 1)) + self.d2[np.minimum(c_pair, K + 1)] - np.log10(c_history + 1.0)
+        katz = np.where(c_history == 0, low, np.where(c_pair > 0, seen, weight + low))
         return katz, np.log10(c_word + 0.1) - np.log10(self.total + 0.1 * (self.types + 1))
 
 
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(chunks: DataFrame, counted: DataFrame, histories, model, buckets: int) -> DataFrame:
-    """Scores of the texts of every chunk, whose answers come to it in the order of the buckets."""
-    asked = chunks.select(F.lit(-1).alias("bucket"), "chunk", "word", "token", "n", "doc_id", *[F.lit(None).cast("array<int>").alias(c) for c in ("pairs", "words")])
-    empty = {"word": "array<long>", "token": "array<int>", "n": "array<int>", "doc_id": "array<long>"}
-    told = counted.where("kind = 'a'").select("bucket", F.col("a").alias("chunk"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "pairs", "words")
+#: Place of the answer on histories behind those of all buckets.
+_LAST = 2**31 - 1
+
+
+def _scored(chunks: DataFrame, counted: DataFrame, weights: DataFrame, frequent, model, buckets: int) -> DataFrame:
+    """Scores of the texts of every chunk, whose answers come to it in the order of the buckets, the histories last."""
+    types = {
+        "word": "array<long>", "token": "array<int>", "n": "array<int>", "doc_id": "array<long>", "pairs": "array<int>", "words": "array<int>",
+        "history": "array<long>", "times": "array<long>", "weight": "array<double>",
+    }
+
+    def row(df, bucket, **columns):
+        return df.select(bucket.alias("bucket"), "chunk", *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    asked = row(chunks, F.lit(-1), **{c: F.col(c) for c in ("word", "token", "n", "doc_id")})
+    told = row(counted.where("kind = 'a'").withColumn("chunk", F.col("a")), F.col("bucket"), pairs=F.col("pairs"), words=F.col("words"))
+    needed = chunks.select("chunk", F.explode(F.concat("word", F.array(F.lit(int(_BEGIN)).cast("long")))).alias("history"))
+    known = needed.join(weights, "history").groupBy("chunk").agg(F.collect_list(F.struct("history", "times", "weight")).alias("h"))
+    behind = row(known, F.lit(_LAST), **{c: F.col(f"h.{c}") for c in ("history", "times", "weight")})
 
     def run(batches):
-        h, m = histories.value, model.value
+        f, m = frequent.value, model.value
         for table, starts in complete_runs(batches, ["chunk"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 (row, word, token, n), = _chunk_rows(table.slice(a, 1).combine_chunks().to_batches()[0])
-                p = Pairs(word, token, n, h, buckets)
+                p = Pairs(word, token, n, f, buckets)
                 answers = table.slice(a + 1, b - a - 1)
                 c_pair = answers.column("pairs").combine_chunks().flatten().to_numpy().astype(np.int64)
                 words = answers.column("words").combine_chunks().flatten().to_numpy().astype(np.int64)
                 c_word = words[np.cumsum(p.new_word) - 1]
-                katz, base = m.scores(p.history, c_pair, c_word, h)
+                names = answers.column("history").combine_chunks().flatten().to_numpy().view(np.uint64)
+                times, weight = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("times", "weight"))
+                order = np.argsort(names)
+                at = order[np.minimum(np.searchsorted(names, p.history, sorter=order), len(order) - 1)] if len(order) else np.zeros(len(p.history), dtype=np.int64)
+                held = names[at] == p.history if len(order) else np.zeros(len(p.history), dtype=bool)
+                times, weight = (np.where(held, x[at], 0) if len(order) else np.zeros(len(held)) for x in (times, weight))
+                katz, base = m.scores(times, weight, c_pair, c_word)
                 at = np.cumsum(n) - n
                 sums = [np.add.reduceat(x[p.of], at) for x in ((c_word > 0).astype(np.int64), base, katz)]
                 yield pa.RecordBatch.from_arrays(
                     [row.column("doc_id").flatten(), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
                 )
 
-    return asked.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
+    return asked.unionByName(told).unionByName(behind).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
 
 
 def _added(df: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -324,26 +344,29 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     chunks = saved(chunked(docs), "chunks")
     words = saved(unigrams(chunks), "unigrams")
     classes = [F.count(F.when(F.col("n") == r, 1)) for r in range(1, K + 2)]
-    total, types, texts, *c1 = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == int(_END), F.col("n"))), *classes).first()
-    total, texts = total or 0, texts or 0
+    total, types, *c1 = words.agg(F.sum("n"), F.count(F.lit(1)), *classes).first()
+    total = total or 0
     tokens = chunks.agg(F.sum(F.size("token"))).first()[0] or 0
-    found = words.where(F.col("n") >= math.ceil(max(1, total * history_share))).where(F.col("word") != int(_END)).collect()
-    held = Histories([(r["word"], r["n"]) for r in found], texts)
-    histories, buckets = spark.sparkContext.broadcast(held), max(8, tokens // BUCKET_TOKENS)
-    counted = saved(_counted(_dealt(chunks, histories, buckets), histories), "counts")
-    c2 = _added(counted.where("kind = 'c'"), ["kind"], K + 1).first()
+    found = words.where(F.col("n") >= math.ceil(max(1, total * FREQUENT_SHARE))).where(F.col("word") != int(_END)).collect()
+    frequent, buckets = spark.sparkContext.broadcast(Frequent([(r["word"], r["n"]) for r in found])), max(8, tokens // BUCKET_TOKENS)
+    counted = saved(_counted(_dealt(chunks, frequent, buckets), frequent), "counts")
+    least = math.ceil(max(1, total * history_share))
+    histories = words.where(F.col("word") != int(_END)).where(F.col("n") >= least)
+    begin = words.where(F.col("word") == int(_END)).select(F.lit(int(_BEGIN)).cast("long").alias("history"), F.col("n").alias("times"))
+    histories = histories.select(F.col("word").alias("history"), F.col("n").alias("times")).unionByName(begin)
+    sums = _added(counted.where("kind = 'u'").withColumnRenamed("a", "history"), ["history"], 2 * K + 3)
+    behind = saved(histories.join(sums, "history"), "histories")
+    c2 = behind.agg(*[F.sum(f"s{i}") for i in range(K + 1)]).first()
     d1 = discounts([float(x) for x in c1])
-    d2 = discounts([float(c2[f"s{i}"]) for i in range(K + 1)]) if c2 else [1.0] * K
+    d2 = discounts([float(x or 0) for x in c2])
     mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
-    # backoff weight of each history, of which there are few: what its seen words leave, over what they leave as unigrams
-    kept, kept_below, times = np.zeros(len(held.counts)), np.zeros(len(held.counts)), np.arange(1, K + 1)
-    for r in _added(counted.where("kind = 'u'"), ["a"], 2 * (K + 1)).collect():
-        sums = np.array(r[1:])
-        kept[r["a"]] = (sums[:K] * times * d2).sum() + sums[K]
-        kept_below[r["a"]] = (sums[K + 1 : 2 * K + 1] * times * d1).sum() + sums[-1]
-    weights = np.log10((1 - kept / (held.counts + 1)) / (1 - kept_below / (total + 1)))
-    model = spark.sparkContext.broadcast(Model(d1, d2, total, types, 1 - mass, weights))
-    scored = _scored(chunks, counted, histories, model, buckets)
+    # backoff weight of each history: what its seen words leave, over what they leave as unigrams
+    kept = sum((F.col(f"s{i}") * float((i + 1) * d2[i]) for i in range(K)), F.col(f"s{K + 1}"))
+    kept_below = sum((F.col(f"s{K + 2 + i}") * float((i + 1) * d1[i]) for i in range(K)), F.col(f"s{2 * K + 2}"))
+    weight = F.log10((1 - kept / (F.col("times") + 1)) / (1 - kept_below / (total + 1)))
+    model = spark.sparkContext.broadcast(Model(d1, d2, total, types, 1 - mass))
+    weights = behind.select("history", F.col("times").cast("long").alias("times"), weight.alias("weight"))
+    scored = _scored(chunks, counted, weights, frequent, model, buckets)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
