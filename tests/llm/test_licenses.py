@@ -71,3 +71,15 @@ def test_a_notice_within_a_long_line(spark):
     text = " ".join(f"w{i}" for i in range(200)) + " Released under the MIT License. " + " ".join(f"v{i}" for i in range(200))
     (row,) = licenses.notices(documents(spark, [text])).collect()
     assert [n.family for n in row.notices] == ["mit"] and "Released under the MIT License" in text[row.notices[0].start : row.notices[0].end]
+
+
+def test_far_notices_of_one_line(spark):
+    """Each notice of a family counts, however long the line; one notice seen in several windows counts once."""
+    some = lambda n: " ".join(f"w{i}" for i in range(n))
+    mit, bsd = "Released under the MIT License.", "Licensed under the BSD 3-Clause License"
+    texts = [f"{some(30)} {mit} {some(n)} {mit} {some(40)} {bsd} {some(300)}" for n in (10_000, 60, 40)]
+    rows = licenses.notices(documents(spark, texts)).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        assert [n.family for n in row.notices] == ["mit", "mit", "bsd"]
+        assert all((mit if n.family == "mit" else bsd).rstrip(".") in text[n.start : n.end] for n in row.notices)
+    assert licenses.places(b"x of the " * 3 + b"Released under the MIT License and " * 2, "mit") != []

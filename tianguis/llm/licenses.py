@@ -4,12 +4,13 @@ A paragraph is a line; long lines are taken in overlapping windows. The classifi
 the presence of word 1-, 2- and 3-grams, fitted on notices made from the families' templates and on a bounded sample of
 paragraphs of the corpus as the unknown class. A temperature fitted on examples held back calibrates its probabilities;
 what is unknown or not sure enough is no notice. A predicted family stands only if one of its templates is found in the
-paragraph.
+window; places of one family that overlap or touch are one notice.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,6 +82,7 @@ SEED = 5
 _FOLD = PLAIN.copy()
 _FOLD[48:58] = 48
 _SLOTS = 1 << 20
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
 def _grams(words: Words) -> list[np.ndarray]:
@@ -96,11 +98,14 @@ def _grams(words: Words) -> list[np.ndarray]:
 
 
 class Windows:
-    """Windows of the lines of some texts, each as a range of words."""
+    """Windows of the lines of some texts, or of the whole texts, each as a range of words."""
 
-    def __init__(self, texts: list[bytes], powers: Powers):
+    def __init__(self, texts: list[bytes], powers: Powers, lines: bool = True):
         self.words = Words(texts, _FOLD, powers)
-        breaks = np.flatnonzero(np.frombuffer(b"\n".join(texts), dtype=np.uint8) == 10) if texts else np.empty(0, dtype=np.int64)
+        if lines:
+            breaks = np.flatnonzero(np.frombuffer(b"\n".join(texts), dtype=np.uint8) == 10) if texts else np.empty(0, dtype=np.int64)
+        else:
+            breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
         self.line = np.searchsorted(breaks, self.words.starts)
         first = np.flatnonzero(np.append(True, self.line[1:] != self.line[:-1])) if len(self.line) else np.empty(0, dtype=np.int64)
         size = np.diff(np.append(first, len(self.line)))
@@ -151,6 +156,35 @@ def likeness(text: bytes, family: str) -> float:
     return max(len(t & there) / len(t) for t in _TEMPLATE_PAIRS[family])
 
 
+def _tightest(pairs: list[bytes], wanted: set[bytes]) -> tuple[int, int]:
+    """The shortest range of ``pairs`` that holds all of ``wanted``, which are all there; the first one of equals."""
+    seen: dict[bytes, int] = {}
+    best = (0, len(pairs))
+    for i, p in enumerate(pairs):
+        if p in wanted:
+            seen.pop(p, None)
+            seen[p] = i
+            if len(seen) == len(wanted) and i + 1 - (first := next(iter(seen.values()))) < best[1] - best[0]:
+                best = (first, i + 1)
+    return best
+
+
+def places(text: bytes, family: str) -> list[tuple[int, int, float]]:
+    """Begin, end and likeness of every place in ``text`` where a template of the family is confirmed."""
+    words = list(_WORD.finditer(_FOLD[np.frombuffer(text, dtype=np.uint8)].tobytes()))
+    pairs = [a.group() + b" " + b.group() for a, b in zip(words, words[1:], strict=False)]
+    out, parts = [], [(0, len(pairs))]
+    while parts:
+        low, high = parts.pop()
+        there = set(pairs[low:high])
+        alike, template = max(((len(t & there) / len(t), i) for i, t in enumerate(_TEMPLATE_PAIRS[family])), key=lambda x: (x[0], -x[1]))
+        if alike >= CONFIRMED:
+            a, b = _tightest(pairs[low:high], _TEMPLATE_PAIRS[family][template] & there)
+            out.append((words[low + a].start(), words[low + b].end(), alike))
+            parts += [(low, low + a), (low + b, high)]
+    return out
+
+
 @dataclass
 class Classifier:
     known: np.ndarray
@@ -252,34 +286,52 @@ _NOTICE_TYPE = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()
 
 
 def _notices_of(data: list[bytes], model: Classifier, powers: Powers) -> list[list[dict]]:
-    windows = Windows(data, powers)
     out: list[list[dict]] = [[] for _ in data]
+    offsets = np.cumsum([0, *(len(t) + 1 for t in data)])
+    found: dict[tuple[int, str], dict[tuple, tuple]] = {}
+
+    def place(windows: Windows, w: int) -> tuple[int, int, int]:
+        a, b = int(windows.words.starts[windows.begin[w]]), int(windows.words.ends[windows.end[w] - 1])
+        t = int(np.searchsorted(offsets, a, side="right")) - 1
+        return t, a - int(offsets[t]), b - int(offsets[t])
+
+    def add(t: int, family: str, key: tuple[int, int], what: tuple) -> None:
+        held = found.setdefault((t, family), {})
+        held[key] = max(held.get(key, (False,)), what)
+
+    windows = Windows(data, powers)
     if not len(windows.begin):
         return out
     p = model.probabilities(windows)
-    offsets = np.cumsum([0, *(len(t) + 1 for t in data)])
-    found: dict[tuple[int, int, str], tuple] = {}
+    alone = np.bincount(windows.line[windows.begin])[windows.line[windows.begin]] == 1
     for w in np.flatnonzero((p.argmax(axis=1) != UNKNOWN) & (p.max(axis=1) >= SURE)):
-        a, b = int(windows.words.starts[windows.begin[w]]), int(windows.words.ends[windows.end[w] - 1])
-        t = int(np.searchsorted(offsets, a, side="right")) - 1
-        a, b = a - int(offsets[t]), b - int(offsets[t])
+        t, a, b = place(windows, w)
         family = FAMILIES[int(p[w].argmax())]
-        alike = likeness(data[t][a:b], family)
-        if alike >= CONFIRMED:
-            # of the overlapping windows of one line the likeliest stands for all
-            key = (t, int(windows.line[windows.begin[w]]), family)
-            found[key] = max(found.get(key, (0.0,)), (float(p[w].max()), -a, b, alike))
-    for (t, _, family), (probability, a, b, alike) in sorted(found.items(), key=lambda x: (x[0][0], -x[1][1])):
-        start = len(data[t][:-a].decode(errors="ignore"))
-        end = start + len(data[t][-a:b].decode(errors="ignore"))
-        out[t].append({"family": family, "start": start, "end": end, "probability": probability, "likeness": alike})
-    return out
+        at = places(data[t][a:b], family)
+        for start, end, alike in at:
+            # a notice that is the only one of a short line is shown with the line
+            whole = bool(alone[w]) and len(at) == 1
+            add(t, family, (a + start, a + end), (whole, float(p[w].max()), alike, *((a, b) if whole else (a + start, a + end))))
+    for (t, family), held in found.items():
+        run: list[tuple[int, int, tuple]] = []
+        for (a, b), what in sorted(held.items()):
+            if run and a <= run[-1][1]:
+                run[-1] = (run[-1][0], max(b, run[-1][1]), max(what, run[-1][2]))
+            else:
+                run.append((a, b, what))
+        for a, b, (whole, probability, alike, *place) in run:
+            a, b = place if whole else (a, b)
+            start = len(data[t][:a].decode(errors="ignore"))
+            end = start + len(data[t][a:b].decode(errors="ignore"))
+            out[t].append({"family": family, "start": start, "end": end, "probability": probability, "likeness": alike})
+    return [sorted(x, key=lambda n: (n["start"], n["family"])) for x in out]
 
 
 def notices(documents: DataFrame) -> DataFrame:
     """(doc_id, notices) for every row: family, place in code points, calibrated probability, likeness to the template.
 
-    Every line of the whole text is looked at. Null and empty texts hold none; without any sampled paragraph the unknown
+    Every line of the whole text is looked at; a notice of a short line has the line as
+    its place, any other one the words that confirm it. Null and empty texts hold none; without any sampled paragraph the unknown
     class is left with its prior alone. Repeated rows stay repeated rows, a null doc_id is carried along, other columns play
     no part, an empty table gives no rows.
     """
