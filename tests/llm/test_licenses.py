@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -83,3 +84,20 @@ def test_far_notices_of_one_line(spark):
         assert [n.family for n in row.notices] == ["mit", "mit", "bsd"]
         assert all((mit if n.family == "mit" else bsd).rstrip(".") in text[n.start : n.end] for n in row.notices)
     assert licenses.places(b"x of the " * 3 + b"Released under the MIT License and " * 2, "mit") != []
+
+
+@pytest.mark.parametrize("width", [60, 70, 80])
+def test_every_template_is_found_when_wrapped(spark, width):
+    """Wrapped between other lines, plain and behind comment marks."""
+    r = random.Random(width)
+    noted = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts for _ in range(3)]
+    texts = []
+    for i, (_, t) in enumerate(noted):
+        mark = ("", " * ", "# ")[i % 3]
+        before = " ".join(f"word{r.randrange(900)}" for _ in range(r.randrange(12)))
+        texts.append(f"int main\n{mark}Copyright\n" + "\n".join(mark + x for x in textwrap.wrap(f"{before} {t}.", width)) + f"\n{mark}\nreturn value of main\n")
+    plain = [" ".join(f"word{r.randrange(900)}" for _ in range(40)) for _ in range(150)]
+    got = {x.doc_id: x.families for x in licenses.summary(documents(spark, texts + plain)).collect()}
+    assert not any(got[len(texts) + i] for i in range(len(plain)))
+    missed = [(f, t) for i, (f, t) in enumerate(noted) if f not in got[i].split(",")]
+    assert not missed

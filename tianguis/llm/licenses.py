@@ -1,6 +1,7 @@
 """Licence notices in paragraphs: a sparse n-gram logistic regression, calibrated, with templates confirming it.
 
-A paragraph is a line; long lines are taken in overlapping windows. The classifier is multinomial logistic regression on
+Lines are taken in overlapping windows, and so is the whole text regardless of newlines, as notices are often wrapped and
+stand behind comment marks. The classifier is multinomial logistic regression on
 the presence of word 1-, 2- and 3-grams, fitted on notices made from the families' templates and on a bounded sample of
 paragraphs of the corpus as the unknown class. A temperature fitted on examples held back calibrates its probabilities;
 what is unknown or not sure enough is no notice. A predicted family stands only if one of its templates is found in the
@@ -278,13 +279,59 @@ def sampled(documents: DataFrame) -> list[bytes]:
     if last is None:
         return []
     rows = some.where(F.col("h") <= last).groupBy("h").agg(F.min(lines).alias("lines")).orderBy("h").collect()
-    return [b" ".join(x.encode().split()[:WINDOW]) for r in rows for x in r["lines"]]
+    return [x for r in rows for x in _apart([b" ".join(x.encode().split()[:WINDOW]) for x in r["lines"]])]
+
+
+def _apart(lines: list[bytes]) -> list[bytes]:
+    """The lines that are no part of a notice wrapped over them and their neighbours."""
+    out = []
+    for i, line in enumerate(lines):
+        near = [x for x in (b" ".join(lines[max(0, i - 2) : i + 1]), b" ".join(lines[i : i + 3]), b" ".join(lines[max(0, i - 1) : i + 2])) if x != line]
+        rest = [b" ".join(lines[max(0, i - 2) : i]), b" ".join(lines[i + 1 : i + 3])]
+        if not any((n := max(likeness(x, f) for x in near)) >= 0.5 and n > max(likeness(x, f) for x in rest) for f in FAMILIES if near):
+            out.append(line)
+    return out
 
 
 _NOTICE = "array<struct<family:string,start:int,end:int,probability:double,likeness:double>>"
 _NOTICE_TYPE = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("likeness", pa.float64())]))
 
 
+_TEMPLATE_HASHES = {f: [np.unique(_grams(Words([t.encode()], _FOLD, Powers()))[1][:-1]) for t in TEMPLATES[f]] for f in FAMILIES}
+_ALL_HASHES = np.unique(np.concatenate([t for f in FAMILIES for t in _TEMPLATE_HASHES[f]]))
+
+
+def _held(windows: Windows) -> list[tuple[int, str]]:
+    """(window, family) of all windows that hold enough word pairs of one of the family's templates."""
+    w, f = windows.hits(_ALL_HASHES)
+    n, out = len(windows.begin), []
+    for family in FAMILIES:
+        enough = np.zeros(n, dtype=bool)
+        for t in _TEMPLATE_HASHES[family]:
+            enough |= np.bincount(w[np.isin(f, np.searchsorted(_ALL_HASHES, t))], minlength=n) >= CONFIRMED * len(t)
+        out += [(int(x), family) for x in np.flatnonzero(enough)]
+    return out
+
+
+def _closest(cuts: set[tuple[int, str, int, int, float]]) -> list[tuple[int, str, int, int, float]]:
+    """(text, family, begin, end, likeness): of places of several families that overlap, those closest to a template."""
+    runs: list[list] = []
+    reach = (-1, -1)
+    for cut in sorted(cuts, key=lambda c: (c[0], c[2], c[3], c[1])):
+        if (cut[0], cut[2]) >= reach:
+            runs.append([])
+        runs[-1].append(cut)
+        reach = max(reach, (cut[0], cut[3]))
+    out = []
+    for run in runs:
+        kept: list = []
+        for cut in sorted(run, key=lambda c: (-c[4], c[2] - c[3], c)):
+            if not any(k[1] != cut[1] and k[2] < cut[3] and cut[2] < k[3] for k in kept):
+                kept.append(cut)
+        out += kept
+    return sorted(out)
+
+
 def _notices_of(data: list[bytes], model: Classifier, powers: Powers) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in data]
     offsets = np.cumsum([0, *(len(t) + 1 for t in data)])
@@ -312,6 +359,18 @@ def _notices_of(data: list[bytes], model: Classifier, powers: Powers) -> list[li
             # a notice that is the only one of a short line is shown with the line
             whole = bool(alone[w]) and len(at) == 1
             add(t, family, (a + start, a + end), (whole, float(p[w].max()), alike, *((a, b) if whole else (a + start, a + end))))
+    # regardless of newlines: where the words of a template are, they alone are judged
+    across = Windows(data, powers, lines=False)
+    cuts = set()
+    for w, family in _held(across):
+        t, a, b = place(across, w)
+        cuts |= {(t, family, a + start, a + end, alike) for start, end, alike in places(data[t][a:b], family)}
+    cuts = _closest(cuts)
+    # words alone, so that each is one window
+    judged = model.probabilities(Windows([b" ".join(data[t][a:b].split()) for t, _, a, b, _ in cuts], powers, lines=False)) if cuts else []
+    for (t, family, a, b, alike), q in zip(cuts, judged, strict=True):
+        if q.argmax() == FAMILIES.index(family) and q.max() >= SURE:
+            add(t, family, (a, b), (False, float(q.max()), alike, a, b))
     for (t, family), held in found.items():
         run: list[tuple[int, int, tuple]] = []
         for (a, b), what in sorted(held.items()):
@@ -330,7 +389,7 @@ def _notices_of(data: list[bytes], model: Classifier, powers: Powers) -> list[li
 def notices(documents: DataFrame) -> DataFrame:
     """(doc_id, notices) for every row: family, place in code points, calibrated probability, likeness to the template.
 
-    Every line of the whole text is looked at; a notice of a short line has the line as
+    Every line of the whole text is looked at, and the text regardless of its lines; a notice of a short line has the line as
     its place, any other one the words that confirm it. Null and empty texts hold none; without any sampled paragraph the unknown
     class is left with its prior alone. Repeated rows stay repeated rows, a null doc_id is carried along, other columns play
     no part, an empty table gives no rows.
