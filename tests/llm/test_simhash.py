@@ -100,3 +100,12 @@ def test_one_of_each_group_stays(spark):
     a = " ".join(f"w{i}" for i in range(50))
     df = documents(spark, [a, a, "other words are here now and then", None, ""], [5, 3, 7, 8, 9])
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [3, 7, 8]
+
+
+def test_one_row_of_each_group_where_ids_repeat_or_are_missing(spark):
+    """Doc 5 stands for two texts, with doc 9 and doc 3 as their copies; copies without an id are a group as well."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (9, a), (5, b), (3, b), (None, c), (None, c), (None, a), (7, c + " x " * 300), (7, c + " x " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(df).collect()), key=str)
+    assert got == sorted([(5, a), (3, b), (None, c), (7, c + " x " * 300)], key=str)

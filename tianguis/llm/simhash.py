@@ -48,16 +48,21 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashed), bitorder="little").tobytes(), "little")
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number; of null and empty texts it is 0."""
+    """(doc_id, text_hash, fp): the fingerprint of every whole text as a signed 64-bit number; of null and empty texts it is 0."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(words_of(t), shingle) for t in texts(batch)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp"])
 
-    docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"))
+    return docs.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -149,6 +154,15 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     return per_block_pair(in_blocks(probed, "_key", "fp"), "_key", compare, "a long, b long")
 
 
+def _grouped(table: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id): the group of every fingerprint, and the smallest doc_id in it."""
+    classes = saved(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    reached = components(links(classes, distance)).withColumnRenamed("node", "fp")
+    rooted = classes.join(reached, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 16 hex digits, and the smallest doc_id reachable over links.
 
@@ -158,20 +172,24 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -
     stay repeated rows; other columns play no part; an empty table gives no rows.
     """
     table = saved(fingerprints(documents, shingle), "fingerprints")
-    classes = saved(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    reached = components(links(classes, distance)).withColumnRenamed("node", "fp")
-    rooted = classes.join(reached, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    named = _grouped(table, distance).select("fp", "component_id")
     return table.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the smallest of its component; rows without a doc_id stay.
+    """One row of each group of near copies: the smallest doc_id, rows without one last, then the smallest hash of the text.
 
-    Rows that repeat a kept doc_id stay as well: they are the same document.
+    Rows are told apart by doc_id and text, so an id that stands for several texts is decided for each of them.
     """
-    found = near_duplicates(documents, shingle, distance)
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("_kept"))
-    gone = gone.where("not _kept").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    table = saved(fingerprints(documents, shingle), "fingerprints")
+    rows = table.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    ranked = rows.join(_grouped(table, distance).select("fp", "root"), "fp").withColumn("rank", rank)
+    ranked = saved(ranked.join(ranked.groupBy("root").agg(F.min("rank").alias("best")), "root"), "ranked")
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    gone, again = ranked.where("not rank <=> best").select(*key), ranked.where("rank <=> best and n > 1").select(*key)
+    keyed = documents.withColumn("_doc_id", F.col("doc_id").cast("long")).withColumn("_text_hash", _text_hash())
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = keyed.join(gone, same, "left_anti")
+    one = kept.join(again, same, "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    return kept.join(again, same, "left_anti").unionByName(one).drop("_doc_id", "_text_hash")
