@@ -88,3 +88,16 @@ def test_every_match_fulfils_the_query(rule):
 def test_a_query_names_the_alternatives():
     assert secrets.trigram_query(secrets.Rule("x", "(password|token)=a+")) == [[secrets._trigrams("password="), secrets._trigrams("token=")]]
     assert secrets.trigram_query(secrets.Rule("x", "[a-z]+x?")) == []
+
+
+def test_the_key_behind_its_header(spark):
+    """The base64 lines are masked up to the END mark, or to their end where it is missing, and not the text behind."""
+    r = random.Random(8)
+    lines = ["".join(r.choice("ABCDabcd0123+/") for _ in range(64)) for _ in range(25)] + ["QUJD/w=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bodies = ["\n".join(lines), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n" + "\n".join(lines), "\\n".join(lines), "\n".join("# " + x for x in lines)]
+    texts = [f"see {head}\n{b}\n{e} and more" for b in bodies[:2] for e in (end, "")] + [f"see {head}\n{b}\n{end} and more" for b in bodies[2:]]
+    got = [x.text for x in secrets.masked(documents(spark, texts)).orderBy("doc_id").collect()]
+    for text, clean in zip(texts, got, strict=True):
+        assert len(text) == len(clean) and clean.startswith("see *") and clean.endswith(" and more") and not any(x in clean for x in lines)
+    assert rows(secrets.digest(documents(spark, texts))) == sorted((digest(i, t) for i, t in enumerate(texts)), key=str)

@@ -53,7 +53,13 @@ BASE = (
 )
 #: Further kinds.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # with the key: up to the END mark, or headers and base64 lines where that is missing
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:\s{0,8}[A-Za-z][A-Za-z-]{2,30}:\x20[^\r\n]{1,200}){0,8}(?:\s{0,8}[A-Za-z0-9+/=\\]{16,}){0,400}(?:\s{1,8}[A-Za-z0-9+/]{1,15}={1,2})?)",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
