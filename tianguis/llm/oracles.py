@@ -16,4 +16,8 @@ with d as ({_SHINGLES.format(id='doc_id', table='documents')}),
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment
 from m join n using (item_id) where n_shared >= 0.8 * n_item"""
 
-ORACLES = {"op10_benchmark_decontamination": CONTAINED}
+EQUAL_TEXTS = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+from (select doc_id, coalesce(text, '') as t from documents) window w as (partition by t)"""
+
+ORACLES = {"op10_benchmark_decontamination": CONTAINED, "op11_exact_dedup": EQUAL_TEXTS}
