@@ -20,4 +20,25 @@ EQUAL_TEXTS = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
 from (select doc_id, coalesce(text, '') as t from documents) window w as (partition by t)"""
 
-ORACLES = {"op10_benchmark_decontamination": CONTAINED, "op11_exact_dedup": EQUAL_TEXTS}
+COLLOCATIONS = r"""
+with t as (select coalesce(lang, 'und') as lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+     p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from t),
+     w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+     g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+           from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4)) s(k) where len(w) >= k)),
+     f as (select lang, k, phrase, count(*) as a from g group by all),
+     n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+     c as (select * from f where k > 1 and a >= 30),
+     cuts as (select c.*, j, string_split(phrase, ' ') as s from c, (values (1), (2), (3)) s(j) where j < k),
+     scored as (select cuts.lang, cuts.phrase, cuts.k, cuts.a, j, l.a as l, r.a as r, ((2000000::hugeint * cuts.a) // (l.a + r.a))::bigint as score
+                from cuts join f l on l.lang = cuts.lang and l.phrase = array_to_string(s[1:j], ' ')
+                          join f r on r.lang = cuts.lang and r.phrase = array_to_string(s[j + 1:], ' ')),
+     best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+     inside as (select distinct c.lang, c.phrase from c join c d on c.lang = d.lang and c.k < d.k and 100 * d.a >= 80 * c.a
+                  and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+     left_over as (select * from best anti join inside using (lang, phrase))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from left_over join n using (lang) qualify rank <= 2000"""
+
+ORACLES = {"op12_phrase_collocation_mining": COLLOCATIONS, "op10_benchmark_decontamination": CONTAINED, "op11_exact_dedup": EQUAL_TEXTS}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tianguis.llm import (
-    conversations, decontamination, embeddings, exact, katz, licenses, packing, quality, secrets, simhash, substrings, token_counts,
+    conversations, decontamination, embeddings, exact, katz, licenses, packing, phrases, quality, secrets, simhash, substrings, token_counts,
 )
 from tianguis.llm.oracles import ORACLES
 
@@ -63,6 +63,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -71,7 +75,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_license_scans, op3_quality_classifier, op4_simhash_near_dedup, op5_secret_scans, op6_lm_scoring,
         op7_token_counts, op8_embedding_near_dedup, op9_substring_dedup, op10_benchmark_decontamination,
-        op11_exact_dedup, op13_conversation_structure_repair,
+        op11_exact_dedup, op12_phrase_collocation_mining, op13_conversation_structure_repair,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
