@@ -32,13 +32,15 @@ LONGEST = 4
 
 #: Open phrases expanded in one pass over the texts, all languages together, and at first in one language.
 BLOCK_PHRASES = 200_000
-FIRST_BATCH = 2 * TOP
+FIRST_BATCH = 5 * TOP
 #: Bits of the filter of frequent words for each of them, and at most (16 MB); a fuller filter only lets more words through.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 _FILTER_BLOCK = 1 << 15
+#: Scores and bounds are at most 1000000; they are counted in steps of this size before any ranking.
+VALUE_STEP = 1000
 #: Bytes of text cut into words at once, words counted together, distinct words remembered in a task.
 SPAN_BYTES = 2 << 20
-BUFFER_WORDS = 4_000_000
+BUFFER_WORDS = 2_500_000
 KEPT_WORDS = 400_000
 BATCH_ROWS = 100_000
 
@@ -130,14 +132,15 @@ class _Counts:
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if any(self._held.values()):
-            held = {lang: np.concatenate(parts) for lang, parts in self._held.items()}
-            self._held, seen = {}, self.index
-            found = [(lang, *columns) for lang, ids in held.items() for columns in self._count(seen, lang, ids)]
-            names = pa.array(seen.words, pa.binary())
-            for lang, columns, counts in found:
+            held, self._held, index = self._held, {}, self.index
+            for lang in list(held):
                 key = pa.scalar(lang + b"\n", pa.binary())
-                phrase = reduce(lambda a, b: pc.binary_join_element_wise(a, b, b" "), (names.take(pa.array(c)) for c in columns))
-                yield from _batches(pc.binary_join_element_wise(key, phrase, b""), counts)
+                for columns, counts in self._count(index, lang, np.concatenate(held.pop(lang))):
+                    names = pa.array(index.words, pa.binary())
+                    for at in range(0, len(counts), BATCH_ROWS):
+                        words = (names.take(pa.array(c[at : at + BATCH_ROWS])) for c in columns)
+                        phrase = reduce(lambda a, b: pc.binary_join_element_wise(a, b, b" "), words)
+                        yield from _batches(pc.binary_join_element_wise(key, phrase, b""), counts[at : at + BATCH_ROWS])
         self._n = 0
         if len(self.index) > KEPT_WORDS:
             self._renew()
@@ -307,6 +310,20 @@ def _suffix() -> Column:
     return F.expr("substring_index(phrase, ' ', 1 - size)")
 
 
+def _highest(df: DataFrame, value: str, limit: int, *ties: Column | str) -> DataFrame:
+    """The first ``limit`` rows of every language by ``value`` (descending), then ``ties``, with their rank.
+
+    Values are counted in at most a thousand steps a language; only rows from the step of the last wanted row on are ordered.
+    """
+    step = F.floor(F.col(value) / VALUE_STEP)
+    sizes = df.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("step")))
+    last = sizes.withColumn("above", above).groupBy("lang").agg(F.max(F.when(F.col("above") >= limit, F.col("step"))).alias("last"))
+    near = df.join(last, "lang").where(F.col("last").isNull() | (step >= F.col("last"))).drop("last")
+    order = Window.partitionBy("lang").orderBy(F.desc(value), *ties)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 class _Search:
     """The state of a best-first search: counted phrases, and those whose longer neighbours are counted."""
 
@@ -339,19 +356,14 @@ class _Search:
 
     def best(self, judged: DataFrame) -> DataFrame:
         """The first ``top`` survivors of every language among the phrases that are settled, with their rank."""
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        settled = judged.where("grown and not covered")
-        return settled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.top)
+        return _highest(judged.where("grown and not covered"), "score", self.top, F.desc("a"), "phrase")
 
     def frontier(self, judged: DataFrame, batch: int, block: int) -> list:
         """Open phrases that may still change the result, highest bound first, at most ``block`` of them."""
         worst = self.best(judged).where(F.col("rank") == self.top).select("lang", F.col("score").alias("last"))
-        by_bound = Window.partitionBy("lang").orderBy(F.desc("bound"), "phrase")
-        return (
-            judged.where("not grown").join(worst, "lang", "left").where("last is null or bound >= last")
-            .withColumn("rank", F.row_number().over(by_bound)).where(F.col("rank") <= batch)
-            .orderBy("rank", "lang").limit(block).select("lang", "phrase", "size").collect()
-        )
+        wanted = judged.where("not grown").join(worst, "lang", "left").where("last is null or bound >= last").drop("last")
+        first = _highest(wanted, "bound", batch, "phrase")
+        return first.orderBy("rank", "lang").limit(block).select("lang", "phrase", "size").collect()
 
     def expand(self, spark: SparkSession, phrases: set[tuple[str, str]], counts: DataFrame) -> None:
         """Take in the counts of a pass that expanded ``phrases``."""
