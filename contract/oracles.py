@@ -250,6 +250,32 @@ VIEWS = {
              c.cerrada OR (c.cierra AND p.x > 0 AND c.acc + p.x = c.t), c.cierra,
              c.aceptados + CASE WHEN NOT c.cerrada AND p.x > 0 AND c.acc + p.x <= c.t + 1 THEN 1 ELSE 0 END
       FROM cobrados c JOIN pasos_pago p ON p.id_orden = c.id_orden AND p.i = c.i + 1""",
+    # Orders one after the other: the stock of all products is a list, by the place of the product.
+    "lugares": "SELECT id AS id_producto, row_number() OVER (ORDER BY id) AS p, nombre, precio, (cantidad * 20)::BIGINT AS hay FROM productos",
+    "pedidas_orden": """
+      SELECT d.id_orden, o.fecha, d.id_producto, l.p, l.nombre, sum(d.cantidad)::BIGINT AS x, sum(l.precio * d.cantidad) AS importe, count(*) AS lineas,
+             min((linea, d.id_producto, id_proveedor, precio_unitario)) AS primera
+      FROM detalles d JOIN ordenes o ON o.id = d.id_orden LEFT JOIN lugares l ON l.id_producto = d.id_producto GROUP BY ALL""",
+    "turnos": """
+      SELECT id_orden, row_number() OVER (ORDER BY fecha, id_orden) AS i, list({'p': p, 'x': x} ORDER BY primera) AS pide
+      FROM pedidas_orden GROUP BY id_orden, fecha HAVING bool_and(p IS NOT NULL)""",
+    "plegado": """
+      SELECT list_reduce(list({'pide': pide, 's': NULL::BIGINT[], 'out': NULL::BIGINT[]} ORDER BY i), lambda a, o:
+               {'pide': NULL::STRUCT(p BIGINT, x BIGINT)[],
+                's': CASE WHEN len(list_filter(o.pide, lambda z: z.x > a.s[z.p])) > 0 THEN a.s
+                     ELSE list_transform(a.s, lambda v, k: v - CASE WHEN list_contains(list_transform(o.pide, lambda z: z.p), k)
+                                                                   THEN list_filter(o.pide, lambda z: z.p = k)[1].x ELSE 0 END) END,
+                'out': list_append(a.out, list_filter(o.pide, lambda z: z.x > a.s[z.p])[1].p)},
+             {'pide': NULL::STRUCT(p BIGINT, x BIGINT)[], 's': (SELECT list(hay ORDER BY p) FROM lugares), 'out': []::BIGINT[]}) AS z FROM turnos""",
+    "veredictos": """
+      SELECT t.id_orden, u.falla IS NULL AS concedida, l.nombre FROM turnos t
+      JOIN (SELECT generate_subscripts(z.out, 1) AS i, unnest(z.out) AS falla FROM plegado) u ON u.i = t.i LEFT JOIN lugares l ON l.p = u.falla""",
+    "intake_seguido": """
+      SELECT o.id AS id_orden, o.id_comprador, CASE WHEN e.concedida THEN CAST(q.importe AS DOUBLE) END AS total, coalesce(q.lineas, 0)::BIGINT AS lineas,
+             coalesce(e.concedida, false) AS aceptada, CASE WHEN e.concedida THEN 'pendiente' END AS estado,
+             CASE WHEN q.lineas IS NULL THEN 'La orden debe tener productos' WHEN NOT e.concedida THEN 'Stock insuficiente para: ' || e.nombre END AS motivo
+      FROM ordenes o LEFT JOIN (SELECT id_orden, sum(importe) AS importe, sum(lineas) AS lineas FROM pedidas_orden GROUP BY 1) q ON q.id_orden = o.id
+      LEFT JOIN veredictos e ON e.id_orden = o.id""",
     "h": """
       SELECT CASE WHEN min(c) = max(c) THEN min(c) - 50 ELSE min(c) END AS lo, CASE WHEN min(c) = max(c) THEN max(c) + 50 ELSE max(c) END AS hi
       FROM (SELECT CAST(precio * 100 AS BIGINT) AS c FROM productos)""",
@@ -265,6 +291,8 @@ NEEDS = {
     "ultimo_libro": ["libro"], "ediciones": ["cambios_producto", "productos"], "bajas": ["cambios_usuario"],
     "ultimos": ["cambios_usuario"], "revisados": ["detalles", "productos"], "pedidos": ["revisados"], "intake": ["ordenes", "pedidos"],
     "h": ["productos"], "pasos_aceptados": ["detalles", "intake"], "stock_aceptado": ["pasos_aceptados", "productos"],
+    "lugares": ["productos"], "pedidas_orden": ["detalles", "ordenes", "lugares"], "turnos": ["pedidas_orden"],
+    "plegado": ["turnos", "lugares"], "veredictos": ["turnos", "plegado", "lugares"], "intake_seguido": ["ordenes", "pedidas_orden", "veredictos"],
     "cierres": ["ordenes", "pagos"], "cobrados": ["cierres", "pasos_pago"],
 }
 
@@ -299,7 +327,7 @@ _DAYS = "CAST(precio_unitario AS DOUBLE) AS precio_unitario"
 
 def all_oracles() -> dict[str, str]:
     oracles = _oracles()
-    for name in ("orders_by_user", "stock_fold", "payment_application", "credit_ledger", "ledger_breaks"):
+    for name in ("orders_by_user", "stock_fold", "order_intake_sequential", "payment_application", "credit_ledger", "ledger_breaks"):
         oracles[f"{name}_hot_keys"] = oracles[name]
     for name in ("stream_movements", "stream_sales"):
         oracles[f"{name}_files"] = oracles[name]
@@ -460,6 +488,11 @@ def _oracles() -> dict[str, str]:
         "stock_fold_accepted": _with(
             f"""SELECT id_orden, linea, id_producto, id_proveedor, cantidad, {_DAYS}, aceptado, stock_antes, stock_despues FROM stock_aceptado WHERE i > 0""",
             "stock_aceptado"),
+        "order_intake_sequential": _with("SELECT * FROM intake_seguido", "intake_seguido"),
+        "stock_after_intake": _with(
+            """SELECT l.id_producto AS id, l.hay - coalesce(v.n, 0) AS cantidad, coalesce(v.n, 0)::BIGINT AS vendidas FROM lugares l
+               LEFT JOIN (SELECT p.id_producto, sum(p.x)::BIGINT AS n FROM pedidas_orden p JOIN veredictos e ON e.id_orden = p.id_orden
+                          WHERE e.concedida GROUP BY 1) v ON v.id_producto = l.id_producto""", "lugares", "pedidas_orden", "veredictos"),
         "order_intake_lines": _with(
             """SELECT r.id_orden, r.id_producto, r.cantidad, CAST(r.precio AS DOUBLE) AS precio_unitario FROM revisados r
                JOIN intake i ON i.id_orden = r.id_orden WHERE i.aceptada""", "revisados", "intake"),

@@ -354,6 +354,24 @@ def stock_after(v):
     return orders.stock_after(_stocked(v), _stock_outcomes(v)).select("id", "cantidad")
 
 
+def _sequential(v: MarketViews, limits: skew.Limits = skew.DEFAULT) -> DataFrame:
+    """Orders by date take the stock one after the other."""
+    requests = v.ordenes().select(F.col("id").alias("id_orden"), "id_comprador", "fecha")
+    return orders.order_intake_sequential(requests, _items(v), _stocked(v), ITEM_ORDER, ("fecha",), limits)
+
+
+@query
+def order_intake_sequential(v): return _sequential(v)
+
+
+@query
+def order_intake_sequential_hot_keys(v): return _sequential(v, _low(8))
+
+
+@query
+def stock_after_intake(v): return orders.stock_after_intake(_stocked(v), _items(v), _sequential(v))
+
+
 @query
 def order_state_updates(v):
     return _money_out(orders.order_state_updates(v.ordenes(), v.cambios_orden(), ("fecha_pago", "transaccion_id"))[0])

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tianguis.functions import money
 from tianguis.functions.domain import in_domain
-from tianguis.plans import skew
+from tianguis.plans import contention, skew
 from tianguis.plans.admission import AFTER, BEFORE, GRANTED, admit
+from tianguis.session import durable
 
 # Texts of refusals.
 EMPTY_ORDER = "La orden debe tener productos"
@@ -72,6 +73,65 @@ def order_intake(
     )
 
 
+def order_intake_sequential(
+    requests: DataFrame, items: DataFrame, productos: DataFrame, order: Sequence[str], sequence: Sequence[str],
+    limits: skew.Limits = skew.DEFAULT, head: int = contention.HEAD,
+) -> DataFrame:
+    """As :func:`order_intake`, but orders take stock from each other: each meets what the accepted ones before it left.
+
+    ``requests``: id_orden, id_comprador and ``sequence``, in which orders are handled (ties by id_orden). An order is accepted
+    as a whole or takes nothing. Lines of one product in an order are asked for together. The reason is that of the first
+    item, by ``order``, that fails against the stock of its moment.
+    """
+    turn = [c for c in (*sequence, "id_orden") if c != "id_orden"] + ["id_orden"]
+    lines = _judged(items, productos.withColumn("cantidad", F.lit(None).cast("bigint")), NOT_ENOUGH)
+    place = F.struct(*order)
+    asked = lines.groupBy("id_orden", "id_producto").agg(
+        F.sum(F.greatest(F.coalesce("cantidad", F.lit(0)), F.lit(0)).cast("bigint")).alias("pide"),
+        F.sum(F.col("precio") * F.col("cantidad")).alias("importe"), F.count("*").alias("lineas"), F.min(place).alias("o"),
+        F.min(F.when(F.col("motivo").isNotNull(), F.struct(place.alias("o"), "motivo"))).alias("fallo"),
+        F.first("nombre").alias("nombre"),
+    )
+    asked = durable(requests.select(*turn).join(asked, "id_orden"))
+    capacity = productos.select(F.col("id").alias("id_producto"), F.col("cantidad").cast("bigint").alias("capacidad"))
+    bad = asked.filter("fallo is not null").select("id_orden").distinct()
+    verdicts = durable(contention.admit_all(
+        asked.join(bad, "id_orden", "left_anti"), capacity, "id_orden", "id_producto", turn, "pide", limits, head
+    ).select("id_orden", F.col(contention.GRANTED).alias("concedida")))
+    taken = F.when(F.coalesce("concedida", F.lit(False)), F.col("pide")).otherwise(F.lit(0).cast("bigint"))
+    judged = contention.left_before(
+        asked.join(verdicts, "id_orden", "left").withColumn("toma", taken), capacity, "id_producto", turn, "toma", limits
+    )
+    short = F.when(
+        F.col("fallo").isNull() & (F.col("pide") > F.col(contention.BEFORE)),
+        F.struct(F.col("o"), F.concat(F.lit(NOT_ENOUGH), F.col("nombre")).alias("motivo")),
+    )
+    per_order = judged.groupBy("id_orden").agg(
+        F.sum("importe").alias("importe"), F.sum("lineas").alias("lineas"), F.max("concedida").alias("concedida"),
+        F.min(F.coalesce("fallo", short)).alias("fallo"),
+    )
+    accepted = F.coalesce("concedida", F.lit(False))
+    why = F.when(F.col("lineas").isNull(), EMPTY_ORDER).when(~accepted, F.col("fallo.motivo"))
+    return requests.select("id_orden", "id_comprador").join(per_order, "id_orden", "left").select(
+        "id_orden", "id_comprador",
+        F.when(accepted, F.col("importe")).cast("double").alias("total"),
+        F.coalesce("lineas", F.lit(0).cast("bigint")).alias("lineas"),
+        accepted.alias("aceptada"),
+        F.when(accepted, "pendiente").alias("estado"),
+        why.alias("motivo"),
+    )
+
+
+def stock_after_intake(productos: DataFrame, items: DataFrame, intake: DataFrame) -> DataFrame:
+    """The catalog less what the accepted orders of an intake took: id, cantidad, vendidas."""
+    lines = items.join(intake.filter("aceptada").select("id_orden"), "id_orden", "left_semi")
+    sold = lines.groupBy(F.col("id_producto").alias("id")).agg(F.sum("cantidad").cast("bigint").alias("vendidas"))
+    gone = F.coalesce("vendidas", F.lit(0).cast("bigint"))
+    return productos.select("id", "cantidad").join(sold, "id", "left").select(
+        "id", (F.col("cantidad") - gone).cast("bigint").alias("cantidad"), gone.alias("vendidas")
+    )
+
+
 def intake_lines(intake: DataFrame, items: DataFrame, productos: DataFrame) -> DataFrame:
     """The lines of accepted orders at catalog prices."""
     accepted = intake.filter("aceptada").select("id_orden")
