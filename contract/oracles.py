@@ -276,6 +276,30 @@ VIEWS = {
              CASE WHEN q.lineas IS NULL THEN 'La orden debe tener productos' WHEN NOT e.concedida THEN 'Stock insuficiente para: ' || e.nombre END AS motivo
       FROM ordenes o LEFT JOIN (SELECT id_orden, sum(importe) AS importe, sum(lineas) AS lineas FROM pedidas_orden GROUP BY 1) q ON q.id_orden = o.id
       LEFT JOIN veredictos e ON e.id_orden = o.id""",
+    # Closings that ask the buyer's line.
+    "facturadas": """
+      SELECT o.id, o.id_comprador, p.t FROM ordenes o JOIN (
+        SELECT id_orden, CAST(sum(monto) * 100 AS BIGINT) - CASE WHEN id_orden % 2 = 0 AND count(*) > 1
+                 THEN CAST(arg_max(monto, (fecha_pago, transaccion_id)) * 100 AS BIGINT) ELSE 0 END AS t FROM pagos GROUP BY 1) p ON p.id_orden = o.id""",
+    "corridos": """
+      SELECT p.*, f.t, f.id_comprador, CAST(sum(monto) OVER (PARTITION BY id_orden ORDER BY fecha_pago, transaccion_id ROWS UNBOUNDED PRECEDING) * 100 AS BIGINT) AS acc
+      FROM pagos p JOIN facturadas f ON f.id = p.id_orden""",
+    "pasos_cierre": """
+      SELECT *, row_number() OVER (PARTITION BY usuario_id ORDER BY fecha, ref) AS i FROM (
+        SELECT id_comprador AS usuario_id, 'usar' AS tipo, t AS x, id_orden, fecha_pago AS fecha, transaccion_id AS ref FROM corridos WHERE acc = t
+        UNION ALL SELECT usuario_id, tipo, x, NULL, fecha, ref FROM pasos_credito WHERE tipo IN ('ajustar', 'liquidar'))""",
+    "libro_cierre": """
+      SELECT e.usuario_id, 0::BIGINT AS i, coalesce(CAST(c.cupo_total * 100 AS BIGINT), 0) AS t, coalesce(CAST(c.cupo_disponible * 100 AS BIGINT), 0) AS d,
+             c.usuario_id IS NOT NULL AS existe, coalesce(c.estado = 'activo', false) AS activo, NULL::BIGINT AS id_orden, NULL::VARCHAR AS motivo
+      FROM (SELECT DISTINCT usuario_id FROM pasos_cierre) e LEFT JOIN creditos c ON c.usuario_id = e.usuario_id
+      UNION ALL
+      SELECT usuario_id, i, CASE WHEN tipo = 'ajustar' AND x >= 5000000 THEN x ELSE t END,
+             CASE WHEN tipo = 'usar' AND why IS NULL THEN d - x WHEN tipo = 'ajustar' AND x >= 5000000 THEN x WHEN tipo = 'liquidar' AND existe THEN t ELSE d END,
+             existe OR (tipo = 'ajustar' AND x >= 5000000), activo OR (NOT existe AND tipo = 'ajustar' AND x >= 5000000), id_orden, why
+      FROM (SELECT l.usuario_id, p.i, l.t, l.d, l.existe, l.activo, p.tipo, p.x, p.id_orden,
+                   CASE WHEN p.tipo <> 'usar' THEN NULL WHEN NOT l.existe OR NOT l.activo THEN 'Cuenta de crédito no activa' WHEN p.x > l.d THEN 'Cupo insuficiente' END AS why
+            FROM libro_cierre l JOIN pasos_cierre p ON p.usuario_id = l.usuario_id AND p.i = l.i + 1)""",
+    "cierre_credito": "SELECT id_orden, motivo FROM libro_cierre WHERE id_orden IS NOT NULL",
     "h": """
       SELECT CASE WHEN min(c) = max(c) THEN min(c) - 50 ELSE min(c) END AS lo, CASE WHEN min(c) = max(c) THEN max(c) + 50 ELSE max(c) END AS hi
       FROM (SELECT CAST(precio * 100 AS BIGINT) AS c FROM productos)""",
@@ -293,6 +317,8 @@ NEEDS = {
     "h": ["productos"], "pasos_aceptados": ["detalles", "intake"], "stock_aceptado": ["pasos_aceptados", "productos"],
     "lugares": ["productos"], "pedidas_orden": ["detalles", "ordenes", "lugares"], "turnos": ["pedidas_orden"],
     "plegado": ["turnos", "lugares"], "veredictos": ["turnos", "plegado", "lugares"], "intake_seguido": ["ordenes", "pedidas_orden", "veredictos"],
+    "facturadas": ["ordenes", "pagos"], "corridos": ["pagos", "facturadas"], "pasos_cierre": ["corridos", "pasos_credito"],
+    "libro_cierre": ["pasos_cierre", "creditos"], "cierre_credito": ["libro_cierre"],
     "cierres": ["ordenes", "pagos"], "cobrados": ["cierres", "pasos_pago"],
 }
 
@@ -426,6 +452,18 @@ def _oracles() -> dict[str, str]:
             """SELECT id_orden, max(aceptados) AS pagos_aceptados, max(acc) / 100.0 AS total_pagado, max(acc) = max(t) AND max(aceptados) > 0 AS pagada_completa,
                CASE WHEN max(acc) = max(t) AND max(aceptados) > 0 AND bool_and(cierra) THEN 'pagada' ELSE 'pendiente' END AS estado
                FROM cobrados GROUP BY 1""", "cobrados"),
+        "order_closure_by_credit": _with(
+            """SELECT f.id AS id_orden, count(*) FILTER (c.acc <= f.t) AS pagos_aceptados, f.t / 100.0 AS total_pagado, true AS pagada_completa,
+               CASE WHEN any_value(k.motivo) IS NULL THEN 'pagada' ELSE 'pendiente' END AS estado, max(c.fecha_pago) FILTER (c.acc = f.t) AS fecha_pago,
+               max(c.transaccion_id) FILTER (c.acc = f.t) AS transaccion_id, any_value(k.motivo) AS motivo_cierre
+               FROM facturadas f JOIN corridos c ON c.id_orden = f.id JOIN cierre_credito k ON k.id_orden = f.id GROUP BY f.id, f.t""",
+            "facturadas", "corridos", "cierre_credito"),
+        "closure_payments": _with(
+            """SELECT c.id_orden, transaccion_id, fecha_pago, CAST(monto AS DOUBLE) AS monto, acc <= t AS aceptado,
+               CASE WHEN acc > t THEN CASE WHEN k.motivo IS NULL THEN 'La orden ya está totalmente pagada' ELSE 'El monto excede el saldo pendiente' END END AS motivo,
+               least(acc, t) / 100.0 AS total_pagado_acumulado, greatest(t - acc, 0) / 100.0 AS saldo_restante,
+               CASE WHEN acc >= t AND k.motivo IS NULL THEN 'pagada' ELSE 'pendiente' END AS estado_orden
+               FROM corridos c JOIN cierre_credito k ON k.id_orden = c.id_orden""", "corridos", "cierre_credito"),
         "credit_stats": _with("SELECT * FROM r_credito", "r_credito"),
         "credit_stats_by_state": _with(
             """SELECT estado, count(*) AS total_lineas,

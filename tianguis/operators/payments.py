@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tianguis.functions import money
 from tianguis.functions.text import text_key
+from tianguis.operators import ledger
 from tianguis.plans import skew
 from tianguis.plans.admission import AFTER, BEFORE, GRANTED, admit
+from tianguis.session import durable
 
 TOLERANCE = "0.01"  # fixed value: slack when a paid sum is compared with an order total
 
@@ -140,6 +142,40 @@ def closing_events(ordenes: DataFrame, applied: DataFrame, order: Sequence[str]
     )
 
 
+def closure_by_credit(
+    ordenes: DataFrame, pagos: DataFrame, lines: DataFrame, plans: DataFrame, others: DataFrame | None = None,
+    order: Sequence[str] = ("fecha_pago", "transaccion_id"), limits: skew.Limits = skew.DEFAULT, ledger_limits: skew.Limits = ledger.LEDGER_LIMITS,
+) -> tuple[DataFrame, DataFrame]:
+    """(orders after their payments, payments with their verdicts), where a closing payment asks the buyer's credit line.
+
+    The payment that makes an order's sum equal its total uses the buyer's line for that total in one instalment; only if
+    the line grants it is the order paid. ``others`` are further events of the lines in between, with the columns of
+    :func:`closing_events`. Payments fold by order and credit by user, but they need not alternate: an order's sum meets its total at
+    most once, and up to that payment no verdict asks for the line. So the closing payments are known before any line is asked,
+    and only what comes after a refused closing (one cent of tolerance, or too much instead of paid) is judged once more.
+    """
+    applied = durable(payment_application(ordenes, pagos, order, limits=limits))
+    events = closing_events(ordenes, applied, order)
+    asked = events if others is None else events.unionByName(others.select(*events.columns))
+    outcomes = ledger.credit_ledger(asked, lines, plans, order, limits=ledger_limits)
+    # An event among the others may name the same plan, so closings are told by their payment.
+    keys = [c for c in order]
+    closings = events.select(F.col("cuota_id").alias("id_orden"), *keys)
+    closure = durable(
+        outcomes.filter(F.col("tipo") == ledger.USE)
+        .select(F.col("cuota_id").alias("id_orden"), *keys, F.col("aceptado").alias("cierre_ok"), F.col("motivo").alias("motivo_cierre"))
+        .join(closings, ["id_orden", *keys], "left_semi")
+    )
+    refused = closure.filter(~F.col("cierre_ok")).select("id_orden")
+    again = payment_application(
+        ordenes.join(refused, F.col("id") == F.col("id_orden"), "left_semi"), pagos.join(refused, "id_orden", "left_semi"), order,
+        closure=refused.withColumn("cierre_ok", F.lit(False)), limits=limits,
+    )
+    verdicts = durable(applied.join(refused, "id_orden", "left_anti").unionByName(again))
+    states = order_closure(ordenes, verdicts, closure).join(closure.select("id_orden", *keys, "motivo_cierre"), "id_orden", "left")
+    return states, verdicts
+
+
 def order_closure(ordenes: DataFrame, applied: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """State of every order after its payments; one whose closing failed stays pendiente though fully paid."""
     per_order = applied.filter("aceptado").groupBy(F.col("id_orden").alias("id")).agg(
