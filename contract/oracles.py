@@ -300,6 +300,9 @@ VIEWS = {
                    CASE WHEN p.tipo <> 'usar' THEN NULL WHEN NOT l.existe OR NOT l.activo THEN 'Cuenta de crédito no activa' WHEN p.x > l.d THEN 'Cupo insuficiente' END AS why
             FROM libro_cierre l JOIN pasos_cierre p ON p.usuario_id = l.usuario_id AND p.i = l.i + 1)""",
     "cierre_credito": "SELECT id_orden, motivo FROM libro_cierre WHERE id_orden IS NOT NULL",
+    "plazos": """
+      SELECT m.*, m.id % 3 AS lote, m.fecha IS NULL OR coalesce(date_trunc('hour', fecha) + INTERVAL 1 HOUR <= t.tope - INTERVAL 10 DAY, false) AS tarde
+      FROM movimientos m LEFT JOIN (SELECT f, (SELECT max(fecha) FROM movimientos WHERE id % 3 < f) AS tope FROM range(3) r(f)) t ON t.f = m.id % 3""",
     "h": """
       SELECT CASE WHEN min(c) = max(c) THEN min(c) - 50 ELSE min(c) END AS lo, CASE WHEN min(c) = max(c) THEN max(c) + 50 ELSE max(c) END AS hi
       FROM (SELECT CAST(precio * 100 AS BIGINT) AS c FROM productos)""",
@@ -319,6 +322,7 @@ NEEDS = {
     "plegado": ["turnos", "lugares"], "veredictos": ["turnos", "plegado", "lugares"], "intake_seguido": ["ordenes", "pedidas_orden", "veredictos"],
     "facturadas": ["ordenes", "pagos"], "corridos": ["pagos", "facturadas"], "pasos_cierre": ["corridos", "pasos_credito"],
     "libro_cierre": ["pasos_cierre", "creditos"], "cierre_credito": ["libro_cierre"],
+    "plazos": ["movimientos"],
     "cierres": ["ordenes", "pagos"], "cobrados": ["cierres", "pasos_pago"],
 }
 
@@ -357,7 +361,7 @@ def all_oracles() -> dict[str, str]:
         oracles[f"{name}_hot_keys"] = oracles[name]
     for name in ("stream_movements", "stream_sales"):
         oracles[f"{name}_files"] = oracles[name]
-    oracles["stream_payments_yearly"] = oracles["stream_payments"]
+    oracles["stream_payments_yearly"] = oracles["stream_payments_shuffled"] = oracles["stream_payments"]
     return oracles
 
 
@@ -653,6 +657,18 @@ def _oracles() -> dict[str, str]:
         "stream_movements": _with(
             """SELECT date_trunc('hour', fecha) AS desde, tipo, count(*) AS cantidad, CAST(sum(monto) AS DOUBLE) AS monto_total
                FROM movimientos GROUP BY 1, 2""", "movimientos"),
+        "stream_movements_kept": _with(
+            """SELECT date_trunc('hour', fecha) AS desde, tipo, count(*) AS cantidad, CAST(sum(monto) AS DOUBLE) AS monto_total
+               FROM plazos WHERE NOT tarde GROUP BY 1, 2""", "plazos"),
+        "stream_movements_late": _with(
+            """SELECT id, usuario_id, tipo, CAST(monto AS DOUBLE) AS monto, fecha, CAST(lote AS INT) AS lote,
+               CASE WHEN fecha IS NULL THEN 'Sin fecha' ELSE 'Fuera de plazo' END AS motivo FROM plazos WHERE tarde""", "plazos"),
+        "stream_sales_changes": _with(
+            """SELECT strftime(fecha, '%Y-%m') AS mes, count(*) AS num_ordenes, CAST(sum(CASE WHEN estado = 'pagada' THEN total ELSE 0 END) AS DOUBLE) AS ingresos
+               FROM (SELECT o.fecha, o.total, coalesce(u.e, o.estado) AS estado FROM ordenes o LEFT JOIN (
+                       SELECT id_orden, arg_max(e, (fecha_pago, transaccion_id)) AS e FROM (
+                         SELECT *, CASE metodo_pago WHEN 'tarjeta' THEN 'pagada' WHEN 'transferencia' THEN 'cancelada' END AS e FROM pagos)
+                       WHERE e IS NOT NULL GROUP BY 1) u ON u.id_orden = o.id) GROUP BY 1""", "ordenes", "pagos"),
         "stream_sales": _with("SELECT * FROM ventas_mes", "ventas_mes"),
         "stream_unique_payments": """SELECT DISTINCT l_orderkey AS id_orden, l_linenumber AS linea, l_orderkey || '-' || l_linenumber AS transaccion_id
                FROM lineitem""",

@@ -17,7 +17,7 @@ from tianguis.plans import report, skew
 from tianguis.session import durable, shared_path
 from tianguis.sources import sinks, tables
 from tianguis.sources.views import MarketViews
-from tianguis.streaming import jobs
+from tianguis.streaming import jobs, late, retract
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -762,5 +762,64 @@ def stream_payments_yearly(v):
     return verdicts.select("id_orden", "transaccion_id", "aceptado", "total_pagado_acumulado", "estado_orden")
 
 
+PERIOD_DAYS = 900
+
+
+@query
+def stream_payments_shuffled(v):
+    """Every second order's payments come a file too late; they are held back for as long and judged as the batch judges them."""
+    root, path = shared_path(v.spark, "files"), shared_path(v.spark, "payments")
+    session, lines = _streams(v).spark, v.raw("lineitem")
+    static, views = MarketViews(session, v.sf_dir).ordenes(), jobs.SplitStreamViews(session, root, per_trigger=1000)
+    first, last = lines.agg(F.min("l_shipdate").cast("string"), F.max("l_shipdate").cast("string")).first()
+    since = F.datediff("l_shipdate", F.lit(first).cast("timestamp_ntz"))
+    file = F.coalesce(F.floor(since / PERIOD_DAYS) + F.col("l_orderkey") % 2, F.lit(0))
+    days = 0 if first is None else v.spark.range(1).select(F.datediff(F.lit(last), F.lit(first))).first()[0]
+    for n in range(days // PERIOD_DAYS + 2):
+        lines.filter(file == n).write.mode("append").parquet(f"{root}/lineitem.parquet")
+        done = jobs.run_payments(views.pagos(), static, path, delay=f"{2 * PERIOD_DAYS} days")
+    columns = ["id_orden", "transaccion_id", "aceptado", "total_pagado_acumulado", "estado_orden"]
+    waiting = jobs.held_verdicts(session, static, path, views.pagos().schema)
+    return v.spark.read.parquet(done.path).select(*columns).unionByName(waiting.select(*columns))
+
+
+LATE_FILES = 3
+
+
+def _late_movements(v: MarketViews) -> str:
+    """Events dealt into files by their id, one micro-batch each: much of a later file is past the watermark of those before."""
+    root, path = shared_path(v.spark, "files"), shared_path(v.spark, "movements")
+    views = jobs.SplitStreamViews(_streams(v).spark, root, per_trigger=1000)
+    for n in range(LATE_FILES):
+        v.raw("events").filter(F.col("event_id") % LATE_FILES == n).write.mode("append").parquet(f"{root}/events.parquet")
+        late.run_movement_windows(views.movimientos(), path, delay="10 days")
+    return path
+
+
+@query
+def stream_movements_kept(v): return late.windows(v.spark, _late_movements(v))
+
+
+@query
+def stream_movements_late(v):
+    return _money_out(late.late(v.spark, _late_movements(v)))
+
+
+@query
+def stream_sales_changes(v):
+    """Orders and their changes of state in files of any order: monthly sales as after all valid changes."""
+    root, session = shared_path(v.spark, "files"), _streams(v).spark
+    opened = v.ordenes().select("id", "total", "fecha", "estado", *[F.lit(None).cast(k).alias(c) for c, k in (("fecha_pago", "timestamp_ntz"), ("transaccion_id", "string"))])
+    changed = v.cambios_orden().select(
+        F.col("id_orden").alias("id"), F.lit(None).cast("decimal(12,2)").alias("total"), F.lit(None).cast("timestamp_ntz").alias("fecha"),
+        "estado", "fecha_pago", "transaccion_id",
+    )
+    entries = opened.unionByName(changed)
+    entries.repartition(4, "estado", "id").write.parquet(root)
+    stream = jobs.read_stream(session, root, entries.schema, "*.parquet", per_trigger=1)
+    done = retract.run_sales(stream, shared_path(v.spark, "sales"), ("fecha_pago", "transaccion_id"))
+    return retract.months(v.spark, done)
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)
