@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables, and the shape of the plans."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -31,6 +33,14 @@ def test_every_sql_belongs_to_a_query():
     assert set(all_queries()) - set(all_oracles()) == {"report_nested"}
 
 
+def test_a_missing_package_of_the_optional_part_leaves_the_rest(monkeypatch):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tianguis.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert set(entry.queries()) == set(all_queries()) and set(entry.oracle_sql()) == set(all_oracles())
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert [r.rank for r in rows] == [1, 2, 3, 4, 5]
