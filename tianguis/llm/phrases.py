@@ -310,16 +310,18 @@ def _suffix() -> Column:
     return F.expr("substring_index(phrase, ' ', 1 - size)")
 
 
-def _highest(df: DataFrame, value: str, limit: int, *ties: Column | str) -> DataFrame:
-    """The first ``limit`` rows of every language by ``value`` (descending), then ``ties``, with their rank.
-
-    Values are counted in at most a thousand steps a language; only rows from the step of the last wanted row on are ordered.
-    """
+def _near_top(df: DataFrame, value: str, limit: int) -> DataFrame:
+    """Rows of every language from the step of its ``limit``-th highest ``value`` on; values are counted in a thousand steps at most."""
     step = F.floor(F.col(value) / VALUE_STEP)
     sizes = df.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("step")))
     last = sizes.withColumn("above", above).groupBy("lang").agg(F.max(F.when(F.col("above") >= limit, F.col("step"))).alias("last"))
-    near = df.join(last, "lang").where(F.col("last").isNull() | (step >= F.col("last"))).drop("last")
+    return df.join(last, "lang").where(F.col("last").isNull() | (step >= F.col("last"))).drop("last")
+
+
+def _highest(df: DataFrame, value: str, limit: int, *ties: Column | str) -> DataFrame:
+    """The first ``limit`` rows of every language by ``value`` (descending), then ``ties``, with their rank."""
+    near = _near_top(df, value, limit)
     order = Window.partitionBy("lang").orderBy(F.desc(value), *ties)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -359,11 +361,11 @@ class _Search:
         return _highest(judged.where("grown and not covered"), "score", self.top, F.desc("a"), "phrase")
 
     def frontier(self, judged: DataFrame, batch: int, block: int) -> list:
-        """Open phrases that may still change the result, highest bound first, at most ``block`` of them."""
+        """Open phrases that may still change the result, about ``batch`` a language, highest bound first, at most ``block`` in all."""
         worst = self.best(judged).where(F.col("rank") == self.top).select("lang", F.col("score").alias("last"))
         wanted = judged.where("not grown").join(worst, "lang", "left").where("last is null or bound >= last").drop("last")
-        first = _highest(wanted, "bound", batch, "phrase")
-        return first.orderBy("rank", "lang").limit(block).select("lang", "phrase", "size").collect()
+        first = _near_top(wanted, "bound", batch)
+        return first.orderBy(F.desc("bound"), "lang", "phrase").limit(block).select("lang", "phrase", "size").collect()
 
     def expand(self, spark: SparkSession, phrases: set[tuple[str, str]], counts: DataFrame) -> None:
         """Take in the counts of a pass that expanded ``phrases``."""
