@@ -16,7 +16,7 @@ def odd_documents(spark):
     texts = [None, "", "   ", "one", "one", "a b c d e f g h i j k l", "a b c d e f g h i j k l", LONG, LONG + " tail", "x\x00y É ß 漢字 🙂"]
     ids = [0, 1, 2, 3, 3, 5, 6, 7, 8, None]
     df = documents(spark, texts, ids)
-    for name in ("fp", "component", "rank", "block", "n", "score", "_key", "piece", "length", "node", "a", "b", "root", "start", "label"):
+    for name in ("fp", "component", "rank", "block", "n", "score", "_key", "piece", "length", "node", "a", "b", "root", "start", "label", "_id", "_hash", "_kinds", "kinds", "_text_hash", "text_hash", "_doc_id", "_row", "_n", "spans"):
         df = df.withColumn(name, F.lit(name))
     return df
 

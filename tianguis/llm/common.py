@@ -13,6 +13,8 @@ from tianguis.session import shared_path
 
 #: Rows of one block of a large group; a group of more rows is handled in pairs of blocks.
 BLOCK_ROWS = 1024
+#: Rows up to which a written table of a few numbers a row is sent to every task instead of shuffling texts to it.
+SENT_ROWS = 1_000_000
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -22,6 +24,12 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written and counted: marked for broadcast if it has at most SENT_ROWS rows, plain beyond."""
+    table = saved(df, purpose)
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text: A-Z lower-cased, cut at space and \\x09-\\x0D; none of a null text."""
     return text.lower().split() if text else []

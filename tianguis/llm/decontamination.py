@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tianguis.llm.common import text_only
+from tianguis.llm.common import counted, text_only
 from tianguis.llm.ragged import PLAIN, Powers, Words, shingles, steps
 
 #: Items of fewer shingles are searched under all of them.
@@ -149,6 +149,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, thresho
 def decontaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``documents`` that contain no item, with all their columns; those without a doc_id too."""
     found = contaminated(documents, benchmark, k, threshold)
-    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = documents["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["_hash"])
-    return documents.join(gone, same, "left_anti")
+    gone = counted(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    columns = documents.columns
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row.text").cast("string")) == F.col("_hash"))
+    return packed.join(gone, same, "left_anti").select(*[F.col(f"_row.`{c}`") for c in columns])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tianguis.llm.common import saved
+from tianguis.llm.common import counted, saved
 
 try:
     from re import _constants as sre
@@ -296,14 +296,15 @@ def _masked(text: Column, spans: Column, sign: str) -> Column:
 def masked(documents: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, sign: str = "*") -> DataFrame:
     """``documents``, every secret overwritten with ``sign``: all rows, all columns, texts of unchanged length.
 
-    A null text stays null.
+    A null text stays null. Rows are told apart by doc_id and text: a null id is an id like any other, repeated rows are all
+    overwritten alike. Other columns pass through whatever their names are; an empty table gives no rows.
     """
     columns = documents.columns
-    both = documents.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    named = candidates(saved(postings(documents, rules), "postings"), rules)
-    named = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kinds").alias("_kinds"))
-    joined = both.join(named, both["doc_id"].eqNullSafe(named["_id"]) & (both["_text_hash"] == named["_hash"]), "left")
-    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("_kinds").alias("kinds"))
-    found = _with_spans(packed, rules)
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).withColumn("text", text)
+    named = counted(candidates(saved(postings(documents, rules), "postings"), rules), "candidates")
+    named = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kinds")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    found = _with_spans(packed.join(named, same, "left").select("_row", "text", "kinds"), rules)
     clean = F.when(F.col("_row.text").isNull() | (F.size("spans") == 0), F.col("_row.text")).otherwise(_masked(F.col("text"), F.col("spans"), sign))
     return found.select(*[clean.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tianguis.llm.common import Forest, in_blocks, pairs_in_runs, per_block_pair, saved, text_only, texts, words_of
+from tianguis.llm.common import Forest, counted, in_blocks, pairs_in_runs, per_block_pair, saved, text_only, texts, words_of
 from tianguis.llm.components import components
 
 BITS = 64
@@ -159,7 +159,8 @@ def _grouped(table: DataFrame, distance: int) -> DataFrame:
     classes = saved(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     reached = components(links(classes, distance)).withColumnRenamed("node", "fp")
     rooted = classes.join(reached, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join sees two plain shuffles and a group of very many fingerprints may be split
+    smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
 
 
@@ -182,14 +183,28 @@ def deduplicated(documents: DataFrame, shingle: int = 4, distance: int = 4) -> D
     Rows are told apart by doc_id and text, so an id that stands for several texts is decided for each of them.
     """
     table = saved(fingerprints(documents, shingle), "fingerprints")
-    rows = table.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    ranked = rows.join(_grouped(table, distance).select("fp", "root"), "fp").withColumn("rank", rank)
-    ranked = saved(ranked.join(ranked.groupBy("root").agg(F.min("rank").alias("best")), "root"), "ranked")
-    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
-    gone, again = ranked.where("not rank <=> best").select(*key), ranked.where("rank <=> best and n > 1").select(*key)
-    keyed = documents.withColumn("_doc_id", F.col("doc_id").cast("long")).withColumn("_text_hash", _text_hash())
-    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    kept = keyed.join(gone, same, "left_anti")
-    one = kept.join(again, same, "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
-    return kept.join(again, same, "left_anti").unionByName(one).drop("_doc_id", "_text_hash")
+    rows = saved(table.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n")), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")
+    # A minimum per fingerprint, then one per group, both combined before they move: no row is joined with its group.
+    classes = rows.groupBy("fp").agg(F.min(rank).alias("best"), F.min("doc_id").alias("least"))
+    classes = saved(classes, "classes")
+    reached = components(links(classes, distance)).withColumnRenamed("node", "fp")
+    root = F.coalesce("component", "fp").alias("root")
+    best = classes.join(reached, "fp", "left").select(root, "best").groupBy("root").agg(F.min("best").alias("best"))
+    best = saved(best.select("best.*"), "best")
+    first = best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+
+    def same(id_: str, hash_: str):
+        return F.col(id_).eqNullSafe(F.col("_id")) & (F.col(hash_) == F.col("_hash"))
+
+    gone = rows.join(first, same("doc_id", "text_hash"), "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = best.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    columns = documents.columns
+    keyed = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), _text_hash().alias("_text")
+    )
+    kept = keyed.join(counted(gone, "gone"), same("_doc", "_text"), "left_anti")
+    again = counted(again, "again")
+    one = kept.join(again, same("_doc", "_text"), "left_semi").dropDuplicates(["_doc", "_text"])
+    both = kept.join(again, same("_doc", "_text"), "left_anti").unionByName(one)
+    return both.select(*[F.col(f"_row.`{c}`") for c in columns])
