@@ -361,6 +361,8 @@ def all_oracles() -> dict[str, str]:
         oracles[f"{name}_hot_keys"] = oracles[name]
     for name in ("stream_movements", "stream_sales"):
         oracles[f"{name}_files"] = oracles[name]
+    oracles["product_changes_in_place"], oracles["user_changes_in_place"] = oracles["apply_product_changes"], oracles["apply_user_changes"]
+    oracles["product_rejects_in_place"], oracles["summary_kept"] = oracles["product_change_rejects"], oracles["summary"]
     oracles["stream_payments_yearly"] = oracles["stream_payments_shuffled"] = oracles["stream_payments"]
     return oracles
 
@@ -675,6 +677,15 @@ def _oracles() -> dict[str, str]:
         "stream_payments": _with(
             """SELECT id_orden, transaccion_id, aceptado, acc / 100.0 AS total_pagado_acumulado,
                CASE WHEN cerrada THEN 'pagada' ELSE 'pendiente' END AS estado_orden FROM aplicados WHERE i > 0""", "aplicados"),
+        "live_kept": _with(
+            """SELECT 'total_usuarios' AS seccion, '' AS clave, count(*) AS cantidad, CAST(NULL AS DOUBLE) AS monto FROM usuarios
+               UNION ALL SELECT 'usuarios_por_rol', rol, count(*), NULL FROM usuarios GROUP BY rol
+               UNION ALL SELECT 'ordenes_por_estado', estado, count(*), CAST(coalesce(sum(total), 0) AS DOUBLE) FROM ordenes GROUP BY estado
+               UNION ALL SELECT 'ventas_por_mes', mes, num_ordenes, ingresos FROM ventas_mes
+               UNION ALL SELECT 'top_productos', CAST(id_producto AS VARCHAR), unidades, ingresos
+                 FROM (SELECT * FROM vendidos ORDER BY unidades DESC, id_producto LIMIT 5)
+               UNION ALL SELECT 'metodos_pago', metodo_pago, count(*), CAST(coalesce(sum(monto), 0) AS DOUBLE) FROM pagos GROUP BY metodo_pago""",
+            "usuarios", "ordenes", "ventas_mes", "vendidos", "pagos"),
         "report_live_months": _with(
             "SELECT 'realtime' AS fuente, mes, num_ordenes AS ordenes, ingresos FROM ventas_mes", "ventas_mes"),
     }

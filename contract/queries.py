@@ -15,9 +15,9 @@ from tianguis.operators import (
 )
 from tianguis.plans import report, skew
 from tianguis.session import durable, shared_path
-from tianguis.sources import sinks, tables
+from tianguis.sources import buckets, sinks, tables
 from tianguis.sources.views import MarketViews
-from tianguis.streaming import jobs, late, retract
+from tianguis.streaming import jobs, kept, late, retract
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -421,6 +421,40 @@ def product_change_rejects(v):
     return _money_out(_products(v).rejects).select("id_producto", "tipo", "id_vendedor", *CHANGE_ORDER, "motivo")
 
 
+BUCKETS = 16
+
+
+def _in_buckets(v: MarketViews, base: DataFrame, log: DataFrame, log_key: str, apply) -> tuple[DataFrame, DataFrame]:
+    """The table after the first and the second half of a log, applied to the touched buckets in place, and all refusals."""
+    path, half = shared_path(v.spark, "table"), log.agg(F.percentile_approx(F.unix_seconds(F.col("momento").cast("timestamp")), 0.5)).first()[0]
+    buckets.write(base, path, ["id"], BUCKETS)
+    early = F.coalesce(F.unix_seconds(F.col("momento").cast("timestamp")) <= F.lit(half), F.lit(True))
+    refused = [
+        buckets.apply_log(v.spark, path, base.schema, ["id"], BUCKETS, log.filter(part), [log_key], apply)[0] for part in (early, ~early)
+    ]
+    return buckets.read(v.spark, path, base.schema), refused[0].unionByName(refused[1])
+
+
+def _products_in_place(v: MarketViews) -> tuple[DataFrame, DataFrame]:
+    base = v.productos()
+    return _in_buckets(v, base, v.cambios_producto(), "id_producto", lambda t, log: changes.apply_product_changes(t, log, CHANGE_ORDER))
+
+
+@query
+def product_changes_in_place(v): return _money_out(_products_in_place(v)[0])
+
+
+@query
+def product_rejects_in_place(v):
+    return _money_out(_products_in_place(v)[1]).select("id_producto", "tipo", "id_vendedor", *CHANGE_ORDER, "motivo")
+
+
+@query
+def user_changes_in_place(v):
+    apply = lambda t, log: changes.apply_user_changes(t, log, ("momento", "n"))
+    return _in_buckets(v, v.usuarios(), v.cambios_usuario(), "usuario_id", apply)[0]
+
+
 def _registered(v: MarketViews) -> changes.Applied:
     return changes.register_users(v.emails_tomados(), v.solicitudes_registro(), ("momento", "n"))
 
@@ -821,5 +855,41 @@ def stream_sales_changes(v):
     return retract.months(v.spark, done)
 
 
+KEPT_FILES = 3
+
+
+def _kept(v: MarketViews) -> tuple[str, dict]:
+    """All tables fed in several files, a micro-batch each; only the groups of every micro-batch are kept."""
+    root, path, session = shared_path(v.spark, "files"), shared_path(v.spark, "figures"), _streams(v).spark
+    given = {"usuarios": v.usuarios(), "productos": v.productos(), "ordenes": v.ordenes(), "pagos": v.pagos(), "orden_detalles": v.orden_detalles()}
+    for name, rows in given.items():
+        rows.repartition(KEPT_FILES, *rows.columns[:1]).write.parquet(f"{root}/{name}")
+        kept.run_figures(jobs.read_stream(session, f"{root}/{name}", rows.schema, "*.parquet", per_trigger=1), name, path)
+    return path, {name: rows.schema for name, rows in given.items()}
+
+
+@query
+def summary_kept(v): return report.totals(kept.bases(v.spark, *_kept(v)))
+
+
+@query
+def live_kept(v):
+    """The live figures, read from the kept groups alone, one row per entry."""
+    shown = durable(kept.live(v.spark, *_kept(v))).select("realtime.*")
+    sections = {
+        "usuarios_por_rol": ("rol", "cantidad", None), "ordenes_por_estado": ("estado", "cantidad", "monto"),
+        "ventas_por_mes": ("mes", "ordenes", "ingresos"), "top_productos": ("id_producto", "unidades", "ingresos"),
+        "metodos_pago": ("metodo_pago", "usos", "monto_total"),
+    }
+    nothing = F.lit(None).cast("double")
+    rows = [shown.select(F.lit("total_usuarios").alias("seccion"), F.lit("").alias("clave"), F.col("total_usuarios").alias("cantidad"), nothing.alias("monto"))]
+    for name, (key, count, amount) in sections.items():
+        rows.append(shown.select(F.explode(name).alias("e")).select(
+            F.lit(name).alias("seccion"), F.col(f"e.{key}").cast("string").alias("clave"), F.col(f"e.{count}").cast("long").alias("cantidad"),
+            (nothing if amount is None else F.col(f"e.{amount}")).alias("monto"),
+        ))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)

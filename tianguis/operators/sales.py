@@ -52,7 +52,12 @@ def top_products_inner(detalles: DataFrame, productos: DataFrame, k: int = 5) ->
 
 
 def top_products_live(detalles: DataFrame, k: int = 5, times_sold: bool = True) -> DataFrame:
-    best = sales_by_product(detalles).orderBy(F.desc("unidades"), "id_producto").limit(k)
+    return best_live(sales_by_product(detalles), k, times_sold)
+
+
+def best_live(sold: DataFrame, k: int = 5, times_sold: bool = True) -> DataFrame:
+    """The k best of products whose sales are summed already."""
+    best = sold.orderBy(F.desc("unidades"), "id_producto").limit(k)
     columns = ["id_producto", *(["veces_vendido"] if times_sold else []), "unidades"]
     return best.select(*columns, F.col("ingresos").cast("double").alias("ingresos"))
 

@@ -68,29 +68,36 @@ class Bases:
     pagos: DataFrame
 
 
+def grouped(table: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of a table by all keys its sections use. Every measure is a count or a sum, so groups of parts add up."""
+    n = F.count("*").alias("n")
+    if table == "usuarios":
+        return rows.groupBy("rol", "estado").agg(n)
+    if table == "productos":
+        return rows.groupBy("id_vendedor").agg(
+            n,
+            F.count_if("activo").alias("activos"),
+            F.sum("precio").alias("precios"),
+            F.count("precio").alias("con_precio"),
+            F.sum(F.col("precio") * F.col("cantidad")).alias("valor"),
+        )
+    if table == "ordenes":
+        return rows.groupBy("estado", sales.month("fecha").alias("mes")).agg(n, F.sum("total").alias("total"))
+    if table == "pagos":
+        return rows.groupBy("metodo_pago").agg(n, F.sum("monto").alias("monto"))
+    if table == "orden_detalles":
+        return sales.sales_by_product(rows)
+    raise ValueError(f"no groups are kept of {table}")
+
+
 def bases(usuarios, productos, ordenes, pagos) -> Bases:
     """Group every table once, by all keys its sections use, and keep the small results.
 
     Without the cut each section would scan its table again, because Catalyst prunes and filters every
     copy of the aggregate differently.
     """
-    n = F.count("*").alias("n")
-    return Bases(
-        usuarios=durable(usuarios.groupBy("rol", "estado").agg(n)),
-        productos=durable(
-            productos.groupBy("id_vendedor").agg(
-                n,
-                F.count_if("activo").alias("activos"),
-                F.sum("precio").alias("precios"),
-                F.count("precio").alias("con_precio"),
-                F.sum(F.col("precio") * F.col("cantidad")).alias("valor"),
-            )
-        ),
-        ordenes=durable(
-            ordenes.groupBy("estado", sales.month("fecha").alias("mes")).agg(n, F.sum("total").alias("total"))
-        ),
-        pagos=durable(pagos.groupBy("metodo_pago").agg(n, F.sum("monto").alias("monto"))),
-    )
+    given = {"usuarios": usuarios, "productos": productos, "ordenes": ordenes, "pagos": pagos}
+    return Bases(**{name: durable(grouped(name, rows)) for name, rows in given.items()})
 
 
 def _sum(c: Column | str, when: Column | None = None) -> Column:
@@ -103,7 +110,8 @@ def _mean(total: Column, count: Column) -> Column:
     return F.coalesce(money.from_cents(money.div_half_up(whole, count)), F.lit(0.0))
 
 
-def _summary(b: Bases) -> DataFrame:
+def totals(b: Bases) -> DataFrame:
+    """The one-row summary of all tables."""
     rol, estado = F.col("rol"), F.col("estado")
     return summary.beside(
         b.usuarios.agg(
@@ -155,7 +163,7 @@ def build(b: Bases, detalles: DataFrame, productos: DataFrame, creditos: DataFra
     )
     top = sales.top_products(detalles, productos, k).select("id", "nombre", "unidades_vendidas", "ingresos")
     parts = summary.beside(
-        _object(_summary(b), "resumen"),
+        _object(totals(b), "resumen"),
         _section(top, "top_productos", -F.col("unidades_vendidas"), F.col("id")),
         _section(months, "ingresos_por_mes", F.col("mes")),
         _section(_roles(b), "distribucion_roles", -F.col("cantidad"), F.col("rol")),
@@ -186,7 +194,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def live(b: Bases, detalles: DataFrame) -> DataFrame:
     """The live figures as one row with one struct ``realtime``."""
-    top = sales.top_products_live(detalles, times_sold=False)
+    return live_of(b, sales.sales_by_product(detalles))
+
+
+def live_of(b: Bases, sold: DataFrame) -> DataFrame:
+    """The same from sales that are grouped by product already."""
+    top = sales.best_live(sold, times_sold=False)
     paid = F.col("estado") == "pagada"
     months = b.ordenes.groupBy("mes").agg(F.sum("n").alias("ordenes"), _sum("total", paid).cast("double").alias("ingresos"))
     parts = summary.beside(
