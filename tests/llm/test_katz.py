@@ -4,6 +4,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.util import documents, no_rows, odd_documents, table
@@ -71,11 +73,13 @@ def compare(df, rows, **more):
     return model
 
 
-@pytest.mark.parametrize("share", [katz.HISTORY_SHARE, 0.001, 0.2])
-def test_scores_of_some_texts(spark, monkeypatch, share):
-    """Also in several chunks and buckets."""
+@pytest.mark.parametrize("share, sent", [(katz.HISTORY_SHARE, 10**6), (katz.HISTORY_SHARE, 0), (0.001, 10**6), (0.2, 10**6)])
+def test_scores_of_some_texts(spark, monkeypatch, share, sent):
+    """In several chunks and buckets, common histories over several of them; their sums are sent or met by salt."""
     monkeypatch.setattr(katz, "CHUNK_BYTES", 30_000)
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 3_000)
+    monkeypatch.setattr(katz, "SPLIT_TOKENS", 100)
+    monkeypatch.setattr(katz, "SENT_ROWS", sent)
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").orderBy("doc_id").limit(60).collect()]
     model = compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, history_share=share)
     for u in [BEGIN, *list(model.histories)[:5]]:
@@ -89,6 +93,27 @@ def test_op6_is_better_than_its_base_on_texts_it_did_not_see(spark):
     assert sum(r.score for r in fold) > sum(r.base_score for r in fold) and all(r.score < 0 for r in got)
 
 
+def test_planes_hold_any_number():
+    for values in (np.array([0, 1, 255, 256, 2**62], dtype=np.int64), np.array([0.0, -1.5, 3e300]), np.empty(0, dtype=np.int64)):
+        assert np.array_equal(katz.unpacked(katz.packed(values), values.dtype), values)
+
+
+def test_common_histories_are_dealt_over_several_buckets():
+    """No bucket gets more of one history than its part; every pair is dealt once."""
+    n = 4000
+    words = np.arange(n)
+    token = np.column_stack([np.zeros(n, dtype=np.int64), words]).ravel()
+    count = np.append(np.full(n, 2), 1)
+    count[0] = n
+    row = pa.table({"count": [katz.packed(count)], "number": [katz.packed(np.append(words + 1, 0))], "token": [katz.packed(token)], "n": [[2 * n]]})
+    p = katz.Pairs(row, katz.Deal(1, 64, 500))
+    common = p.run_number == 1
+    length = np.diff(np.append(p.first, len(p.dealt)))
+    assert len(p.dealt) == len(p.word) == len(set(p.dealt.tolist()))
+    assert p.run_split[common].all() and common.sum() >= 5 and length[common].max() < n / 4
+    assert not p.run_split[~common].any()
+
+
 def test_odd_and_no_documents(spark):
     df = odd_documents(spark)
     compare(df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])

@@ -6,37 +6,45 @@ training texts is a history. Every count covers the whole corpus.
 Denominators are one larger than the counts (c(u) + 1, N + 1): one event is always left for what was not seen, so the
 backoff weights, computed from exact sums, are positive and every distribution adds up to one.
 
-Texts are held as chunks: their distinct words, and one number per token. A chunk deals its distinct (word, history)
-pairs into buckets by word (frequent words by word and history), where the counts of the whole corpus meet; a bucket
-answers every chunk in the order it was asked, so texts are never sent along. The backoff weights are a table by history,
-which is joined with the words of each chunk. With both, a chunk looks up its tokens and adds them up per text.
+Texts are held as chunks: their distinct words, and one number per token. A chunk deals its words into buckets, which answer
+with every word's count in the corpus and a number for it, small for common words. It then deals its distinct pairs into buckets
+by history, where the counts of the whole corpus meet and the sums behind the backoff weights are taken; a bucket answers every
+chunk in the order it was asked, so texts are never sent along. A common history is dealt over several buckets by the word behind
+it, by its count alone, and its sums are added up in a table of their own. With the answers a chunk looks up its tokens and adds
+them up per text. Numbers travel as byte planes, of which all but the lowest compress to next to nothing.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tianguis.llm.common import complete_runs, saved, text_only
+from tianguis.llm.common import SENT_ROWS, complete_runs, saved, text_only
 from tianguis.llm.ragged import LOWER, Powers, Words, steps
 
 #: A history has at least this share of the training tokens; 0: every word is one.
 HISTORY_SHARE = 0.0
-#: Words of at least this share are dealt out by word and history; the answer is the same for any share.
-FREQUENT_SHARE = 1 / 65536
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: Tokens of a bucket, and bytes of text whose tokens are counted together before they are dealt out.
 BUCKET_TOKENS = 500_000
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
+#: A history is dealt over one bucket more for every so many of its tokens, each part by the words behind it.
+SPLIT_TOKENS = 125_000
+#: Shares into which rows are salted that meet a table of histories too large to be sent.
+SALT = 32
 _END = np.uint64(0xE0D)
-#: History of the first token of a text.
-_BEGIN = np.uint64(0xBE61)
+#: Number of the history of the first token of a text; words are numbered from 1.
+_BEGIN = 0
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def discounts(counts: list[float]) -> list[float]:
@@ -72,201 +80,301 @@ def _tokens(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]
     return tokens, np.repeat(np.arange(len(texts)), n + 1)
 
 
-def _batched(batch: pa.RecordBatch):
+def _batched(batch: pa.RecordBatch, size: int):
     data = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    for a, b in steps([len(t) for t in data], CHUNK_BYTES):
+    for a, b in steps([len(t) for t in data], size):
         yield data[a:b], batch.slice(a, b - a)
 
 
-_CHUNKS = "chunk long, word array<long>, times array<int>, token array<int>, n array<int>, doc_id array<long>, learn array<boolean>"
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes as planes: all lowest bytes, then all second ones and so on."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _joined(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
+    """The packed numbers of all rows one after the other; nulls hold none."""
+    parts = [unpacked(b, kind) for b in column.to_pylist() if b is not None]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+
+
+def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (values ^ (values >> np.uint64(31))) * _MIX2
+    return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def _one(values, kind) -> pa.ListArray:
     return pa.array([values], pa.list_(kind))
 
 
-def chunked(documents: DataFrame) -> DataFrame:
-    """Chunks of texts: distinct word hashes with their training counts, the tokens as numbers of them, and the texts."""
+_TEXTS = {"token": "binary", "n": "array<int>", "doc_id": "array<long>", "learn": "array<boolean>"}
+_CHUNKS = "chunk long, word array<long>, times binary, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items())
+
+
+def chunked(documents: DataFrame, size: int) -> DataFrame:
+    """Chunks of texts: distinct word hashes, the most frequent first, with their training counts, the tokens as numbers of
+    them, and the texts."""
 
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for data, rows in _batched(batch):
+            for data, rows in _batched(batch, size):
                 tokens, doc = _tokens(data, powers)
-                word, index = np.unique(tokens, return_inverse=True)
+                word, index, often = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")
+                place = np.empty(len(order), dtype=np.int64)
+                place[order] = np.arange(len(order))
+                word, index = word[order], place[index]
                 learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-                times = np.bincount(index, weights=learn[doc], minlength=len(word)).astype(np.int32)
+                times = np.bincount(index, weights=learn[doc], minlength=len(word)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), _one(word.view(np.int64), pa.int64()), _one(times, pa.int32()),
-                        _one(index.astype(np.int32), pa.int32()), _one(np.bincount(doc, minlength=len(data)).astype(np.int32), pa.int32()),
+                        pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), _one(word.view(np.int64), pa.int64()), pa.array([packed(times)], pa.binary()),
+                        pa.array([packed(index)], pa.binary()), _one(np.bincount(doc, minlength=len(data)).astype(np.int32), pa.int32()),
                         pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), _one(learn, pa.bool_()),
                     ],
-                    names=["chunk", "word", "times", "token", "n", "doc_id", "learn"],
+                    names=["chunk", "word", "times", *_TEXTS],
                 )
 
     return documents.mapInArrow(run, _CHUNKS)
 
 
-def unigrams(chunks: DataFrame) -> DataFrame:
-    """(word, n): training count of every word hash that occurs in training."""
-    each = chunks.select(F.explode(F.arrays_zip("word", "times")).alias("w")).where("w.times > 0")
-    return each.groupBy(F.col("w.word").alias("word")).agg(F.sum("w.times").alias("n"))
+def _runs_of(batches, key: str):
+    """The rows of each value of ``key`` in sorted batches."""
+    for table, starts in complete_runs(batches, [key]):
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            yield table.slice(a, b - a)
 
 
-class Frequent:
-    """Frequent words with their counts, at most 1 / FREQUENT_SHARE of them."""
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        words = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Index of each word hash, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+def _cuts(sorted_buckets: np.ndarray) -> np.ndarray:
+    """Where each run of equal buckets begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, sorted_buckets[1:] != sorted_buckets[:-1])), len(sorted_buckets))
 
 
-class Pairs:
-    """The distinct (word, history) pairs of a chunk in the order of their buckets, and the pair of every token."""
+K = DISCOUNTED
+_WORDS = "bucket int, chunk long, n binary, number binary, stats array<double>"
 
-    def __init__(self, word: np.ndarray, token: np.ndarray, n: np.ndarray, f: Frequent, buckets: int):
-        history = np.empty(len(token), dtype=np.int64)
-        history[1:] = token[:-1]
-        history[np.cumsum(n) - n] = len(word)
-        size = len(word) + 1
-        key, of = np.unique(token.astype(np.int64) * size + history, return_inverse=True)
-        w, u = key // size, np.append(word, _BEGIN)[key % size]
-        names = word[w]
-        mixed = np.where(f.find(word)[w] >= 0, (names + (u ^ (u >> np.uint64(29)))) * np.uint64(0x9E3779B97F4A7C15), names)
-        bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.bucket, self.word, self.history, self.of = bucket[order], names[order], u[order], place[of]
-        self.new_bucket = np.append(True, self.bucket[1:] != self.bucket[:-1])
-        self.new_word = self.new_bucket | np.append(True, self.word[1:] != self.word[:-1])
 
+def _words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Answers to every chunk on its words: their training counts in the corpus and their numbers; a row of sums per bucket."""
+
+    def deal(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                word, times = row.column("word").flatten().to_numpy().view(np.uint64), unpacked(row.column("times")[0].as_py())
+                bucket = _bucket_of(word, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = _cuts(bucket[order])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[order][cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, row.column("chunk")[0].as_py())),
+                        *(pa.array([packed(x[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (word, times)),
+                    ],
+                    names=["bucket", "chunk", "word", "times"],
+                )
+
+    def count(batches):
+        for table in _runs_of(batches, "bucket"):
+            bucket = table.column("bucket")[0].as_py()
+            sizes = [len(b) // 8 for b in table.column("word").to_pylist()]
+            word, of = np.unique(_joined(table.column("word"), np.uint64), return_inverse=True)
+            total = np.bincount(of, weights=_joined(table.column("times"))).astype(np.int64)
+            rank = np.empty(len(word), dtype=np.int64)
+            rank[np.lexsort((word, -total))] = np.arange(len(word))
+            number = rank * buckets + bucket + 1
+            at = np.cumsum([0, *sizes])
+            stats = [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))]
+            answers = [[packed(x[of[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)] + [None] for x in (total, number)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket] * (len(sizes) + 1), pa.int32()), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+                    *(pa.array(x, pa.binary()) for x in answers), pa.array([None] * len(sizes) + [stats], pa.list_(pa.float64())),
+                ],
+                names=["bucket", "chunk", "n", "number", "stats"],
+            )
+
+    dealt = chunks.select("chunk", "word", "times").mapInArrow(deal, "bucket int, chunk long, word binary, times binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _WORDS)
 
-def _chunk_rows(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        row = batch.slice(i, 1)
-        word, token, n = (row.column(c).flatten().to_numpy() for c in ("word", "token", "n"))
-        yield row, word.view(np.uint64), token, n
 
+#: count and number of every word of the chunk, one more for the beginning; split: the histories dealt over several buckets.
+_NUMBERED = "chunk long, count binary, number binary, split array<long>, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items())
 
-_DEALT = "bucket int, chunk long, word array<long>, run array<int>, history array<long>, n array<int>"
 
+def _with_columns(df: DataFrame, bucket, types: dict[str, str]) -> DataFrame:
+    return df.select("chunk", bucket.alias("bucket"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
-def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
+def _numbered(chunks: DataFrame, words: DataFrame, buckets: int, deal: Deal) -> DataFrame:
+    types = {"word": "array<long>", **_TEXTS, "n_answer": "binary", "number": "binary"}
+    told = words.where("chunk is not null").withColumnRenamed("n", "n_answer")
 
-def _dealt(chunks: DataFrame, frequent, buckets: int) -> DataFrame:
-    """Pairs of every chunk by bucket, with their training counts in the chunk; equal words as runs."""
+    def run(batches):
+        for table in _runs_of(batches, "chunk"):
+            row = table.slice(0, 1)
+            word = _flat(row, "word").view(np.uint64)
+            order = np.argsort(_bucket_of(word, buckets), kind="stable")
+            count, number = np.empty(len(word) + 1, dtype=np.int64), np.empty(len(word) + 1, dtype=np.int64)
+            count[order], number[order] = _joined(table.column("n_answer")), _joined(table.column("number"))
+            # a text begins as often as one ends
+            ends = np.flatnonzero(word == _END)[0]
+            count[-1], number[-1] = count[ends], _BEGIN
+            split = (count >= deal.part) & ((count >= deal.least) | (number == _BEGIN))
+            split[ends] = False
+            yield pa.RecordBatch.from_arrays(
+                [
+                    row.column("chunk").combine_chunks(), pa.array([packed(count)], pa.binary()), pa.array([packed(number)], pa.binary()),
+                    _one(number[split], pa.int64()), *(row.column(c).combine_chunks() for c in _TEXTS),
+                ],
+                names=["chunk", "count", "number", "split", *_TEXTS],
+            )
+
+    both = _with_columns(chunks, F.lit(-1), types).unionByName(_with_columns(told, F.col("bucket"), types))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _NUMBERED)
+
+
+class Deal(NamedTuple):
+    """How pairs are dealt out: the least count of a history, the buckets, and the tokens of a history's part."""
+
+    least: int
+    buckets: int
+    part: int
+
+
+class Pairs:
+    """The distinct (history, word) pairs of a chunk, the pair of every token, and those with a history in the order they are dealt."""
+
+    def __init__(self, row: pa.Table, deal: Deal):
+        self.count, number = (unpacked(row.column(c)[0].as_py()) for c in ("count", "number"))
+        token, self.n = unpacked(row.column("token")[0].as_py()), _flat(row, "n")
+        history = np.empty(len(token), dtype=np.int64)
+        history[1:] = token[:-1]
+        history[np.cumsum(self.n) - self.n] = len(number) - 1
+        key, self.of = np.unique(token * len(number) + history, return_inverse=True)
+        self.word, self.history = key // len(number), key % len(number)
+        n_u = self.count[self.history]
+        dealt = np.flatnonzero(np.where(self.history == len(number) - 1, n_u > 0, n_u >= deal.least))
+        w, u = number[self.word[dealt]].view(np.uint64), number[self.history[dealt]].view(np.uint64)
+        parts = (n_u[dealt] // deal.part + 1).astype(np.uint64)
+        part = ((w * _MIX) ^ (w * _MIX >> np.uint64(32))) % parts
+        bucket = _bucket_of(u * _MIX2 + part, deal.buckets)
+        order = np.lexsort((w, u, bucket))
+        #: pairs as they are dealt, and their buckets
+        self.dealt, self.bucket = dealt[order], bucket[order]
+        u = u[order]
+        new = np.append(True, (self.bucket[1:] != self.bucket[:-1]) | (u[1:] != u[:-1])) if len(u) else np.empty(0, dtype=bool)
+        #: first pair of every run of one history in a bucket, its number and whether it is dealt over several buckets
+        self.first, self.run_of = np.flatnonzero(new), np.cumsum(new) - 1
+        self.run_number, self.run_split = u[self.first].view(np.int64), parts[order][self.first] > 1
+        self.dealt_word = number[self.word[self.dealt]]
+
+
+_DEALT = "bucket int, chunk long, run binary, length binary, word binary, times binary, below binary"
+
+
+def _dealt(numbered: DataFrame, deal: Deal) -> DataFrame:
+    """Pairs of every chunk by bucket, as runs of one history: the words, the pair's training count in the chunk and the word's
+    in the corpus. A run is twice the number of its history, one more if that is dealt over several buckets."""
 
     def run(batches):
         for batch in batches:
-            for row, word, token, n in _chunk_rows(batch):
-                p = Pairs(word, token, n, frequent.value, buckets)
-                learn = np.repeat(row.column("learn").flatten().to_numpy(zero_copy_only=False), n)
-                times = np.bincount(p.of, weights=learn, minlength=len(p.word)).astype(np.int32)
-                first_b, first_w = np.flatnonzero(p.new_bucket), np.flatnonzero(p.new_word)
-                cuts = np.append(first_b, len(p.word))
-                word_cuts = np.searchsorted(first_w, cuts)
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                p = Pairs(row, deal)
+                if not len(p.dealt):
+                    continue
+                learn = np.repeat(_flat(row, "learn"), p.n)
+                times = np.bincount(p.of, weights=learn, minlength=len(p.word)).astype(np.int64)[p.dealt]
+                below = p.count[p.word[p.dealt]]
+                cuts = _cuts(p.bucket)
+                runs = np.searchsorted(p.first, cuts)
+                length = np.diff(np.append(p.first, len(p.dealt)))
+                by_run = (p.run_number * 2 + p.run_split, length)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(p.bucket[first_b].astype(np.int32)), pa.array(np.full(len(first_b), row.column("chunk")[0].as_py())),
-                        _lists(p.word[first_w].view(np.int64), word_cuts, pa.int64()),
-                        _lists(np.diff(np.append(first_w, len(p.word))).astype(np.int32), word_cuts, pa.int32()),
-                        _lists(p.history.view(np.int64), cuts, pa.int64()), _lists(times, cuts, pa.int32()),
+                        pa.array(p.bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, row.column("chunk")[0].as_py())),
+                        *(pa.array([packed(x[a:b]) for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary()) for x in by_run),
+                        *(pa.array([packed(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (p.dealt_word, times, below)),
                     ],
-                    names=["bucket", "chunk", "word", "run", "history", "n"],
+                    names=["bucket", "chunk", "run", "length", "word", "times", "below"],
                 )
 
-    return chunks.mapInArrow(run, _DEALT)
-
-
-K = DISCOUNTED
-#: kind a: a chunk's answer (counts of its pairs and of its words in the bucket); u: sums of history a.
-_FOUND = "kind string, bucket int, a long, pairs array<int>, words array<int>, v array<double>"
-
-
-def _sums(count: np.ndarray, below: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
-    """Per history: types that occur 1, 2, ..., K + 1 times, the sum of the counts above K, and the same K and sum of the words below."""
-    out = [np.bincount(of[count == r], minlength=size) for r in range(1, K + 2)]
-    out.append(np.bincount(of[count > K], weights=count[count > K], minlength=size))
-    out += [np.bincount(of[below == r], minlength=size) for r in range(1, K + 1)]
-    out.append(np.bincount(of[below > K], weights=below[below > K], minlength=size))
-    return np.stack(out, axis=1).astype(np.float64)
-
-
-def _bucket(table: pa.Table, f: Frequent) -> pa.RecordBatch:
-    """The counts of one bucket: an answer to every chunk, and sums per history."""
-
-    def flat(name):
-        return table.column(name).combine_chunks().flatten().to_numpy()
-
-    def cuts(name):
-        return table.column(name).combine_chunks().offsets.to_numpy() - table.column(name).combine_chunks().offsets[0].as_py()
-
-    run = flat("run")
-    word = np.repeat(flat("word").view(np.uint64), run)
-    history = flat("history")
-    order = np.lexsort((history, word))
-    w, u, n = word[order], history[order], flat("n")[order]
-    new_w = np.append(True, w[1:] != w[:-1])
-    new_p = new_w | np.append(True, u[1:] != u[:-1])
-    pair_of, word_of = np.cumsum(new_p) - 1, np.cumsum(new_w) - 1
-    c_pair = np.bincount(pair_of, weights=n).astype(np.int64)
-    c_word = np.bincount(word_of, weights=n).astype(np.int64)
-    frequent = f.find(w[new_w])
-    if len(f.words):
-        c_word = np.where(frequent >= 0, f.counts[np.maximum(frequent, 0)], c_word)
-    back = np.empty(len(order), dtype=np.int64)
-    back[order] = np.arange(len(order))
-    pairs = c_pair[pair_of][back]
-    words = c_word[word_of][back][np.cumsum(run) - run]
-    answers = table.num_rows
-    types = c_pair > 0
-    owner, of = np.unique(u[new_p][types], return_inverse=True)
-    values = _sums(c_pair[types], c_word[word_of[new_p]][types], of, len(owner))
-    rest = len(owner)
-    width = values.shape[1]
-    offsets = np.append(np.zeros(answers, dtype=np.int64), np.arange(rest + 1) * width)
-    kinds, names = ["a"] * answers + ["u"] * rest, table.column("chunk").to_pylist() + owner.tolist()
-
-    def padded(numbers, offsets):
-        return _lists(numbers.astype(np.int32), np.append(offsets, np.full(rest, offsets[-1])), pa.int32())
-
+    return numbered.select("chunk", "count", "number", "token", "n", "learn").mapInArrow(run, _DEALT)
+
+
+#: kind a: an answer to chunk a; s: sums of history a, dealt over several buckets; c: types that occur 1, 2, ..., K + 1 times.
+_FOUND = "kind string, bucket int, a long, pairs binary, sums binary, v array<double>"
+#: Sums of a history: types that occur 1, ..., K times, the counts above K, and what its words hold as unigrams.
+WIDTH = K + 2
+
+
+def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
+    """The counts of one bucket: an answer to every chunk, and sums of histories that other buckets hold as well."""
+    sizes = [len(b) // 8 for b in table.column("word").to_pylist()]
+    run_sizes = [len(b) // 8 for b in table.column("run").to_pylist()]
+    run, word, n, below = (_joined(table.column(c)) for c in ("run", "word", "times", "below"))
+    history, run_of = np.unique(run, return_inverse=True)
+    u = np.repeat(run_of, _joined(table.column("length")))
+    order = np.lexsort((word, u))
+    w, u, n, below = word[order], u[order], n[order], below[order]
+    new = np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]))
+    pair_of = np.cumsum(new) - 1
+    count = np.bincount(pair_of, weights=n).astype(np.int64)
+    answer = np.empty(len(order), dtype=np.int64)
+    answer[order] = count[pair_of]
+    types = count > 0
+    of, c, c1 = u[new][types], count[types], below[new][types]
+    sums = np.empty((WIDTH, len(history)), dtype=np.float64)
+    for r in range(1, K + 1):
+        sums[r - 1] = np.bincount(of[c == r], minlength=len(history))
+    sums[K] = np.bincount(of, weights=np.where(c > K, c, 0), minlength=len(history))
+    sums[K + 1] = np.bincount(of, weights=c1 * d1[np.minimum(c1, K + 1)], minlength=len(history))
+    at, run_at = np.cumsum([0, *sizes]), np.cumsum([0, *run_sizes])
+    shared = np.flatnonzero(history & 1)
+    chunks, rest = table.num_rows, len(shared) + 1
+    classes = [float((c == r).sum()) for r in range(1, K + 2)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(kinds), pa.array(np.full(len(kinds), table.column("bucket")[0].as_py(), dtype=np.int32)), pa.array(names, pa.int64()),
-            padded(pairs, cuts("history")), padded(words, cuts("run")), _lists(values.ravel(), offsets, pa.float64()),
+            pa.array(["a"] * chunks + ["s"] * len(shared) + ["c"]), pa.array([table.column("bucket")[0].as_py()] * (chunks + rest), pa.int32()),
+            pa.array([*table.column("chunk").to_pylist(), *(history[shared] >> 1).tolist(), None], pa.int64()),
+            pa.array([packed(answer[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] + [None] * rest, pa.binary()),
+            pa.array([packed(sums[:, run_of[a:b]].T) for a, b in zip(run_at[:-1], run_at[1:], strict=True)] + [None] * rest, pa.binary()),
+            pa.array([None] * chunks + sums[:, shared].T.tolist() + [classes], pa.list_(pa.float64())),
         ],
-        names=["kind", "bucket", "a", "pairs", "words", "v"],
+        names=["kind", "bucket", "a", "pairs", "sums", "v"],
     )
 
 
-def _counted(dealt: DataFrame, frequent) -> DataFrame:
+def _counted(dealt: DataFrame, d1: np.ndarray) -> DataFrame:
     def run(batches):
-        for table, starts in complete_runs(batches, ["bucket"]):
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                yield _bucket(table.slice(a, b - a).combine_chunks(), frequent.value)
+        for table in _runs_of(batches, "bucket"):
+            yield _bucket(table, d1)
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 class Model:
-    """Everything a chunk needs beside its counts."""
+    """Everything a chunk needs beside its counts; ``d1`` and ``d2`` are the discounts of the counts 1 to K."""
 
     def __init__(self, d1: list[float], d2: list[float], total: int, types: int, unknown: float):
+        self.kept = np.array([(r + 1) * d for r, d in enumerate(d2)])
         self.d1, self.d2 = (np.log10(np.array([1.0, *d, 1.0])) for d in (d1, d2))
         self.total, self.types, self.unknown = total, types, unknown
 
+    def weight(self, times: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """log10 of the backoff weight of histories that occur ``times`` times: what their seen words leave, over what these
+        leave as unigrams."""
+        kept = sums[:, :K] @ self.kept + sums[:, K]
+        return np.log10((1 - kept / (times + 1)) / (1 - sums[:, K + 1] / (self.total + 1)))
+
     def scores(self, c_history, weight, c_pair, c_word) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of each pair, and its part of the base score; the count of what is no history is 0."""
         known = c_word > 0
@@ -279,55 +387,58 @@ class Model:
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-#: Place of the answer on histories behind those of all buckets.
+#: Place of the sums of shared histories behind the answers of all buckets.
 _LAST = 2**31 - 1
 
 
-def _scored(chunks: DataFrame, counted: DataFrame, weights: DataFrame, frequent, model, buckets: int) -> DataFrame:
-    """Scores of the texts of every chunk, whose answers come to it in the order of the buckets, the histories last."""
-    types = {
-        "word": "array<long>", "token": "array<int>", "n": "array<int>", "doc_id": "array<long>", "pairs": "array<int>", "words": "array<int>",
-        "history": "array<long>", "times": "array<long>", "weight": "array<double>",
-    }
+def _shared(numbered: DataFrame, counted: DataFrame) -> DataFrame:
+    """(chunk, history, v): the whole sums of every history of a chunk that is dealt over several buckets."""
+    sums = [F.sum(F.col("v")[i]) for i in range(WIDTH)]
+    whole = saved(counted.where("kind = 's'").groupBy(F.col("a").alias("history")).agg(F.array(*sums).alias("v")), "histories")
+    asked = numbered.select("chunk", F.explode("split").alias("history"))
+    if whole.count() <= SENT_ROWS:
+        return asked.join(F.broadcast(whole), "history")
+    salted = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return asked.withColumn("salt", F.pmod("chunk", F.lit(SALT)).cast("int")).join(salted, ["history", "salt"]).drop("salt")
 
-    def row(df, bucket, **columns):
-        return df.select(bucket.alias("bucket"), "chunk", *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
-    asked = row(chunks, F.lit(-1), **{c: F.col(c) for c in ("word", "token", "n", "doc_id")})
-    told = row(counted.where("kind = 'a'").withColumn("chunk", F.col("a")), F.col("bucket"), pairs=F.col("pairs"), words=F.col("words"))
-    needed = chunks.select("chunk", F.explode(F.concat("word", F.array(F.lit(int(_BEGIN)).cast("long")))).alias("history"))
-    known = needed.join(weights, "history").groupBy("chunk").agg(F.collect_list(F.struct("history", "times", "weight")).alias("h"))
-    behind = row(known, F.lit(_LAST), **{c: F.col(f"h.{c}") for c in ("history", "times", "weight")})
+def _scored(numbered: DataFrame, counted: DataFrame, model: Model, deal: Deal) -> DataFrame:
+    """Scores of the texts of every chunk, whose answers come to it in the order of the buckets, shared histories last."""
+    types = {
+        **{c: t for c, t in _TEXTS.items() if c != "learn"}, "count": "binary", "number": "binary",
+        "pairs": "binary", "sums": "binary", "history": "long", "v": "array<double>",
+    }
+    told = counted.where("kind = 'a'").select(F.col("a").alias("chunk"), "bucket", "pairs", "sums")
+    rows = [
+        _with_columns(numbered, F.lit(-1), types), _with_columns(told, F.col("bucket"), types),
+        _with_columns(_shared(numbered, counted), F.lit(_LAST), types),
+    ]
 
     def run(batches):
-        f, m = frequent.value, model.value
-        for table, starts in complete_runs(batches, ["chunk"]):
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                (row, word, token, n), = _chunk_rows(table.slice(a, 1).combine_chunks().to_batches()[0])
-                p = Pairs(word, token, n, f, buckets)
-                answers = table.slice(a + 1, b - a - 1)
-                c_pair = answers.column("pairs").combine_chunks().flatten().to_numpy().astype(np.int64)
-                words = answers.column("words").combine_chunks().flatten().to_numpy().astype(np.int64)
-                c_word = words[np.cumsum(p.new_word) - 1]
-                names = answers.column("history").combine_chunks().flatten().to_numpy().view(np.uint64)
-                times, weight = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("times", "weight"))
-                order = np.argsort(names)
-                at = order[np.minimum(np.searchsorted(names, p.history, sorter=order), len(order) - 1)] if len(order) else np.zeros(len(p.history), dtype=np.int64)
-                held = names[at] == p.history if len(order) else np.zeros(len(p.history), dtype=bool)
-                times, weight = (np.where(held, x[at], 0) if len(order) else np.zeros(len(held)) for x in (times, weight))
-                katz, base = m.scores(times, weight, c_pair, c_word)
-                at = np.cumsum(n) - n
-                sums = [np.add.reduceat(x[p.of], at) for x in ((c_word > 0).astype(np.int64), base, katz)]
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("doc_id").flatten(), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
-                )
-
-    return asked.unionByName(told).unionByName(behind).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
-
-
-def _added(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size)]
-    return df.groupBy(*keys).agg(*sums)
+        for table in _runs_of(batches, "chunk"):
+            row = table.slice(0, 1)
+            p = Pairs(row, deal)
+            c_pair, c_history, weight = (np.zeros(len(p.word), dtype=t) for t in (np.int64, np.int64, np.float64))
+            if len(p.dealt):
+                c_pair[p.dealt] = _joined(table.column("pairs"))
+                c_history[p.dealt] = p.count[p.history[p.dealt]]
+                sums = _joined(table.column("sums"), np.float64).reshape(-1, WIDTH)
+                if p.run_split.any():
+                    behind = table.filter(pc.is_valid(table.column("history")))
+                    whole = dict(zip(behind.column("history").to_pylist(), behind.column("v").to_pylist(), strict=True))
+                    sums[p.run_split] = [whole[h] for h in p.run_number[p.run_split].tolist()]
+                weight[p.dealt] = model.weight(c_history[p.dealt][p.first], sums)[p.run_of]
+            c_word = p.count[p.word]
+            katz, base = model.scores(c_history, weight, c_pair, c_word)
+            at = np.cumsum(p.n) - p.n
+            added = [np.add.reduceat(x[p.of], at) for x in ((c_word > 0).astype(np.int64), base, katz)]
+            yield pa.RecordBatch.from_arrays(
+                [row.column("doc_id").combine_chunks().flatten(), pa.array(p.n.astype(np.int64)), *map(pa.array, added)],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return every.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
 
 
 def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFrame:
@@ -339,34 +450,20 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     repeated rows (and count as often); a null doc_id is learnt from; other columns play no part; an empty table gives no
     rows. A pair of words costs one entry per chunk in its bucket, however often it occurs.
     """
-    spark = documents.sparkSession
     docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
-    chunks = saved(chunked(docs), "chunks")
-    words = saved(unigrams(chunks), "unigrams")
-    classes = [F.count(F.when(F.col("n") == r, 1)) for r in range(1, K + 2)]
-    total, types, *c1 = words.agg(F.sum("n"), F.count(F.lit(1)), *classes).first()
-    total = total or 0
-    tokens = chunks.agg(F.sum(F.size("token"))).first()[0] or 0
-    found = words.where(F.col("n") >= math.ceil(max(1, total * FREQUENT_SHARE))).where(F.col("word") != int(_END)).collect()
-    frequent, buckets = spark.sparkContext.broadcast(Frequent([(r["word"], r["n"]) for r in found])), max(8, tokens // BUCKET_TOKENS)
-    counted = saved(_counted(_dealt(chunks, frequent, buckets), frequent), "counts")
-    least = math.ceil(max(1, total * history_share))
-    histories = words.where(F.col("word") != int(_END)).where(F.col("n") >= least)
-    begin = words.where(F.col("word") == int(_END)).select(F.lit(int(_BEGIN)).cast("long").alias("history"), F.col("n").alias("times"))
-    histories = histories.select(F.col("word").alias("history"), F.col("n").alias("times")).unionByName(begin)
-    sums = _added(counted.where("kind = 'u'").withColumnRenamed("a", "history"), ["history"], 2 * K + 3)
-    behind = saved(histories.join(sums, "history"), "histories")
-    c2 = behind.agg(*[F.sum(f"s{i}") for i in range(K + 1)]).first()
+    chunks = saved(chunked(docs, CHUNK_BYTES), "chunks")
+    tokens, entries = chunks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")), F.sum(F.size("word").cast("long"))).first()
+    word_buckets = max(8, (entries or 0) // BUCKET_TOKENS)
+    words = saved(_words(chunks, word_buckets), "words")
+    total, types, *c1 = (int(x or 0) for x in words.agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first())
     d1 = discounts([float(x) for x in c1])
-    d2 = discounts([float(x or 0) for x in c2])
     mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
-    # backoff weight of each history: what its seen words leave, over what they leave as unigrams
-    kept = sum((F.col(f"s{i}") * float((i + 1) * d2[i]) for i in range(K)), F.col(f"s{K + 1}"))
-    kept_below = sum((F.col(f"s{K + 2 + i}") * float((i + 1) * d1[i]) for i in range(K)), F.col(f"s{2 * K + 2}"))
-    weight = F.log10((1 - kept / (F.col("times") + 1)) / (1 - kept_below / (total + 1)))
-    model = spark.sparkContext.broadcast(Model(d1, d2, total, types, 1 - mass))
-    weights = behind.select("history", F.col("times").cast("long").alias("times"), weight.alias("weight"))
-    scored = _scored(chunks, counted, weights, frequent, model, buckets)
+    deal = Deal(math.ceil(max(1, total * history_share)), max(8, (tokens or 0) // BUCKET_TOKENS), SPLIT_TOKENS)
+    numbered = saved(_numbered(chunks, words, word_buckets, deal), "numbered")
+    counted = saved(_counted(_dealt(numbered, deal), np.array([0.0, *d1, 1.0])), "counts")
+    c2 = counted.where("kind = 'c'").agg(*[F.sum(F.col("v")[i]) for i in range(K + 1)]).first()
+    model = Model(d1, discounts([float(x or 0) for x in c2]), total, types, 1 - mass)
+    scored = _scored(numbered, counted, model, deal)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
