@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +89,23 @@ def _batched(batch: pa.RecordBatch, size: int):
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers of eight bytes as planes: all lowest bytes, then all second ones and so on."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers of eight bytes, compressed as planes: all lowest bytes, then all second ones and so on, without the planes above
+    that are zero throughout. In front: the number of planes (one at least) and of values."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    width = int(max(np.flatnonzero(planes.any(axis=1)), default=0)) + 1
+    return struct.pack("<BQ", width, planes.shape[1]) + zstandard.compress(planes[:width].tobytes(), 3)
+
+
+def entries(data: bytes) -> int:
+    return struct.unpack_from("<BQ", data)[1]
 
 
 def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+    width, size = struct.unpack_from("<BQ", data)
+    out = np.zeros((size, 8), dtype=np.uint8)
+    if size:
+        out[:, :width] = np.frombuffer(zstandard.decompress(data[9:]), dtype=np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
 
 
 def _joined(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
@@ -184,7 +197,7 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for table in _runs_of(batches, "bucket"):
             bucket = table.column("bucket")[0].as_py()
-            sizes = [len(b) // 8 for b in table.column("word").to_pylist()]
+            sizes = [entries(b) for b in table.column("word").to_pylist()]
             word, of = np.unique(_joined(table.column("word"), np.uint64), return_inverse=True)
             total = np.bincount(of, weights=_joined(table.column("times"))).astype(np.int64)
             rank = np.empty(len(word), dtype=np.int64)
@@ -318,8 +331,8 @@ WIDTH = K + 2
 
 def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
     """The counts of one bucket: an answer to every chunk, and sums of histories that other buckets hold as well."""
-    sizes = [len(b) // 8 for b in table.column("word").to_pylist()]
-    run_sizes = [len(b) // 8 for b in table.column("run").to_pylist()]
+    sizes = [entries(b) for b in table.column("word").to_pylist()]
+    run_sizes = [entries(b) for b in table.column("run").to_pylist()]
     run, word, n, below = (_joined(table.column(c)) for c in ("run", "word", "times", "below"))
     history, run_of = np.unique(run, return_inverse=True)
     u = np.repeat(run_of, _joined(table.column("length")))
@@ -452,8 +465,8 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     """
     docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
     chunks = saved(chunked(docs, CHUNK_BYTES), "chunks")
-    tokens, entries = chunks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")), F.sum(F.size("word").cast("long"))).first()
-    word_buckets = max(8, (entries or 0) // BUCKET_TOKENS)
+    tokens, distinct = chunks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")), F.sum(F.size("word").cast("long"))).first()
+    word_buckets = max(8, (distinct or 0) // BUCKET_TOKENS)
     words = saved(_words(chunks, word_buckets), "words")
     total, types, *c1 = (int(x or 0) for x in words.agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first())
     d1 = discounts([float(x) for x in c1])
