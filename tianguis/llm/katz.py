@@ -37,12 +37,13 @@ HISTORY_SHARE = 0.0
 DISCOUNTED = 5
 #: Tokens of a bucket, and bytes of text whose tokens are counted together before they are dealt out.
 BUCKET_TOKENS = 500_000
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 6_000_000
 #: A history is dealt over one bucket more for every so many of its tokens, each part by the words behind it.
 SPLIT_TOKENS = 125_000
 #: Shares into which rows are salted that meet a table of histories too large to be sent.
 SALT = 32
-_END = np.uint64(0xE0D)
+#: Hash of the end of a text, smaller than that of any word.
+_END = np.uint64(0)
 #: Number of the history of the first token of a text; words are numbered from 1.
 _BEGIN = 0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ def _tokens(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]
     n = words.ends_of - words.starts_of
     doc = np.repeat(np.arange(len(texts)), n)
     tokens = np.empty(len(words.hash) + len(texts), dtype=np.uint64)
-    tokens[np.arange(len(doc)) + doc] = words.hash
+    tokens[np.arange(len(doc)) + doc] = np.maximum(words.hash, np.uint64(1))
     tokens[words.ends_of + np.arange(len(texts))] = _END
     return tokens, np.repeat(np.arange(len(texts)), n + 1)
 
@@ -119,17 +120,22 @@ def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def _range_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of word hashes by equal ranges, so that sorted hashes have sorted buckets."""
+    return ((hashes >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
+
+
 def _one(values, kind) -> pa.ListArray:
     return pa.array([values], pa.list_(kind))
 
 
-_TEXTS = {"token": "binary", "n": "array<int>", "doc_id": "array<long>", "learn": "array<boolean>"}
-_CHUNKS = "chunk long, word array<long>, times binary, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items())
+_TEXTS = {"place": "binary", "token": "binary", "n": "array<int>", "doc_id": "array<long>", "learn": "array<boolean>"}
+_CHUNKS = "chunk long, words long, word binary, times binary, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items())
 
 
 def chunked(documents: DataFrame, size: int) -> DataFrame:
-    """Chunks of texts: distinct word hashes, the most frequent first, with their training counts, the tokens as numbers of
-    them, and the texts."""
+    """Chunks of texts: sorted hashes of their distinct words with the training counts, tokens as ranks of words (the most frequent
+    first), the place of each rank among the sorted words, and the texts."""
 
     def run(batches):
         powers = Powers()
@@ -137,19 +143,19 @@ def chunked(documents: DataFrame, size: int) -> DataFrame:
             for data, rows in _batched(batch, size):
                 tokens, doc = _tokens(data, powers)
                 word, index, often = np.unique(tokens, return_inverse=True, return_counts=True)
-                order = np.argsort(-often, kind="stable")
-                place = np.empty(len(order), dtype=np.int64)
-                place[order] = np.arange(len(order))
-                word, index = word[order], place[index]
                 learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
                 times = np.bincount(index, weights=learn[doc], minlength=len(word)).astype(np.int64)
+                place = np.argsort(-often, kind="stable")
+                rank = np.empty(len(place), dtype=np.int64)
+                rank[place] = np.arange(len(place))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), _one(word.view(np.int64), pa.int64()), pa.array([packed(times)], pa.binary()),
-                        pa.array([packed(index)], pa.binary()), _one(np.bincount(doc, minlength=len(data)).astype(np.int32), pa.int32()),
+                        pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()), pa.array([len(word)], pa.int64()),
+                        *(pa.array([packed(x)], pa.binary()) for x in (word, times, place, rank[index])),
+                        _one(np.bincount(doc, minlength=len(data)).astype(np.int32), pa.int32()),
                         pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), _one(learn, pa.bool_()),
                     ],
-                    names=["chunk", "word", "times", *_TEXTS],
+                    names=["chunk", "words", "word", "times", *_TEXTS],
                 )
 
     return documents.mapInArrow(run, _CHUNKS)
@@ -172,24 +178,24 @@ def _cuts(sorted_buckets: np.ndarray) -> np.ndarray:
 
 
 K = DISCOUNTED
-_WORDS = "bucket int, chunk long, n binary, number binary, stats array<double>"
+_WORDS = "bucket int, chunk long, n binary, number binary, tie binary, stats array<double>"
 
 
 def _words(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Answers to every chunk on its words: their training counts in the corpus and their numbers; a row of sums per bucket."""
+    """Answers to every chunk on its words: their training counts in the corpus, their numbers, and their places among words of
+    the same count, which with the count name a word as well; a row of sums per bucket."""
 
     def deal(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                word, times = row.column("word").flatten().to_numpy().view(np.uint64), unpacked(row.column("times")[0].as_py())
-                bucket = _bucket_of(word, buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = _cuts(bucket[order])
+                word, times = unpacked(row.column("word")[0].as_py(), np.uint64), unpacked(row.column("times")[0].as_py())
+                bucket = _range_of(word, buckets)
+                cuts = _cuts(bucket)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bucket[order][cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, row.column("chunk")[0].as_py())),
-                        *(pa.array([packed(x[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (word, times)),
+                        pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, row.column("chunk")[0].as_py())),
+                        *(pa.array([packed(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (word, times)),
                     ],
                     names=["bucket", "chunk", "word", "times"],
                 )
@@ -200,54 +206,54 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
             sizes = [entries(b) for b in table.column("word").to_pylist()]
             word, of = np.unique(_joined(table.column("word"), np.uint64), return_inverse=True)
             total = np.bincount(of, weights=_joined(table.column("times"))).astype(np.int64)
+            order = np.lexsort((word, -total))
             rank = np.empty(len(word), dtype=np.int64)
-            rank[np.lexsort((word, -total))] = np.arange(len(word))
+            rank[order] = np.arange(len(word))
             number = rank * buckets + bucket + 1
+            tie = (rank - np.searchsorted(-total[order], -total)) * buckets + bucket
             at = np.cumsum([0, *sizes])
             stats = [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))]
-            answers = [[packed(x[of[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)] + [None] for x in (total, number)]
+            answers = [[packed(x[of[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)] + [None] for x in (total, number, tie)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([bucket] * (len(sizes) + 1), pa.int32()), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
                     *(pa.array(x, pa.binary()) for x in answers), pa.array([None] * len(sizes) + [stats], pa.list_(pa.float64())),
                 ],
-                names=["bucket", "chunk", "n", "number", "stats"],
+                names=["bucket", "chunk", "n", "number", "tie", "stats"],
             )
 
     dealt = chunks.select("chunk", "word", "times").mapInArrow(deal, "bucket int, chunk long, word binary, times binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _WORDS)
 
 
-#: count and number of every word of the chunk, one more for the beginning; split: the histories dealt over several buckets.
-_NUMBERED = "chunk long, count binary, number binary, split array<long>, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items())
+#: count, number and tie of every word of the chunk, one more for the beginning; split: the histories dealt over several buckets.
+_NUMBERED = "chunk long, count binary, number binary, tie binary, split array<long>, " + ", ".join(f"{c} {t}" for c, t in _TEXTS.items() if c != "place")
 
 
 def _with_columns(df: DataFrame, bucket, types: dict[str, str]) -> DataFrame:
     return df.select("chunk", bucket.alias("bucket"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-def _numbered(chunks: DataFrame, words: DataFrame, buckets: int, deal: Deal) -> DataFrame:
-    types = {"word": "array<long>", **_TEXTS, "n_answer": "binary", "number": "binary"}
+def _numbered(chunks: DataFrame, words: DataFrame, deal: Deal) -> DataFrame:
+    types = {**_TEXTS, "n_answer": "binary", "number": "binary", "tie": "binary"}
     told = words.where("chunk is not null").withColumnRenamed("n", "n_answer")
 
     def run(batches):
         for table in _runs_of(batches, "chunk"):
             row = table.slice(0, 1)
-            word = _flat(row, "word").view(np.uint64)
-            order = np.argsort(_bucket_of(word, buckets), kind="stable")
-            count, number = np.empty(len(word) + 1, dtype=np.int64), np.empty(len(word) + 1, dtype=np.int64)
-            count[order], number[order] = _joined(table.column("n_answer")), _joined(table.column("number"))
-            # a text begins as often as one ends
-            ends = np.flatnonzero(word == _END)[0]
+            place = unpacked(row.column("place")[0].as_py())
+            count, number, tie = (np.append(_joined(table.column(c))[place], 0) for c in ("n_answer", "number", "tie"))
+            # the end has the smallest hash; a text begins as often as one ends
+            ends = np.flatnonzero(place == 0)[0]
             count[-1], number[-1] = count[ends], _BEGIN
             split = (count >= deal.part) & ((count >= deal.least) | (number == _BEGIN))
             split[ends] = False
             yield pa.RecordBatch.from_arrays(
                 [
-                    row.column("chunk").combine_chunks(), pa.array([packed(count)], pa.binary()), pa.array([packed(number)], pa.binary()),
-                    _one(number[split], pa.int64()), *(row.column(c).combine_chunks() for c in _TEXTS),
+                    row.column("chunk").combine_chunks(), *(pa.array([packed(x)], pa.binary()) for x in (count, number, tie)),
+                    _one(number[split], pa.int64()), *(row.column(c).combine_chunks() for c in _TEXTS if c != "place"),
                 ],
-                names=["chunk", "count", "number", "split", *_TEXTS],
+                names=["chunk", "count", "number", "tie", "split", *list(_TEXTS)[1:]],
             )
 
     both = _with_columns(chunks, F.lit(-1), types).unionByName(_with_columns(told, F.col("bucket"), types))
@@ -287,15 +293,14 @@ class Pairs:
         #: first pair of every run of one history in a bucket, its number and whether it is dealt over several buckets
         self.first, self.run_of = np.flatnonzero(new), np.cumsum(new) - 1
         self.run_number, self.run_split = u[self.first].view(np.int64), parts[order][self.first] > 1
-        self.dealt_word = number[self.word[self.dealt]]
 
 
-_DEALT = "bucket int, chunk long, run binary, length binary, word binary, times binary, below binary"
+_DEALT = "bucket int, chunk long, run binary, length binary, tie binary, times binary, below binary"
 
 
 def _dealt(numbered: DataFrame, deal: Deal) -> DataFrame:
-    """Pairs of every chunk by bucket, as runs of one history: the words, the pair's training count in the chunk and the word's
-    in the corpus. A run is twice the number of its history, one more if that is dealt over several buckets."""
+    """Pairs of every chunk by bucket, as runs of one history: the words by their counts in the corpus and ties, and the pair's
+    training count in the chunk. A run is twice the number of its history, one more if that is dealt over several buckets."""
 
     def run(batches):
         for batch in batches:
@@ -306,7 +311,8 @@ def _dealt(numbered: DataFrame, deal: Deal) -> DataFrame:
                     continue
                 learn = np.repeat(_flat(row, "learn"), p.n)
                 times = np.bincount(p.of, weights=learn, minlength=len(p.word)).astype(np.int64)[p.dealt]
-                below = p.count[p.word[p.dealt]]
+                word = p.word[p.dealt]
+                below, tie = p.count[word], unpacked(row.column("tie")[0].as_py())[word]
                 cuts = _cuts(p.bucket)
                 runs = np.searchsorted(p.first, cuts)
                 length = np.diff(np.append(p.first, len(p.dealt)))
@@ -315,12 +321,12 @@ def _dealt(numbered: DataFrame, deal: Deal) -> DataFrame:
                     [
                         pa.array(p.bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, row.column("chunk")[0].as_py())),
                         *(pa.array([packed(x[a:b]) for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary()) for x in by_run),
-                        *(pa.array([packed(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (p.dealt_word, times, below)),
+                        *(pa.array([packed(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (tie, times, below)),
                     ],
-                    names=["bucket", "chunk", "run", "length", "word", "times", "below"],
+                    names=["bucket", "chunk", "run", "length", "tie", "times", "below"],
                 )
 
-    return numbered.select("chunk", "count", "number", "token", "n", "learn").mapInArrow(run, _DEALT)
+    return numbered.select("chunk", "count", "number", "tie", "token", "n", "learn").mapInArrow(run, _DEALT)
 
 
 #: kind a: an answer to chunk a; s: sums of history a, dealt over several buckets; c: types that occur 1, 2, ..., K + 1 times.
@@ -331,14 +337,14 @@ WIDTH = K + 2
 
 def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
     """The counts of one bucket: an answer to every chunk, and sums of histories that other buckets hold as well."""
-    sizes = [entries(b) for b in table.column("word").to_pylist()]
+    sizes = [entries(b) for b in table.column("tie").to_pylist()]
     run_sizes = [entries(b) for b in table.column("run").to_pylist()]
-    run, word, n, below = (_joined(table.column(c)) for c in ("run", "word", "times", "below"))
+    run, tie, n, below = (_joined(table.column(c)) for c in ("run", "tie", "times", "below"))
     history, run_of = np.unique(run, return_inverse=True)
     u = np.repeat(run_of, _joined(table.column("length")))
-    order = np.lexsort((word, u))
-    w, u, n, below = word[order], u[order], n[order], below[order]
-    new = np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]))
+    order = np.lexsort((tie, below, u))
+    tie, u, n, below = tie[order], u[order], n[order], below[order]
+    new = np.append(True, (tie[1:] != tie[:-1]) | (below[1:] != below[:-1]) | (u[1:] != u[:-1]))
     pair_of = np.cumsum(new) - 1
     count = np.bincount(pair_of, weights=n).astype(np.int64)
     answer = np.empty(len(order), dtype=np.int64)
@@ -418,7 +424,7 @@ def _shared(numbered: DataFrame, counted: DataFrame) -> DataFrame:
 def _scored(numbered: DataFrame, counted: DataFrame, model: Model, deal: Deal) -> DataFrame:
     """Scores of the texts of every chunk, whose answers come to it in the order of the buckets, shared histories last."""
     types = {
-        **{c: t for c, t in _TEXTS.items() if c != "learn"}, "count": "binary", "number": "binary",
+        **{c: t for c, t in _TEXTS.items() if c not in ("place", "learn")}, "count": "binary", "number": "binary",
         "pairs": "binary", "sums": "binary", "history": "long", "v": "array<double>",
     }
     told = counted.where("kind = 'a'").select(F.col("a").alias("chunk"), "bucket", "pairs", "sums")
@@ -465,14 +471,14 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     """
     docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
     chunks = saved(chunked(docs, CHUNK_BYTES), "chunks")
-    tokens, distinct = chunks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")), F.sum(F.size("word").cast("long"))).first()
+    tokens, distinct = chunks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")), F.sum("words")).first()
     word_buckets = max(8, (distinct or 0) // BUCKET_TOKENS)
     words = saved(_words(chunks, word_buckets), "words")
     total, types, *c1 = (int(x or 0) for x in words.agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first())
     d1 = discounts([float(x) for x in c1])
     mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
     deal = Deal(math.ceil(max(1, total * history_share)), max(8, (tokens or 0) // BUCKET_TOKENS), SPLIT_TOKENS)
-    numbered = saved(_numbered(chunks, words, word_buckets, deal), "numbered")
+    numbered = saved(_numbered(chunks, words, deal), "numbered")
     counted = saved(_counted(_dealt(numbered, deal), np.array([0.0, *d1, 1.0])), "counts")
     c2 = counted.where("kind = 'c'").agg(*[F.sum(F.col("v")[i]) for i in range(K + 1)]).first()
     model = Model(d1, discounts([float(x or 0) for x in c2]), total, types, 1 - mass)
