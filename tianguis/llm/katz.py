@@ -331,11 +331,11 @@ def _dealt(numbered: DataFrame, deal: Deal) -> DataFrame:
 
 #: kind a: an answer to chunk a; s: sums of history a, dealt over several buckets; c: types that occur 1, 2, ..., K + 1 times.
 _FOUND = "kind string, bucket int, a long, pairs binary, sums binary, v array<double>"
-#: Sums of a history: types that occur 1, ..., K times, the counts above K, and what its words hold as unigrams.
-WIDTH = K + 2
+#: Sums of a history: types that occur 1, ..., K times and the counts above K; the same by the counts of its words alone.
+WIDTH = 2 * K + 2
 
 
-def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
+def _bucket(table: pa.Table) -> pa.RecordBatch:
     """The counts of one bucket: an answer to every chunk, and sums of histories that other buckets hold as well."""
     sizes = [entries(b) for b in table.column("tie").to_pylist()]
     run_sizes = [entries(b) for b in table.column("run").to_pylist()]
@@ -351,11 +351,11 @@ def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
     answer[order] = count[pair_of]
     types = count > 0
     of, c, c1 = u[new][types], count[types], below[new][types]
-    sums = np.empty((WIDTH, len(history)), dtype=np.float64)
-    for r in range(1, K + 1):
-        sums[r - 1] = np.bincount(of[c == r], minlength=len(history))
-    sums[K] = np.bincount(of, weights=np.where(c > K, c, 0), minlength=len(history))
-    sums[K + 1] = np.bincount(of, weights=c1 * d1[np.minimum(c1, K + 1)], minlength=len(history))
+    sums = np.empty((WIDTH, len(history)), dtype=np.int64)
+    for at, counts in ((0, c), (K + 1, c1)):
+        for r in range(1, K + 1):
+            sums[at + r - 1] = np.bincount(of[counts == r], minlength=len(history))
+        sums[at + K] = np.bincount(of, weights=np.where(counts > K, counts, 0), minlength=len(history))
     at, run_at = np.cumsum([0, *sizes]), np.cumsum([0, *run_sizes])
     shared = np.flatnonzero(history & 1)
     chunks, rest = table.num_rows, len(shared) + 1
@@ -365,17 +365,17 @@ def _bucket(table: pa.Table, d1: np.ndarray) -> pa.RecordBatch:
             pa.array(["a"] * chunks + ["s"] * len(shared) + ["c"]), pa.array([table.column("bucket")[0].as_py()] * (chunks + rest), pa.int32()),
             pa.array([*table.column("chunk").to_pylist(), *(history[shared] >> 1).tolist(), None], pa.int64()),
             pa.array([packed(answer[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] + [None] * rest, pa.binary()),
-            pa.array([packed(sums[:, run_of[a:b]].T) for a, b in zip(run_at[:-1], run_at[1:], strict=True)] + [None] * rest, pa.binary()),
-            pa.array([None] * chunks + sums[:, shared].T.tolist() + [classes], pa.list_(pa.float64())),
+            pa.array([packed(sums[:, run_of[a:b]]) for a, b in zip(run_at[:-1], run_at[1:], strict=True)] + [None] * rest, pa.binary()),
+            pa.array([None] * chunks + sums[:, shared].T.astype(np.float64).tolist() + [classes], pa.list_(pa.float64())),
         ],
         names=["kind", "bucket", "a", "pairs", "sums", "v"],
     )
 
 
-def _counted(dealt: DataFrame, d1: np.ndarray) -> DataFrame:
+def _counted(dealt: DataFrame) -> DataFrame:
     def run(batches):
         for table in _runs_of(batches, "bucket"):
-            yield _bucket(table, d1)
+            yield _bucket(table)
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
@@ -384,15 +384,15 @@ class Model:
     """Everything a chunk needs beside its counts; ``d1`` and ``d2`` are the discounts of the counts 1 to K."""
 
     def __init__(self, d1: list[float], d2: list[float], total: int, types: int, unknown: float):
-        self.kept = np.array([(r + 1) * d for r, d in enumerate(d2)])
+        self.kept, self.kept_below = (np.array([*((r + 1) * x for r, x in enumerate(d)), 1.0]) for d in (d2, d1))
         self.d1, self.d2 = (np.log10(np.array([1.0, *d, 1.0])) for d in (d1, d2))
         self.total, self.types, self.unknown = total, types, unknown
 
     def weight(self, times: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """log10 of the backoff weight of histories that occur ``times`` times: what their seen words leave, over what these
         leave as unigrams."""
-        kept = sums[:, :K] @ self.kept + sums[:, K]
-        return np.log10((1 - kept / (times + 1)) / (1 - sums[:, K + 1] / (self.total + 1)))
+        kept, below = sums[:, : K + 1] @ self.kept, sums[:, K + 1 :] @ self.kept_below
+        return np.log10((1 - kept / (times + 1)) / (1 - below / (self.total + 1)))
 
     def scores(self, c_history, weight, c_pair, c_word) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of each pair, and its part of the base score; the count of what is no history is 0."""
@@ -441,7 +441,7 @@ def _scored(numbered: DataFrame, counted: DataFrame, model: Model, deal: Deal) -
             if len(p.dealt):
                 c_pair[p.dealt] = _joined(table.column("pairs"))
                 c_history[p.dealt] = p.count[p.history[p.dealt]]
-                sums = _joined(table.column("sums"), np.float64).reshape(-1, WIDTH)
+                sums = np.concatenate([unpacked(b).reshape(WIDTH, -1) for b in table.column("sums").to_pylist() if b is not None], axis=1).T
                 if p.run_split.any():
                     behind = table.filter(pc.is_valid(table.column("history")))
                     whole = dict(zip(behind.column("history").to_pylist(), behind.column("v").to_pylist(), strict=True))
@@ -479,7 +479,7 @@ def scores(documents: DataFrame, history_share: float = HISTORY_SHARE) -> DataFr
     mass = (sum(r * d * n for r, d, n in zip(range(1, K + 1), d1, c1)) + total - sum(r * n for r, n in zip(range(1, K + 1), c1))) / (total + 1)
     deal = Deal(math.ceil(max(1, total * history_share)), max(8, (tokens or 0) // BUCKET_TOKENS), SPLIT_TOKENS)
     numbered = saved(_numbered(chunks, words, deal), "numbered")
-    counted = saved(_counted(_dealt(numbered, deal), np.array([0.0, *d1, 1.0])), "counts")
+    counted = saved(_counted(_dealt(numbered, deal)), "counts")
     c2 = counted.where("kind = 'c'").agg(*[F.sum(F.col("v")[i]) for i in range(K + 1)]).first()
     model = Model(d1, discounts([float(x or 0) for x in c2]), total, types, 1 - mass)
     scored = _scored(numbered, counted, model, deal)
