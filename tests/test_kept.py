@@ -94,3 +94,29 @@ def test_only_touched_buckets_are_scanned(spark, tmp_path):
     text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     partitions = next(line for line in text.splitlines() if "PartitionFilters" in line)
     assert f"{buckets.BUCKET}" in partitions and 0 < df.count() < 200
+
+
+def test_a_micro_batch_has_files_by_the_size_of_its_table(spark, tmp_path, monkeypatch):
+    """A table of many splits is dealt into as many files a micro-batch; no task gets a third of it, and nothing is lost."""
+    from contract import queries
+    from tianguis.sources.views import STAR_SCHEMA, MarketViews
+
+    for name, schema in STAR_SCHEMA.items():
+        rows = spark.createDataFrame([], schema)
+        if name == "lineitem":
+            n = spark.range(4000)
+            rows = n.select(*[(F.col("id") if f.name == "l_orderkey" else F.lit(1).cast(f.dataType) if f.name != "l_shipdate" else F.lit("2026-01-01").cast(f.dataType)).alias(f.name) for f in rows.schema])
+        rows.coalesce(8).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = []
+    real = jobs.read_stream
+    monkeypatch.setattr(jobs, "read_stream", lambda s, root, schema, files, per_trigger: asked.append((root, per_trigger)) or real(s, root, schema, files, per_trigger))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        path, schemas = queries._kept(MarketViews(spark, str(tmp_path)))
+        by_table = {root.split("/")[-1]: (len(spark.read.parquet(root).inputFiles()), n) for root, n in asked}
+        assert report.totals(kept.bases(spark, path, schemas)).first()["total_pagos"] == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files, each = by_table["orden_detalles"]
+    assert each > 1 and files == queries.KEPT_FILES * each
+    assert kept.figures(spark, "orden_detalles", path, schemas["orden_detalles"]).agg(F.sum("unidades")).first()[0] == 4000
