@@ -169,3 +169,17 @@ def test_row_numbers_and_previous_values(spark):
     lagged = skew.previous_values(df, ["k"], ["pos"], "v", "b", skew.Limits(50, 100))
     want = skew.previous_values(df, ["k"], ["pos"], "v", "b", skew.Limits(10**6))
     assert sorted(map(repr, lagged.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_bound_value_is_not_copied():
+    """``transform`` copies what its lambda gives, and so all outcomes of a user at every event."""
+    assert "transform" not in str(ledger._let(F.col("x"), lambda x: x + 1))
+
+
+def test_places_in_chunks_rise_with_the_order(spark):
+    """One sort gives every row its place: along the key, the order and then the other columns, chunk after chunk."""
+    rows = spark.range(900).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 100).alias("pos"), F.col("id").alias("x"))
+    got = skew.in_chunks(rows, ["k"], [F.col("pos")], 900, skew.Limits(10, 100), place="p", ties=[F.col("x")]).collect()
+    assert [(r.k, r.pos, r.x) for r in sorted(got, key=lambda r: r.p)] == sorted((r.k, r.pos, r.x) for r in got)
+    assert len({r.p for r in got}) == 900 and len({r[skew.CHUNK] for r in got}) > 3
+    assert [r[skew.CHUNK] for r in sorted(got, key=lambda r: r.p)] == sorted(r[skew.CHUNK] for r in got)
