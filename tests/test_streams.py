@@ -116,3 +116,18 @@ def test_merged_states_give_the_same_verdicts(spark, session, tmp_path, monkeypa
     batch = payments.payment_application(orders, df.drop("lote_prueba"))
     assert got == {r.transaccion_id: (r.aceptado, r.total_pagado_acumulado, r.estado_orden) for r in batch.collect()}
     assert done.batches == 6 and {p.name for p in (tmp_path / "out" / "state").iterdir()} >= {"hasta=2", "hasta=4"}
+
+
+def test_the_first_payments_meet_no_earlier_state(spark, session, tmp_path, monkeypatch):
+    """Without an earlier micro-batch nothing is joined with the payments, and the orders come as they are."""
+    df = spark.createDataFrame(
+        [(n, 1, f"T{n}", Decimal("6.00"), datetime(2026, 1, 1 + n)) for n in range(2)],
+        "lote_prueba int, id_orden long, transaccion_id string, monto decimal(12,2), fecha_pago timestamp",
+    )
+    feed(df, str(tmp_path / "in"), 2)
+    static = session.createDataFrame([(1, Decimal("10.00"), "pendiente")], "id long, total decimal(12,2), estado string")
+    seen, real = [], jobs.payment_application
+    monkeypatch.setattr(jobs, "payment_application", lambda o, p, *a, previous, **k: seen.append((o is static, previous is None)) or real(o, p, *a, previous=previous, **k))
+    done = jobs.run_payments(stream(session, str(tmp_path / "in"), df), static, str(tmp_path / "out"))
+    assert seen == [(True, True), (True, False)]
+    assert [tuple(r) for r in spark.read.parquet(done.path).select("transaccion_id", "aceptado").orderBy("transaccion_id").collect()] == [("T0", True), ("T1", False)]
