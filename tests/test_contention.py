@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tianguis.operators import orders
-from tianguis.plans import skew
+from tianguis.plans import contention, skew
+from tianguis.session import stored
 
 SEQ = ("fecha",)
 
@@ -89,3 +90,41 @@ def test_no_orders(spark):
     r, i, p = frames(spark, [(1, 1)], [(1, 0, 1, 1)], {1: 1})
     assert orders.order_intake_sequential(r.limit(0), i.limit(0), p, ("linea",), SEQ).collect() == []
     assert [x.motivo for x in orders.order_intake_sequential(r, i.limit(0), p, ("linea",), SEQ).collect()] == [orders.EMPTY_ORDER]
+
+
+def test_reason_of_a_refused_order_whose_other_lines_are_settled_later(spark):
+    """Order 3 fails on product 3 at once; whether its earlier line of product 1 fails too hangs on order 2, settled a round later."""
+    requests = [(1, 1), (2, 2), (3, 3), (4, 4)]
+    for second, reason in ((5, "P3"), (4, "P1")):
+        items = [(1, 0, 2, 6), (2, 0, 1, 3), (2, 1, 2, second), (3, 0, 1, 3), (3, 1, 3, 9), (4, 0, 1, 2), (4, 1, 2, 1)]
+        stock = {1: 5, 2: 10, 3: 1}
+        assert check(spark, requests, items, stock)
+        assert model(requests, items, stock)[0][3] == (False, f"Stock insuficiente para: {reason}")
+
+
+def test_rows_leave_the_rounds(spark, monkeypatch):
+    """Rows of products that can give whatever is asked are written once, however long the rounds over the others last."""
+    written = []
+
+    def counted(df, purpose="filas"):
+        table = stored(df, purpose)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(contention, "stored", counted)
+    requests = [(o, o) for o in range(60)]
+    items = [(o, 0, o, 1) for o in range(60)] + [(o, 1, o + 1, 1) for o in range(60)]
+    items += [(o, 2 + k, 1000 + k, 1) for o in range(60) for k in range(10)]
+    stock = {p: 1 for p in range(61)} | {1000 + k: 100 for k in range(10)}
+    assert check(spark, requests, items, stock, head=0)
+    assert len(written) > 5 and written[0] == 720 and max(written[1:]) <= 120
+
+
+def test_chunks_share_tasks(spark):
+    """More chunks than shuffle partitions: they rise along the order and are bounded, and no task is added for them."""
+    rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("o"))
+    seen = []
+    chunks = skew.in_chunks(rows, ["k"], [F.col("o")], 1000, skew.Limits(hot_rows=5, chunk_rows=10), keep=lambda d: seen.append(d) or d)
+    assert seen[0].rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = [r[skew.CHUNK] for r in chunks.orderBy("o").collect()]
+    assert found == sorted(found) and max(found.count(c) for c in set(found)) <= 10
