@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tianguis.functions.domain import in_domain
 from tianguis.functions.text import text_key
+from tianguis.session import stored
 
 # Texts of refusals.
 NOT_OWNER = "No autorizado"
@@ -37,8 +38,8 @@ def apply_product_changes(productos: DataFrame, changes: DataFrame, order: Seque
 
     ``changes``: id_producto, tipo, id_vendedor (who asks), rol, nombre, descripcion, precio, cantidad and
     the ``order`` columns. Only the owner edits or deactivates; a product published by a seller is approved.
-    The owner never changes, so an entry is judged by (product, asking seller) alone: the log is first
-    reduced to one row per such pair, and only that small result meets the catalog.
+    The owner never changes, so every entry is judged by its product's row alone, and the accepted ones are then reduced to
+    one row per product.
     """
     o = F.struct(*order)
     log = changes.withColumn("o", o)
@@ -53,28 +54,32 @@ def apply_product_changes(productos: DataFrame, changes: DataFrame, order: Seque
     )
     known = base.unionByName(published.select("id", F.col("p.id_vendedor").alias("dueno"), F.col("p.o").alias("desde")))
 
+    # The place in the log is put together again after the join, so that the entries do not carry it twice. The judged entries
+    # are written once: the refused ones are the rejects, the others make the table.
+    judged = changes.filter(~F.col("tipo").eqNullSafe(PUBLISH)).join(known, F.col("id_producto") == F.col("id"), "left").withColumn("o", o)
+    missing = F.col("id").isNull() | (F.col("desde").isNotNull() & (F.col("o") <= F.col("desde")))
+    why = (
+        F.when(F.col("tipo").isin(EDIT, DEACTIVATE) & (missing | ~owner), NOT_OWNER).when(missing, NOT_FOUND)
+    )
+    kinds = F.coalesce(F.col("tipo").isin(PUBLISH, EDIT, DEACTIVATE, APPROVE), F.lit(False))
+    why = F.when(~kinds, BAD_KIND).otherwise(why)
+    counts = ~missing & ((F.col("tipo") == APPROVE) | owner)
+    judged = stored(judged.select(*changes.columns, why.alias("motivo"), F.coalesce(counts, F.lit(False)).alias("_vale")))
+    rejects = judged.filter(F.col("motivo").isNotNull())
+
     fields = F.struct("o", "nombre", "descripcion", "precio", "cantidad")
 
     def latest(kind: str, what):
         return F.max(F.when(F.col("tipo") == kind, what))
 
-    reduced = (
-        log.filter(F.col("tipo") != PUBLISH)
-        .groupBy(F.col("id_producto").alias("id"), "id_vendedor")
-        .agg(
-            latest(EDIT, fields).alias("edit"),
-            latest(DEACTIVATE, F.col("o")).alias("off"),
-            latest(APPROVE, F.col("o")).alias("yes"),
-        )
-    )
-    after = lambda c: F.col("desde").isNull() | (F.col(c) > F.col("desde"))
     effects = (
-        reduced.join(known, "id")
-        .groupBy("id")
+        judged.filter(F.col("_vale") & F.col("motivo").isNull())
+        .withColumn("o", o)
+        .groupBy(F.col("id_producto").alias("id"))
         .agg(
-            F.max(F.when(owner & after("edit.o"), F.col("edit"))).alias("edit"),
-            F.max(F.when(owner & after("off"), F.col("off"))).isNotNull().alias("off"),
-            F.max(F.when(after("yes"), F.col("yes"))).isNotNull().alias("yes"),
+            latest(EDIT, fields).alias("edit"),
+            latest(DEACTIVATE, F.lit(True)).isNotNull().alias("off"),
+            latest(APPROVE, F.lit(True)).isNotNull().alias("yes"),
         )
     )
     new = published.select(
@@ -96,14 +101,6 @@ def apply_product_changes(productos: DataFrame, changes: DataFrame, order: Seque
             (F.col("aprobado") | F.coalesce("yes", F.lit(False))).alias("aprobado"),
         )
     )
-    judged = log.filter(~F.col("tipo").eqNullSafe(PUBLISH)).join(known, F.col("id_producto") == F.col("id"), "left")
-    missing = F.col("id").isNull() | (F.col("desde").isNotNull() & (F.col("o") <= F.col("desde")))
-    why = (
-        F.when(F.col("tipo").isin(EDIT, DEACTIVATE) & (missing | ~owner), NOT_OWNER).when(missing, NOT_FOUND)
-    )
-    kinds = F.coalesce(F.col("tipo").isin(PUBLISH, EDIT, DEACTIVATE, APPROVE), F.lit(False))
-    why = F.when(~kinds, BAD_KIND).otherwise(why)
-    rejects = judged.withColumn("motivo", why).filter(F.col("motivo").isNotNull())
     # Of several publications of a product the first counts, and none if the catalog has it.
     again = (
         log.filter(F.col("tipo") == PUBLISH)
