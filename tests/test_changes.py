@@ -80,3 +80,23 @@ def test_order_states(spark):
     updated, refused = orders.order_state_updates(base, log, ["n"])
     assert {r.id: r.estado for r in updated.collect()} == {1: "cancelada", 2: "pendiente"}
     assert [r.n for r in refused.collect()] == [3]
+
+
+def test_entries_meet_the_catalog_once(spark, monkeypatch):
+    """Every entry is judged once: the refused ones are the rejects, the others make the table."""
+    written, real = [], changes.stored
+
+    def counted(df, purpose="filas"):
+        written.append(df.count())
+        return real(df, purpose)
+
+    monkeypatch.setattr(changes, "stored", counted)
+    catalog = spark.sql("select 1L id, 9L id_vendedor, 'a' nombre, 'd' descripcion, 1.00BD precio, 1 cantidad, true activo, false aprobado")
+    log = spark.createDataFrame(
+        [(1, "editar", 9, 1), (1, "editar", 8, 2), (1, "aprobar", 8, 3), (1, "desactivar", 9, 4), (2, "aprobar", 9, 5), (1, "otro", 9, 6)],
+        "id_producto long, tipo string, id_vendedor long, momento int",
+    ).selectExpr("*", "'vendedor' rol", "concat('n', momento) nombre", "'x' descripcion", "2.00BD precio", "3 cantidad")
+    done = changes.apply_product_changes(catalog, log, ("momento",))
+    assert [(r.nombre, r.activo, r.aprobado) for r in done.table.collect()] == [("n1", False, True)]
+    assert {r.momento: r.motivo for r in done.rejects.collect()} == {2: changes.NOT_OWNER, 5: changes.NOT_FOUND, 6: changes.BAD_KIND}
+    assert written == [6]
