@@ -183,3 +183,13 @@ def test_places_in_chunks_rise_with_the_order(spark):
     assert [(r.k, r.pos, r.x) for r in sorted(got, key=lambda r: r.p)] == sorted((r.k, r.pos, r.x) for r in got)
     assert len({r.p for r in got}) == 900 and len({r[skew.CHUNK] for r in got}) > 3
     assert [r[skew.CHUNK] for r in sorted(got, key=lambda r: r.p)] == sorted(r[skew.CHUNK] for r in got)
+
+
+def test_cold_users_are_dealt_by_user_alone(spark):
+    """Their groups meet plans and lines where they are; nothing is dealt by user and part."""
+    events = spark.sql("select 1L usuario_id, 'usar' tipo, 5.00BD monto, 1 cuotas, 1L cuota_id, 1 fecha")
+    lines = spark.sql("select 1L usuario_id, 9.00BD cupo_total, 9.00BD cupo_disponible, 0 compras_completadas, 'activo' estado")
+    plans = spark.sql("select 1L id, 1L usuario_id, 1.00BD monto_por_cuota, 1 cuotas_totales, 0 cuotas_pagadas where false")
+    done = ledger.credit_ledger(events, lines, plans, ("fecha",))
+    assert "parte" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.aceptado for r in done.collect()] == [True]
