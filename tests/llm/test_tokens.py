@@ -1,9 +1,12 @@
 """Packing and token counts against the public libraries."""
 
+import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +15,8 @@ from tokenizers import Tokenizer
 from tests.llm.util import documents, no_rows, odd_documents, table
 from tianguis.llm import packing, token_counts
 from tianguis.llm.queries import op1_best_fit_packing, op7_token_counts
-from tianguis.llm.word_ids import WordIds
+from tianguis.llm.ragged import text_steps
+from tianguis.llm.word_ids import WordIds, word_ids
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -111,3 +115,20 @@ def test_op7_odd_and_no_documents(spark):
     assert {(r.n_bytes, r.n_tokens, r.over_limit) for r in rows if r.doc_id in (0, 1)} == {(0, 0, False)}
     assert next(r for r in rows if r.doc_id == 7).over_limit
     assert token_counts.token_counts(no_rows(df), PIECE).count() == 0
+
+
+def test_texts_leave_a_batch_a_step_at_a_time():
+    """Beside a batch of 20 MB stand only the texts of one step, whole and in order; the library is kept from its threads."""
+    texts = [None, "", "é" * 40, *("x" * 20_000 for _ in range(1000)), "y" * 300_000, None]
+    column = pa.array(texts)
+    tracemalloc.start()
+    seen, at = 0, 0
+    for a, b, part in text_steps(column, 100_000):
+        assert a == at and part == [(t or "").encode() for t in texts[a:b]] and (b - a == 1 or sum(map(len, part)) <= 100_000)
+        seen, at = seen + len(part), b
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert seen == at == len(texts) and peak < 2_000_000
+    word_ids(WORD)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    assert list(text_steps(pa.array([], pa.string()))) == []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tianguis.llm.common import counted, text_only
-from tianguis.llm.ragged import PLAIN, Powers, Words, shingles, steps
+from tianguis.llm.ragged import PLAIN, Powers, Words, shingles, steps, text_steps
 
 #: Items of fewer shingles are searched under all of them.
 SKETCHED = 12
@@ -100,14 +100,14 @@ def _search(documents: DataFrame, items, threshold: float) -> DataFrame:
         held, powers = items.value, Powers()
         small = held.small()
         for batch in batches:
-            data = [_plain(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             doc_ids, text_hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             out: list[tuple] = []
-            for a, b in steps([len(t) for t in data]):
-                flat, count = shingles(Words(data[a:b], PLAIN, powers), held.k)
+            for a, _, data in text_steps(batch.column("text")):
+                data = [_plain(t) for t in data]
+                flat, count = shingles(Words(data, PLAIN, powers), held.k)
                 for d, h in enumerate(np.split(flat, np.cumsum(count)[:-1]), start=a):
                     found = held.candidates(np.unique(h), small)
-                    there = shingle_set(data[d], held.k) if found else set()
+                    there = shingle_set(data[d - a], held.k) if found else set()
                     for i in found:
                         shared, total = len(there & held.sets[i]), len(held.sets[i])
                         if shared >= threshold * total:

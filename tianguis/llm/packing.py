@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tianguis.llm.common import saved, text_only
+from tianguis.llm.ragged import text_steps
 from tianguis.llm.word_ids import word_ids
 
 #: Groups of equal cardinality of the large lengths, and the share of a sequence from which a length is large.
@@ -28,6 +29,8 @@ LARGE = 1 / 8
 #: Pieces of one length that are ranked in one group, and the most groups of a length.
 RANKED_ROWS = 2_000
 RANKED_GROUPS = 65_536
+#: Bytes of text that a task turns into ids at a time.
+STEP_BYTES = 500_000
 
 
 @dataclass
@@ -199,20 +202,14 @@ def pieces(documents: DataFrame, tokenizer_file: str, capacity: int, separator:
 
     def run(batches):
         for batch in batches:
-            data = batch.column("text").cast(pa.binary()).to_pylist()
-            doc_ids = batch.column("doc_id").to_pylist()
-            begin = size = 0
-            for i, t in enumerate([*data, None]):
-                size += len(t or b"")
-                if size > 1_000_000 or i == len(data):
-                    out: list[tuple] = []
-                    cut(doc_ids[begin : i + 1], data[begin : i + 1], out)
-                    begin, size = i + 1, 0
-                    columns = list(zip(*out, strict=True)) or [()] * 6
-                    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                    keep = 6 if keep_ids else 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], types[:keep], strict=True)], names=names[:keep])
+            for a, b, data in text_steps(batch.column("text"), STEP_BYTES):
+                out: list[tuple] = []
+                cut(batch.column("doc_id").slice(a, b - a).to_pylist(), data, out)
+                columns = list(zip(*out, strict=True))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                keep = 6 if keep_ids else 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], types[:keep], strict=True)], names=names[:keep])
 
     docs = text_only(documents, F.col("doc_id").cast("long").alias("doc_id"))
     return docs.mapInArrow(run, _PIECES + (", ids array<long>" if keep_ids else ""))

@@ -9,13 +9,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tianguis.llm.common import text_only
-from tianguis.llm.ragged import LOWER, Powers, Words, lookup, steps
+from tianguis.llm.ragged import LOWER, Powers, Words, lookup, text_steps
 
 PASSAGE = 64
 #: Labelled texts, and passages of each, that the model is fitted on: those with the smallest hashes, and evenly spread ones.
@@ -175,10 +174,9 @@ def _sample(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
     def run(batches):
         powers = Powers()
         for batch in batches:
-            data = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             rows = []
-            for a, b in steps([len(t) for t in data]):
-                x, bags = passages(data[a:b], powers)
+            for _, _, data in text_steps(batch.column("text")):
+                x, bags = passages(data, powers)
                 for part in np.split(x, np.cumsum(bags)[:-1]):
                     some = np.unique(np.linspace(0, len(part) - 1, min(len(part), SAMPLE_PASSAGES)).round().astype(int))
                     rows.append(part[some].astype(np.float64).tobytes())
@@ -205,8 +203,7 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         powers = Powers()
         for batch in batches:
-            data = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            parts = [model.value.scores(*passages(data[a:b], powers)) for a, b in steps([len(t) for t in data])]
+            parts = [model.value.scores(*passages(data, powers)) for _, _, data in text_steps(batch.column("text"))]
             score = np.concatenate([*parts, np.empty(0)])
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
@@ -219,12 +216,11 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are predicted 1, with all their columns; rows without a doc_id are judged alike."""
     model = documents.sparkSession.sparkContext.broadcast(fit(*_sample(documents, labels)))
 
-    @F.pandas_udf("boolean")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         powers = Powers()
         for texts in batches:
-            data = [(t or "").encode() for t in texts]
-            parts = [model.value.scores(*passages(data[a:b], powers)) >= 0.5 for a, b in steps([len(t) for t in data])]
-            yield pd.Series(np.concatenate([*parts, np.empty(0, dtype=bool)]))
+            parts = [model.value.scores(*passages(data, powers)) >= 0.5 for _, _, data in text_steps(texts)]
+            yield pa.array(np.concatenate([*parts, np.empty(0, dtype=bool)]))
 
     return documents.where(judged(F.col("text").cast("string")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -12,6 +13,8 @@ from tianguis.llm.ragged import SPACES, Powers, gather, hashes, lookup, places
 
 #: Distinct words kept between batches; beyond it the table starts anew, which changes no id.
 KEPT_WORDS = 200_000
+#: Words that the library gets at a time: what it answers with takes about a kilobyte a word until the ids are read off it.
+LIBRARY_WORDS = 2_048
 _PUNCTUATION = lookup(np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", dtype=np.uint8))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,6 +42,8 @@ class WordIds:
     """
 
     def __init__(self, tokenizer_file: str):
+        # a task has one core; threads of the library would each keep memory of their own in every worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(tokenizer_file)
@@ -64,7 +69,8 @@ class WordIds:
         self._lengths = np.empty(0, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)]
+        lots = (texts[i : i + LIBRARY_WORDS] for i in range(0, len(texts), LIBRARY_WORDS))
+        return [e.ids for lot in lots for e in self._library.encode_batch(lot, add_special_tokens=False)]
 
     def _learn(self, keys: list[int], words: list[bytes]) -> None:
         names = [w.decode() for w in words]
