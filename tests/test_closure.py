@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from tianguis import session
 from tianguis.operators import ledger, payments
 from tianguis.plans import skew
 
@@ -105,3 +106,26 @@ def test_only_payments_from_a_refused_closing_on_are_judged_again(spark, monkeyp
     assert found[1, "t4"] == (True, "pendiente", None) and found[1, "t5"] == (True, "pendiente", None)
     assert found[2, "t4"] == (True, "pagada", None) and found[2, "t5"] == (False, "pagada", payments.ORDER_PAID)
     assert {r.id_orden: r.estado for r in states.collect()} == {1: "pendiente", 2: "pagada"}
+
+
+def test_tables_of_orders_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Stored keys are small in their files only: beyond SENT_ROWS rows they are merged, whatever Catalyst takes them for."""
+    monkeypatch.setattr(session, "SENT_ROWS", 1, raising=False)
+    met, real = [], payments.payment_application
+
+    def seen(ordenes, pagos, *args, **how):
+        if "closure" in how:
+            met.extend(df._jdf.queryExecution().executedPlan().toString() for df in (pagos.join(how["closure"], "id_orden"), ordenes))
+            return real(ordenes, pagos, *args, **how)
+        done = real(ordenes, pagos, *args, **how)
+        met.append(done._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(payments, "payment_application", seen)
+    ordenes = spark.sql("select id, id id_comprador, 10.00BD total, 'pendiente' estado from range(3)")
+    pagos = spark.sql("select id id_orden, concat('t', id) transaccion_id, 1 fecha_pago, 10.00BD monto from range(3)")
+    lines = spark.sql("select 8L usuario_id, 100.00BD cupo_total, 100.00BD cupo_disponible, 0 compras_completadas, 'activo' estado")
+    plans = spark.sql("select 1L id, 1L usuario_id, 1.00BD monto_por_cuota, 1 cuotas_totales, 0 cuotas_pagadas where false")
+    _, verdicts = payments.closure_by_credit(ordenes, pagos, lines, plans)
+    assert {(r.id_orden, r.aceptado, r.estado_orden) for r in verdicts.collect()} == {(k, True, "pendiente") for k in range(3)}
+    assert len(met) == 3 and not any("BroadcastHashJoin" in plan for plan in met)
