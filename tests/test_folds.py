@@ -2,6 +2,8 @@
 
 import random
 from decimal import Decimal
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tests import models
 from tianguis.operators import ledger, orders, payments
 from tianguis.plans import skew
 from tianguis.plans.admission import admit
+from tianguis.session import checkpoint_root
 
 SMALL = skew.Limits(hot_rows=40, chunk_rows=60)
 NO_BROADCAST = skew.Limits(hot_rows=40, chunk_rows=60, broadcast_keys=0)
@@ -193,3 +196,22 @@ def test_cold_users_are_dealt_by_user_alone(spark):
     done = ledger.credit_ledger(events, lines, plans, ("fecha",))
     assert "parte" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert [r.aceptado for r in done.collect()] == [True]
+
+
+def test_slices_of_users_leave_their_outcomes_alone(spark, monkeypatch):
+    """Users are folded for a slice at a time; events, groups and rounds of a slice go when its outcomes are stored."""
+    monkeypatch.setattr(ledger, "SLICE_ROWS", 100, raising=False)
+    events, lines, plans = _case(3)
+    made = spark.createDataFrame([(u, i, k, money(x), n, p) for u, i, k, x, n, p in events],
+                                 "usuario_id long, i int, tipo string, monto decimal(12,2), cuotas int, cuota_id long")
+    opening = spark.createDataFrame([(u, money(t), money(d), c, s) for u, (t, d, c, s) in lines.items()],
+                                    "usuario_id long, cupo_total decimal(12,2), cupo_disponible decimal(12,2), compras_completadas int, estado string")
+    book = spark.createDataFrame([(u, p, money(v), n, k) for u, p, v, n, k in plans],
+                                 "usuario_id long, id long, monto_por_cuota decimal(12,2), cuotas_totales int, cuotas_pagadas int")
+    root = Path(urlparse(checkpoint_root(spark)).path)
+    before = {p for p in root.rglob("*.parquet") if p.is_file()}
+    out = ledger.credit_ledger(made, opening, book, ["i"], limits=skew.Limits(hot_rows=20, chunk_rows=60))
+    new = {p.relative_to(root).parts[0] for p in root.rglob("*.parquet") if p.is_file()} - {p.relative_to(root).parts[0] for p in before}
+    assert len(new) == -(-len(events) // 100) > 1
+    want = models.ledger(events, lines, plans, True)[0]
+    assert {(r.usuario_id, r.i): (r.aceptado, r.cupo_total, r.disponible, r.completadas) for r in out.collect()} == want
