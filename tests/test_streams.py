@@ -1,5 +1,6 @@
 """Streams over several small files must equal their batch twins."""
 
+import shutil
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -131,3 +132,19 @@ def test_the_first_payments_meet_no_earlier_state(spark, session, tmp_path, monk
     done = jobs.run_payments(stream(session, str(tmp_path / "in"), df), static, str(tmp_path / "out"))
     assert seen == [(True, True), (True, False)]
     assert [tuple(r) for r in spark.read.parquet(done.path).select("transaccion_id", "aceptado").orderBy("transaccion_id").collect()] == [("T0", True), ("T1", False)]
+
+
+def test_a_table_in_several_files_is_read_whole(spark, tmp_path):
+    """A stream over a folder ``lineitem.parquet`` sees every file of it, as one over a single file of that name does."""
+    lines = spark.sql(
+        "select id l_orderkey, id l_partkey, id l_suppkey, 1 l_linenumber, 1D l_quantity, 5D l_extendedprice, 0D l_discount, 0D l_tax, "
+        "'A' l_returnflag, 'F' l_linestatus, timestamp_ntz'2020-01-01' l_shipdate from range(10)"
+    )
+    lines.repartition(3).write.parquet(f"{tmp_path}/many/lineitem.parquet")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/single")
+    (tmp_path / "one").mkdir()
+    shutil.copy(*(tmp_path / "single").glob("part-*.parquet"), tmp_path / "one" / "lineitem.parquet")
+    for root in ("many", "one"):
+        views = jobs.StreamViews(jobs.stream_session(spark, 2), f"{tmp_path}/{root}")
+        done = jobs.run_append(views.pagos(), f"{tmp_path}/{root}-out")
+        assert sorted(r.id_orden for r in spark.read.parquet(done.path).collect()) == list(range(10))
